@@ -1,9 +1,9 @@
 """Queries over the given tables, one per operator."""
 
-from catalog import cleaning, splits
+from catalog import cleaning, joins, loops, scoring, splits
 from catalog.registry import ORACLES, QUERIES
 
-MODULES = (cleaning, splits)
+MODULES = (cleaning, splits, scoring, joins, loops)
 
 
 def all_queries():

@@ -29,7 +29,8 @@ def split_rows(text: Column | str) -> Column:
 def parse_split(df: DataFrame, text: str = "value", id_type: str = "string", id_col: str = "id") -> DataFrame:
     """Split texts to (id, split); only the keys matter."""
     entries = df.select(F.explode(split_rows(text)).alias("e"))
-    return entries.select(F.explode(F.map_keys("e.value")).cast(id_type).alias(id_col), F.col("e.key").alias("split"))
+    ids = entries.select(F.explode(F.map_keys("e.value")).alias(id_col), F.col("e.key").alias("split"))
+    return ids.withColumn(id_col, F.col(id_col).cast(id_type))
 
 
 def read_predefined_split(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
