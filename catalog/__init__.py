@@ -1,9 +1,9 @@
 """Queries over the given tables, one per operator."""
 
-from catalog import cleaning, joins, loops, scoring, splits
+from catalog import cleaning, columns, domain, joins, loops, scoring, splits, trees
 from catalog.registry import ORACLES, QUERIES
 
-MODULES = (cleaning, splits, scoring, joins, loops)
+MODULES = (cleaning, splits, scoring, joins, loops, trees, columns, domain)
 
 
 def all_queries():

@@ -18,7 +18,7 @@ tr AS MATERIALIZED (SELECT * FROM s WHERE split = 'train'), te AS MATERIALIZED (
 
 
 def split_orders(spark, folder):
-    return random_split(order_features(spark, folder), 0, test_frac=0.2)
+    return random_split(order_features(spark, folder).persist(), 0, test_frac=0.2)
 
 
 @query(f"""{SPLIT}, {fit('m', 'tr', 'ols', 'n_lines')}
@@ -77,7 +77,7 @@ sc AS (SELECT 'ols' AS model, CAST(st.seed AS INTEGER) AS seed, st.f AS train_si
 
 
 def split_pool(spark, folder):
-    rows = random_split(order_features(spark, folder), 0, test_frac=0.1).persist()
+    rows = random_split(order_features(spark, folder).persist(), 0, test_frac=0.1)
     return rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split")
 
 

@@ -78,7 +78,7 @@ def topk_variance(
     v_blocks = max(v_blocks, min(slots, math.ceil(n_val / 256)))
 
     def block(col, n):
-        return F.pmod(F.xxhash64(col), F.lit(n))
+        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
     left = val.select(F.col(id_col).alias("id"), "leaves", block(id_col, v_blocks).alias("vb")).withColumn(
         "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))

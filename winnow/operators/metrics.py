@@ -41,24 +41,30 @@ def scores_test_and_val(df: DataFrame, pred: str = "prediction", y: str = "y", s
     return regression_scores(df, pred, y, [split])
 
 
+def stacked_predictions(frame: DataFrame, fitted: Sequence, keep: Sequence[str]) -> DataFrame:
+    """One row per (row, model): the ``keep`` columns, the model's number ``_m`` and its ``prediction``.
+
+    The models run one after the other on the same row and are unfolded only inside the
+    stage that aggregates them, so the table is read once and nothing wide is shuffled.
+    """
+    wide, preds = frame, []
+    for i, model in enumerate(fitted):
+        expression = getattr(model, "prediction", None)
+        if expression is None:
+            wide = model.transform(wide).withColumnRenamed("prediction", f"_p{i}")
+        preds.append(F.col(f"_p{i}") if expression is None else expression)
+    return wide.select(*keep, F.posexplode(F.array(*preds)).alias("_m", "prediction"))
+
+
 def score_models(frame: DataFrame, fitted: Mapping[str, object], y: str = "y", split: str = "split") -> DataFrame:
     """Scores of several fitted models on every split, in one pass over ``frame``.
 
     Columns: split, model, n, mae, rmse, r2.
     """
-    names = list(fitted)
-    wide = frame
-    for i, name in enumerate(names):
-        wide = fitted[name].transform(wide).withColumnRenamed("prediction", f"_p{i}")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in range(len(names)):
-        aggs.append(F.struct(*[c.alias(n) for n, c in score_columns(f"_p{i}", y).items()]).alias(f"_s{i}"))
-    scored = wide.groupBy(split).agg(*aggs)
-    per_model = F.array(
-        *[F.struct(F.lit(n).alias("model"), F.col(f"_s{i}").alias("s")) for i, n in enumerate(names)]
-    )
-    return scored.select(split, "n", F.explode(per_model).alias("m")).select(
-        split, "m.model", "n", "m.s.mae", "m.s.rmse", "m.s.r2"
+    rows = stacked_predictions(frame, list(fitted.values()), [split, y])
+    names = F.array(*[F.lit(n) for n in fitted])
+    return regression_scores(rows, "prediction", y, [split, "_m"]).select(
+        split, F.get(names, "_m").alias("model"), "n", "mae", "rmse", "r2"
     )
 
 
@@ -102,28 +108,19 @@ def cv_scores(model, df: DataFrame, k: int, seed: int, id_col: str = "id", y: st
 
     folds = kfold(df, k, seed, id_col).persist()
     try:
-        fitted = {f: model.fit(folds.filter(F.col("fold") != f)) for f in range(k)}
-        wide = folds
-        for f in range(k):
-            wide = fitted[f].transform(wide).withColumnRenamed("prediction", f"_p{f}")
-        aggs = []
-        for f in range(k):
-            for part, inside in (("train", F.col("fold") != f), ("test", F.col("fold") == f)):
-                pred, truth = F.when(inside, F.col(f"_p{f}")), F.when(inside, F.col(y))
-                s = score_columns(pred, truth)
-                floor = F.greatest(F.abs(truth), F.lit(2.220446049250313e-16))
-                s["mape"] = F.avg(F.when(inside, F.abs(pred - truth) / floor))
-                aggs.append(F.struct(F.lit(part).alias("part"), *[c.alias(n) for n, c in s.items()]).alias(f"_{part}{f}"))
-        n = folds.count()
-        cells = [f"_{part}{f}" for f in range(k) for part in ("train", "test")]
-        per_fold = wide.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-        r2 = F.avg("r2") if k != n else F.lit(None).cast("double")
+        fitted = [model.fit(folds.filter(F.col("fold") != f)) for f in range(k)]
+        rows = stacked_predictions(folds, fitted, ["fold", y])
+        part = F.when(F.col("fold") == F.col("_m"), "test").otherwise("train")
+        smallest = F.lit(2.220446049250313e-16)
+        s = score_columns("prediction", y)
+        s["mape"] = F.avg(F.abs(F.col("prediction") - F.col(y)) / F.greatest(F.abs(F.col(y)), smallest))
+        per_fold = rows.groupBy("_m", part.alias("part")).agg(*[c.alias(n) for n, c in s.items()])
+        r2 = F.avg("r2") if k != folds.count() else F.lit(None).cast("double")
         out = per_fold.groupBy("part").agg(
             F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("mape").alias("mape"), r2.alias("r2")
         )
         # two rows: fetched here so the cached folds can be released
-        rows = out.collect()
-        return df.sparkSession.createDataFrame(rows, out.schema)
+        return df.sparkSession.createDataFrame(out.collect(), out.schema)
     finally:
         folds.unpersist()
 

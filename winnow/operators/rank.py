@@ -34,19 +34,27 @@ def hash_key(seed: int | str, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 
 
-def hash_cuts(df: DataFrame, seed: int | str, sizes: Sequence[int], id_col: str = "id") -> list[str]:
+def hash_cuts(
+    df: DataFrame, seed: int | str, sizes: Sequence[int], id_col: str = "id", total: int | None = None
+) -> list[str]:
     """For each size k the hash h_k such that exactly k rows have ``hash_key <= h_k``.
 
     Counts rows per hash prefix, extends only the prefixes that hold a cut until each
     holds at most ``SETTLE_ROWS`` rows, then ranks inside those. Hashes are uniform,
-    so the prefixes stay balanced whatever the ids look like.
+    so the prefixes stay balanced whatever the ids look like. ``total``, the row count
+    where it is known, saves the counting pass on small tables.
     """
     keyed = df.select(hash_key(seed, id_col).alias("h"))
     cuts: list[str | None] = ["" if k <= 0 else None for k in sizes]
     # open targets: index -> (prefix holding the cut, rank inside that prefix)
     targets = {i: ("", k) for i, k in enumerate(sizes) if k > 0}
     digits = 0
-    while targets:
+    if total is not None:
+        for i, k in enumerate(sizes):
+            if k >= total:
+                cuts[i] = AFTER_ALL
+                targets.pop(i, None)
+    while targets and not (total is not None and total <= SETTLE_ROWS):
         prefixes = sorted({p for p, _ in targets.values()})
         digits += PREFIX_DIGITS
         scope = keyed
@@ -109,7 +117,7 @@ class Cut:
         return reduce(lambda a, b: a | b, steps)
 
 
-def first_k(df: DataFrame, order: Sequence[str], k: int) -> Cut:
+def first_k(df: DataFrame, order: Sequence[str], k: int, total: int | None = None) -> Cut:
     """Cut after the first ``k`` rows of ``df`` sorted ascending by the ``order`` expressions.
 
     ``order`` must identify rows (end it with the id). Narrows the scope to a bracket
@@ -121,7 +129,7 @@ def first_k(df: DataFrame, order: Sequence[str], k: int) -> Cut:
         return Cut(order, None)
     names = [f"k{i}" for i in range(len(order))]
     scope = df.select(*[F.expr(e).alias(n) for e, n in zip(order, names)])
-    total = scope.count()
+    total = scope.count() if total is None else total
     if k >= total:
         return Cut(order, None, everything=True)
     fixed = 0

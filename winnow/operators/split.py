@@ -41,7 +41,7 @@ def random_split(
         drawn, name, rest = test_rows(test_frac, n), "test", "train"
     else:
         drawn, name, rest = train_rows(train_frac, n), "train", "test"
-    (cut,) = hash_cuts(df, seed, [drawn], id_col)
+    (cut,) = hash_cuts(df, seed, [drawn], id_col, n)
     return df.withColumn("split", F.when(hash_key(seed, id_col) <= cut, name).otherwise(rest))
 
 
@@ -92,9 +92,9 @@ def prefix_split(df: DataFrame, frac: float, order: Sequence[str], id_col: str =
     return df.withColumn("split", F.when(first, "train").otherwise("val"))
 
 
-def seed_sample(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
+def seed_sample(df: DataFrame, n: int, seed: int, id_col: str = "id", total: int | None = None) -> DataFrame:
     """Exactly ``n`` rows drawn without replacement."""
-    (cut,) = hash_cuts(df, seed, [n], id_col)
+    (cut,) = hash_cuts(df, seed, [n], id_col, total)
     return df.filter(hash_key(seed, id_col) <= cut)
 
 
@@ -102,14 +102,15 @@ def frac_sample(df: DataFrame, frac: float, seed: int, id_col: str = "id") -> Da
     """round(frac*n) rows drawn without replacement."""
     if frac >= 1:
         return df
-    return seed_sample(df, round(frac * df.count()), seed, id_col)
+    total = df.count()
+    return seed_sample(df, round(frac * total), seed, id_col, total)
 
 
 def kfold(df: DataFrame, k: int, seed: int, id_col: str = "id") -> DataFrame:
     """Add ``fold`` 0..k-1; the first n mod k folds hold one row more."""
     n = df.count()
     ends = [(f + 1) * (n // k) + min(f + 1, n % k) for f in range(k - 1)]
-    cuts = hash_cuts(df, seed, ends, id_col)
+    cuts = hash_cuts(df, seed, ends, id_col, n)
     return df.withColumn("fold", interval_number(hash_key(seed, id_col), cuts))
 
 
@@ -138,7 +139,7 @@ def nested_sizes(
     """
     n = df.count()
     sizes = [train_rows(f, n) for f in fractions]
-    cuts = hash_cuts(df, seed, sizes, id_col)
+    cuts = hash_cuts(df, seed, sizes, id_col, n)
     return df.withColumn("step", interval_number(hash_key(seed, id_col), cuts)), sizes
 
 

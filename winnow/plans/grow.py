@@ -65,7 +65,7 @@ def grow_random(
     try:
         n = base.count()
         sizes = step_sizes(n, step_frac, stop_frac, score_full)
-        cuts = hash_cuts(base, seed, sizes, id_col)
+        cuts = hash_cuts(base, seed, sizes, id_col, n)
         stepped = base.withColumn("_step", interval_number(hash_key(seed, id_col), cuts))
         stepped = materialise(stepped)
     finally:
@@ -159,9 +159,8 @@ def grow_by_uncertainty(
     history = state.done() if resume else []
     test = test.withColumn("split", F.lit("test"))
     if not history and sizes:
-        start = seed_sample(base, sizes[0], seed, id_col).withColumn("err", F.lit(None).cast("double"))
-        state.commit(0, start, 0, sizes[0], None)
-        history = state.done()
+        start = seed_sample(base, sizes[0], seed, id_col, n).withColumn("err", F.lit(None).cast("double"))
+        history = [state.commit(0, start, 0, sizes[0], None)]
     for r in range(len(history) - 1, len(sizes)):
         known = state.members(r + 1).select(id_col, F.lit(True).alias("_known"))
         tagged = base.join(known, id_col, "left").persist(StorageLevel.MEMORY_AND_DISK)
@@ -238,8 +237,7 @@ def grow_by_error(
     if not history:
         start = materialise(quantile_seeds(base, y, sizes[0], id_col).withColumn("err", F.lit(None).cast("double")))
         n_start = start.count()
-        state.commit(0, start, 0, n_start, None)
-        history = state.done()
+        history = [state.commit(0, start, 0, n_start, None)]
     n_train = sum(h["n_chosen"] for h in history)
     trained = [0]
     for h in history:

@@ -100,7 +100,7 @@ def prune(
         try:
             remaining = tagged.filter(F.col("_removed").isNull()).drop("_removed")
             n_remaining = n_pool - removed_so_far
-            (cut,) = hash_cuts(remaining, i, [train_rows(train_size, n_remaining)], id_col)
+            (cut,) = hash_cuts(remaining, i, [train_rows(train_size, n_remaining)], id_col, n_remaining)
             in_train = hash_key(i, id_col) <= cut
             train, fresh = remaining.filter(in_train), remaining.filter(~in_train)
 
@@ -138,8 +138,7 @@ def prune(
             if i:
                 gone = tagged.filter(F.col("_removed")).drop("_removed").withColumn("split", F.lit("removed"))
                 frame = frame.select(*gone.columns).unionByName(gone)
-            state.commit(i, chosen, n_remaining, n_chosen, score_models(frame, models, y))
-            history.append({"iter": i, "n_before": n_remaining, "n_chosen": n_chosen})
+            history.append(state.commit(i, chosen, n_remaining, n_chosen, score_models(frame, models, y)))
             removed_so_far += n_chosen
         finally:
             tagged.unpersist()

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.operators.metrics import score_columns
+from winnow.operators.metrics import regression_scores, score_columns, stacked_predictions
 from winnow.operators.rank import global_rank
 from winnow.operators.split import TRAIN_FRACTIONS, load_pruned, nested_sizes
 from winnow.plans.grow import (
@@ -46,18 +46,26 @@ def random_baseline(
         }
         # test rows count for every size, pool rows only for sizes that left them out
         frame = test.withColumn("step", F.lit(None).cast("int")).select(*stepped.columns).unionByName(stepped)
-        cells = []
-        for i, ((name, j), f) in enumerate(fitted.items()):
-            frame = f.transform(frame).withColumnRenamed("prediction", f"_p{i}")
-        for i, (name, j) in enumerate(fitted):
-            cell = [F.lit(name).alias("model"), F.lit(seed).alias("seed"),
-                    F.lit(float(fractions[j])).alias("train_size"), F.lit(sizes[j]).cast("long").alias("n_train")]
-            for suffix, inside in (("", F.col("step").isNull()), ("_val", F.col("step") > j)):
-                s = score_columns(F.when(inside, F.col(f"_p{i}")), F.when(inside, F.col(y)))
-                cell += [s["mae"].alias("maes" + suffix), s["rmse"].alias("rmse" + suffix), s["r2"].alias("r2" + suffix)]
-            cells.append(F.struct(*cell).alias(f"_c{i}"))
-        scored = frame.agg(*cells)
-        rows = scored.select(F.explode(F.array(*scored.columns)).alias("c")).select("c.*")
+        cells = F.array(*[
+            F.struct(F.lit(name).alias("model"), F.lit(j).alias("j"), F.lit(float(fractions[j])).alias("train_size"),
+                     F.lit(sizes[j]).cast("long").alias("n_train"))
+            for name, j in fitted
+        ])
+        scored = regression_scores(
+            stacked_predictions(frame, list(fitted.values()), ["step", y])
+            .withColumn("_cell", F.get(cells, "_m"))
+            .withColumn("_side", F.when(F.col("step").isNull(), "test").when(F.col("step") > F.col("_cell.j"), "val"))
+            .filter(F.col("_side").isNotNull()),
+            "prediction", y, ["_m", "_side"],
+        )
+        sides = []
+        for suffix, side in (("", "test"), ("_val", "val")):
+            for metric, column in (("mae", "maes"), ("rmse", "rmse"), ("r2", "r2")):
+                sides.append(F.max(F.when(F.col("_side") == side, F.col(metric))).alias(column + suffix))
+        rows = scored.groupBy("_m").agg(*sides).withColumn("_cell", F.get(cells, "_m")).select(
+            "_cell.model", F.lit(seed).alias("seed"), "_cell.train_size", "_cell.n_train",
+            "maes", "rmse", "r2", "maes_val", "rmse_val", "r2_val",
+        )
         rows = materialise(rows)
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -1,8 +1,8 @@
 """Run state: one Parquet partition per iteration, so a stopped run resumes exactly.
 
-Layout of a run folder: ``members/iter=i`` (ids chosen in iteration i), ``scores/iter=i``
-and ``done/iter=i``. The last is written after the other two and is what counts: an
-iteration without it is overwritten when the run resumes.
+Layout of a run folder: ``members/iter=i`` (ids chosen in iteration i) and
+``scores/iter=i``. The scores are written last and are what counts: an iteration
+without them is overwritten when the run resumes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from winnow.session import checkpoint_dir
 
-SCORES = "split string, model string, n long, mae double, rmse double, r2 double"
+UNSCORED = "split string, model string, n long, mae double, rmse double, r2 double"
+SCORES = f"{UNSCORED}, n_before long, n_chosen long"
 #: rows per written file of chosen ids
 FILE_ROWS = 1_000_000
 
@@ -43,23 +44,26 @@ class RunState:
     def done(self) -> list[dict]:
         """Committed iterations in order, with their sizes."""
         try:
-            rows = self._read("done", "n_before long, n_chosen long").orderBy("iter").collect()
+            sizes = self._read("scores", SCORES).select("iter", "n_before", "n_chosen").distinct()
+            rows = sizes.orderBy("iter").collect()
         except AnalysisException as err:
             if "PATH_NOT_FOUND" not in str(err):
                 raise
             return []
         return [r.asDict() for r in rows]
 
-    def commit(self, i: int, chosen: DataFrame, n_before: int, n_chosen: int, scores: DataFrame | None) -> None:
-        """``chosen(id, err)`` and the scores of iteration ``i``, then the marker."""
+    def commit(self, i: int, chosen: DataFrame, n_before: int, n_chosen: int, scores: DataFrame | None) -> dict:
+        """``chosen(id, err)``, then the scores of iteration ``i`` together with its sizes."""
         files = max(1, math.ceil(n_chosen / FILE_ROWS))
         chosen.select(self.id_col, "err").coalesce(files).write.mode("overwrite").parquet(f"{self.path}/members/iter={i}")
-        if scores is not None:
-            scores.select("split", "model", "n", "mae", "rmse", "r2").coalesce(1).write.mode("overwrite").parquet(
-                f"{self.path}/scores/iter={i}"
-            )
-        marker = self.spark.createDataFrame([(n_before, n_chosen)], "n_before long, n_chosen long")
-        marker.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/done/iter={i}")
+        if scores is None:
+            scores = self.spark.createDataFrame([(None,) * 6], UNSCORED)
+        (
+            scores.select("split", "model", "n", "mae", "rmse", "r2")
+            .withColumns({"n_before": F.lit(n_before).cast("long"), "n_chosen": F.lit(n_chosen).cast("long")})
+            .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/scores/iter={i}")
+        )
+        return {"iter": i, "n_before": n_before, "n_chosen": n_chosen}
 
     def members(self, before: int) -> DataFrame:
         """(id, err, iter) of the iterations before the given one."""
@@ -70,8 +74,9 @@ class RunState:
 
     def scores(self, before: int) -> DataFrame:
         if before <= 0:
-            return self.spark.createDataFrame([], f"{SCORES}, iter int")
-        return self._read("scores", SCORES).filter(F.col("iter") < before)
+            return self.spark.createDataFrame([], f"{UNSCORED}, iter int")
+        rows = self._read("scores", SCORES).filter((F.col("iter") < before) & F.col("split").isNotNull())
+        return rows.drop("n_before", "n_chosen")
 
 
 def write_curve(curve: DataFrame, path: str, run_id: str, iteration: int) -> None:
