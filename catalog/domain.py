@@ -39,11 +39,11 @@ refs AS MATERIALIZED (SELECT member, arg_max(e, id) AS reference FROM single JOI
 
 
 @query(f"""WITH {BAG_TYPE}, {FR}, {ENERGY}, {SINGLE}
-SELECT id, round(any_value(e) - sum(f * reference), 3) AS ef FROM fr JOIN refs USING (member) JOIN energy USING (id) GROUP BY id""")
+SELECT id, round((any_value(e) - sum(f * reference)) / any_value(e), 6) AS ef_share FROM fr JOIN refs USING (member) JOIN energy USING (id) GROUP BY id""")
 def reference_subtracted(spark, folder):
     bag, values = bag_by_type(spark, folder).persist(), order_energy(spark, folder)
     out = C.reference_subtracted(values, bag, "e", reset=True)
-    return out.select("id", F.round("ef", 3).alias("ef"))
+    return out.select("id", F.round(F.col("ef") / F.col("e"), 6).alias("ef_share"))
 
 
 MEMBERS = "mem AS (SELECT DISTINCT p_type AS m FROM part)"

@@ -201,17 +201,22 @@ def _sorted_hull(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: x slices per level of the hull; each level works on what the finer one kept
 HULL_SLICES = (4096, 64, 1)
+#: points that are few enough for one sorted stream per system
+HULL_DIRECT = 1_000_000
 
 
-def lower_hull(points: DataFrame, slices: Sequence[int] = HULL_SLICES) -> DataFrame:
+def lower_hull(points: DataFrame, slices: Sequence[int] | None = None) -> DataFrame:
     """Corners of the lower convex hull of each system: system, x, e.
 
     A corner of a system is a corner of its own x slice, so slices are reduced in
     parallel first and the next, wider slices see only their corners. Each task reads
     its slice as a sorted stream and keeps the corners alone, so a system holding a
-    third of the rows is spread over all slices.
+    third of the rows is spread over all slices. Few distinct points skip the finer
+    levels.
     """
-    level = points.groupBy("system", "x").agg(F.min("e").alias("e"))
+    level = materialise(points.groupBy("system", "x").agg(F.min("e").alias("e")))
+    if slices is None:
+        slices = HULL_SLICES if level.count() > HULL_DIRECT else (1,)
     for n in slices:
         part = F.floor(F.col("x") * n).cast("long")
         if n == 1:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from winnow.operators.affinity import choose_trees, topk_variance, weighted_vari
 from winnow.operators.metrics import score_models
 from winnow.operators.rank import batch_rule, ensemble_interval, first_k, hash_cuts, hash_key
 from winnow.operators.split import frac_sample, interval_number, quantile_seeds, seed_sample
-from winnow.session import materialise, spread
+from winnow.session import hold, materialise
 from winnow.sources.state import RunState
 
 ERR_DIGITS = 6
@@ -61,15 +60,10 @@ def grow_random(
     All rounds are prefixes of one random order, so a single pass finds every round's
     cut and no state is carried.
     """
-    base = spread(pool, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = base.count()
-        sizes = step_sizes(n, step_frac, stop_frac, score_full)
-        cuts = hash_cuts(base, seed, sizes, id_col, n)
-        stepped = base.withColumn("_step", interval_number(hash_key(seed, id_col), cuts))
-        stepped = materialise(stepped)
-    finally:
-        base.unpersist()
+    n = pool.count()
+    sizes = step_sizes(n, step_frac, stop_frac, score_full)
+    cuts = hash_cuts(pool, seed, sizes, id_col, n)
+    stepped = materialise(pool.withColumn("_step", interval_number(hash_key(seed, id_col), cuts)))
     fitted = {}
     for name, model in models.items():
         for i, f in enumerate(fit_prefixes(model, stepped, "_step", len(sizes))):
@@ -152,7 +146,7 @@ def grow_by_uncertainty(
     ``uncertainty(fitted, rest, train, round)`` returns the rest rows with a column
     ``err``; the models already fitted for scoring are passed in, not fitted again.
     """
-    base = materialise(spread(pool, id_col))
+    base = hold(pool, id_col)
     n = base.count()
     sizes = step_sizes(n, step_frac, stop_frac, score_full)[:max_rounds]
     state = RunState.open(pool, run_dir, id_col)
@@ -162,9 +156,9 @@ def grow_by_uncertainty(
         start = seed_sample(base, sizes[0], seed, id_col, n).withColumn("err", F.lit(None).cast("double"))
         history = [state.commit(0, start, 0, sizes[0], None)]
     for r in range(len(history) - 1, len(sizes)):
-        known = state.members(r + 1).select(id_col, F.lit(True).alias("_known"))
-        tagged = base.join(known, id_col, "left").persist(StorageLevel.MEMORY_AND_DISK)
+        known = hold(state.members(r + 1).select(id_col, F.lit(True).alias("_known")), id_col)
         try:
+            tagged = base.join(known, id_col, "left")
             train = tagged.filter("_known").drop("_known")
             rest = tagged.filter(F.col("_known").isNull()).drop("_known")
             fitted = {name: model.fit(train) for name, model in models.items()}
@@ -178,7 +172,8 @@ def grow_by_uncertainty(
                 none = base.select(id_col, F.lit(0.0).alias("err")).limit(0)
                 state.commit(r + 1, none, sizes[r], 0, scores)
         finally:
-            tagged.unpersist()
+            known.unpersist()
+    base.unpersist()
     rounds = len(sizes)
     # scores of round r are committed together with the batch it chose
     scores = state.scores(rounds + 1).withColumn("iter", F.col("iter") - 1)
@@ -228,7 +223,7 @@ def grow_by_error(
     when a batch would exceed the pool.
     """
     pick = batch_rule(criterion)
-    base = materialise(spread(pool, id_col))
+    base = hold(pool, id_col)
     n = base.count()
     sizes = list(batch_sizes) if batch_sizes else [max(1, n // n_iter)] * (n_iter + 1)
     state = RunState.open(pool, run_dir, id_col)
@@ -246,9 +241,9 @@ def grow_by_error(
     for r in range(len(history) - 1, len(sizes)):
         if ended:
             break
-        known = state.members(r + 1).select(id_col, F.lit(True).alias("_known"))
-        tagged = base.join(known, id_col, "left").persist(StorageLevel.MEMORY_AND_DISK)
+        known = hold(state.members(r + 1).select(id_col, F.lit(True).alias("_known")), id_col)
         try:
+            tagged = base.join(known, id_col, "left")
             train = tagged.filter("_known").drop("_known")
             rest = tagged.filter(F.col("_known").isNull()).drop("_known")
             if val is None:
@@ -272,7 +267,8 @@ def grow_by_error(
             n_train += n_chosen
             trained.append(n_train)
         finally:
-            tagged.unpersist()
+            known.unpersist()
+    base.unpersist()
     rounds = len(trained) - 1
     scores = state.scores(rounds).withColumn("iter", F.col("iter") - 1)
     frame = pool.sparkSession.createDataFrame(

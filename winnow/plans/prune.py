@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.metrics import prune_curve, score_columns, score_models
 from winnow.operators.rank import first_k, hash_cuts, hash_key, redundancy_ranking
 from winnow.operators.split import train_rows
-from winnow.session import materialise, spread
+from winnow.session import hold, materialise
 from winnow.sources.state import RunState
 
 #: fixed values: iterations at most, and rows that must remain
@@ -75,13 +74,14 @@ def prune(
     second model's errors. The run ends when fewer than ``min_remaining`` rows would
     remain; the rows chosen by an ending iteration are proposed but not removed.
 
-    The pool is partitioned by id once. An iteration joins it with the ids removed so
-    far (only these move), and everything chosen is a comparison with a few numbers:
-    no id list reaches the driver.
+    The pool is partitioned and sorted by id once. An iteration brings the ids removed
+    so far into the same order (only these move), so its passes merge the two without a
+    shuffle, and everything chosen is a comparison with a few numbers: no id list
+    reaches the driver.
     """
     if join_model and (model_test is None or threshold2 is None):
         raise ValueError("join_model needs model_test and threshold2")
-    base = materialise(spread(pool, id_col))
+    base = hold(pool, id_col)
     n_pool = base.count()
     if min_drop is None:
         min_drop = n_pool // 100
@@ -94,10 +94,9 @@ def prune(
         return df if fixed_train is None else df.unionByName(fixed_train.select(*df.columns))
 
     for i in range(start, max_iter):
-        removed = state.members(i).select(id_col, F.lit(True).alias("_removed"))
-        tagged = base.join(removed, id_col, "left") if i else base.withColumn("_removed", F.lit(None).cast("boolean"))
-        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        gone_ids = hold(state.members(i).select(id_col, F.lit(True).alias("_removed")), id_col) if i else None
         try:
+            tagged = base.join(gone_ids, id_col, "left") if i else base.withColumn("_removed", F.lit(None).cast("boolean"))
             remaining = tagged.filter(F.col("_removed").isNull()).drop("_removed")
             n_remaining = n_pool - removed_so_far
             (cut,) = hash_cuts(remaining, i, [train_rows(train_size, n_remaining)], id_col, n_remaining)
@@ -141,12 +140,14 @@ def prune(
             history.append(state.commit(i, chosen, n_remaining, n_chosen, score_models(frame, models, y)))
             removed_so_far += n_chosen
         finally:
-            tagged.unpersist()
+            if gone_ids is not None:
+                gone_ids.unpersist()
 
+    base.unpersist()
     n_iter = len(history)
     proposed = state.members(n_iter)
     applied = proposed if stopped else proposed.filter(F.col("iter") < n_iter - 1)
-    membership = base.select(id_col).join(
+    membership = pool.select(id_col).join(
         applied.select(id_col, F.col("iter").alias("iter_removed"), "err"), id_col, "left"
     )
     sizes = pool.sparkSession.createDataFrame(

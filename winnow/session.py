@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,3 +51,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     join on the same keys shuffles only its other side.
     """
     return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+
+
+def hold(df: DataFrame, key: str) -> DataFrame:
+    """Cache ``df`` hash-partitioned and sorted by ``key``.
+
+    Two tables held by the same key merge-join without any shuffle or sort. A lost
+    cache block is rebuilt from the lineage. The caller unpersists.
+    """
+    return spread(df, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
