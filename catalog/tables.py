@@ -112,7 +112,7 @@ def damaged_features(spark: SparkSession, folder: str) -> DataFrame:
         "avg_discount",
         F.when(F.col("avg_tax") == 0, F.lit(float("inf"))).otherwise(F.col("avg_tax")).alias("avg_tax"),
         "avg_p_size", "avg_p_retail",
-        F.when(F.col("avg_p_retail") < 920, None).when(F.col("avg_discount") < 0.03, 0.0).otherwise(F.col("y")).alias("y"),
+        F.when(F.col("avg_p_size") >= 40, None).when(F.col("avg_discount") < 0.03, 0.0).otherwise(F.col("y")).alias("y"),
     )
 
 
@@ -120,7 +120,7 @@ F4 = F1 + """, f4 AS MATERIALIZED (
   SELECT id, n_lines, CASE WHEN avg_p_size >= 15 THEN qty END AS qty, avg_discount,
          CASE WHEN avg_tax = 0 THEN CAST('Infinity' AS DOUBLE) ELSE avg_tax END AS avg_tax,
          avg_p_size, avg_p_retail,
-         CASE WHEN avg_p_retail < 920 THEN NULL WHEN avg_discount < 0.03 THEN 0.0 ELSE y END AS y
+         CASE WHEN avg_p_size >= 40 THEN NULL WHEN avg_discount < 0.03 THEN 0.0 ELSE y END AS y
   FROM f1)"""
 F4_FINITE = F4 + """, fin AS MATERIALIZED (
   SELECT * REPLACE (CASE WHEN isinf(avg_tax) OR isnan(avg_tax) THEN NULL ELSE avg_tax END AS avg_tax) FROM f4)"""

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from winnow.session import materialise
 
 #: rows a single task may sort to settle a cut exactly
-SETTLE_ROWS = 100_000
+SETTLE_ROWS = 500_000
 #: hex digits counted per pass: at most 16**3 = 4096 counts per prefix reach the driver
 PREFIX_DIGITS = 3
 #: above every hex digest, so that a cut of "all rows" compares true
