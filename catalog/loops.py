@@ -10,7 +10,7 @@ from catalog.tables import F1, F2, document_features, order_features
 from winnow.operators.models import GroupMean, Ols1
 from winnow.operators.split import random_split
 from winnow.plans import grow as G
-from winnow.plans.prune import prune, prune_threshold
+from winnow.plans.prune import guided_prune, prune, prune_threshold
 from winnow.plans.runs import train_on_pruned
 
 OLS, GM = ("ols", "n_lines"), ("gm", "n_lines")
@@ -41,7 +41,8 @@ def prune_3iter(spark, folder):
 
 @query(prune_sql(F1, "f1", 3, 0.8, HALF, "SELECT * FROM scores", second=GM))
 def prune_transfer(spark, folder):
-    return rounded_scores(pruned_three(spark, folder, model_test=GroupMean("n_lines")).scores)
+    pool, test = split_pool(spark, folder)
+    return rounded_scores(guided_prune(Ols1("n_lines"), GroupMean("n_lines"), pool, test, max_iter=3).scores)
 
 
 @query(prune_sql(F1, "f1", 3, 0.8, HALF, """SELECT CAST(i AS INTEGER) AS iter, v AS val_size, v / p AS val_ratio,

@@ -236,6 +236,20 @@ def test_neighbours_in_mixed_density(spark):
     assert got == brute_edges(sites, [(g, s, (0, 0, 0), c) for g, s, c in sites], 2.0, 5)
 
 
+def test_piles_of_copies_stay_small(spark):
+    dense = rng.normal(scale=1e-7, size=(300, 3))
+    spots = [(0, i, [float(v) for v in c]) for i, c in enumerate(dense)]
+    pile = [(1, 1000 + i, [0.5, 0.5, 0.5]) for i in range(500)] + [(1, i, [0.5, 0.5, 0.5 + i / 10]) for i in (1, 2, 3)]
+    df = spark.createDataFrame(spots + pile, "gid int, site int, c array<double>")
+    found = G.neighbour_edges(df, cutoff=2.0, k=4).collect()
+    got = {(r["gid"], r["src"], r["dst"], tuple(r["image"])) for r in found if r["gid"] == 0}
+    assert got == brute_edges(spots, [(g, s, (0, 0, 0), c) for g, s, c in spots], 2.0, 4)
+    piled = {(r["src"], r["dst"], r["n_src"], r["n_dst"]) for r in found if r["gid"] == 1}
+    # the pile's own copies are its nearest; each single site sees nearer singles, then the pile
+    assert (1000, 1000, 500, 499) in piled and not any(a == 1000 and b != 1000 for a, b, _, _ in piled)
+    assert {e for e in piled if e[0] == 3} == {(3, 2, 1, 1), (3, 1, 1, 1), (3, 1000, 1, 500)}
+
+
 def test_periodic_neighbours(spark):
     lattice = [[3.0, 0.0, 0.0], [0.5, 2.5, 0.0], [0.0, 0.3, 4.0]]
     frac = [(0, 0, [0.1, 0.2, 0.3]), (0, 1, [0.6, 0.7, 0.9]), (1, 0, [0.0, 0.0, 0.0])]

@@ -35,14 +35,20 @@ def member_counts(df: DataFrame, members: str, id_col: str = "id") -> DataFrame:
     )
 
 
+def _merged(bag: DataFrame, id_col: str) -> DataFrame:
+    """One row per (id, member); combined on the map side, so a hot id shrinks first."""
+    return bag.groupBy(id_col, "member").agg(F.sum("amount").alias("amount"))
+
+
 def fractions(bag: DataFrame, id_col: str = "id") -> DataFrame:
     """One row per (id, member) with ``frac``, its share of the id's total amount.
 
-    Amounts are summed per member first (combined on the map side), so an id that
-    holds a third of all rows shrinks to at most one row per member before the window.
+    Totals are an aggregate joined back rather than a window, so an id with very many
+    members is never gathered in one task.
     """
-    merged = bag.groupBy(id_col, "member").agg(F.sum("amount").alias("amount"))
-    return merged.withColumn("frac", F.col("amount") / F.sum("amount").over(Window.partitionBy(id_col)))
+    merged = _merged(bag, id_col)
+    totals = merged.groupBy(id_col).agg(F.sum("amount").alias("_total"))
+    return merged.join(totals, id_col).withColumn("frac", F.col("amount") / F.col("_total")).drop("_total")
 
 
 def composition_features(
@@ -55,11 +61,13 @@ def composition_features(
     deviation) and mode (smallest value among the most abundant members). A member
     without a property value makes that property's statistics null.
     """
-    shares = fractions(bag, id_col).join(props.select("member", *properties), "member", "left")
-    per_id = Window.partitionBy(id_col)
-    top = shares.withColumn("_top", F.max("frac").over(per_id))
-    for p in properties:
-        top = top.withColumn(f"_mean_{p}", F.sum(F.col("frac") * F.col(p)).over(per_id))
+    rows = _merged(bag, id_col).join(props.select("member", *properties), "member", "left")
+    total = F.sum("amount")
+    per_id = rows.groupBy(id_col).agg(
+        total.alias("_total"), F.max("amount").alias("_top"),
+        *[(F.sum(F.col("amount") * F.col(p)) / total).alias(f"_mean_{p}") for p in properties],
+    )
+    shares = rows.join(per_id, id_col).withColumn("frac", F.col("amount") / F.col("_total"))
     aggs: list[Column] = []
     for p in norms:
         norm = F.count_if(F.col("frac") > 0).cast("double") if p == 0 else F.pow(F.sum(F.pow("frac", F.lit(float(p)))), F.lit(1.0 / p))
@@ -72,10 +80,10 @@ def composition_features(
             "range": F.max(p) - F.min(p),
             "mean": F.sum(F.col("frac") * F.col(p)),
             "avg_dev": F.sum(F.col("frac") * F.abs(F.col(p) - F.col(f"_mean_{p}"))),
-            "mode": F.min(F.when(F.col("frac") == F.col("_top"), F.col(p))),
+            "mode": F.min(F.when(F.col("amount") == F.col("_top"), F.col(p))),
         }
         aggs += [F.when(complete, value).alias(f"{p}_{name}") for name, value in stats.items()]
-    return top.groupBy(id_col).agg(*aggs)
+    return shares.groupBy(id_col).agg(*aggs)
 
 
 def pure_energies(df: DataFrame) -> DataFrame:

@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.columns import cartesian, cross3, dot3, norm3
+from winnow.session import materialise
 
-#: grid levels: cell edge is cutoff / 2**level
-MAX_LEVEL = 12
+#: grid levels tried per round: cell edge is cutoff / 2**level
+LEVELS = 8
+#: a cell with more than this many times k points is refined further
+CROWDED = 16
+#: finest grid level; doubles resolve little beyond
+MAX_LEVEL = 40
 
 
 def periodic_images(sites: DataFrame, cutoff: float, frac: str = "frac", lattice: str = "lattice") -> DataFrame:
@@ -31,74 +36,107 @@ def periodic_images(sites: DataFrame, cutoff: float, frac: str = "frac", lattice
     return out.withColumn("c", cartesian(moved, m)).withColumn("image", image).drop("_o0", "_o1", "_o2")
 
 
-def _cell(level: Column | int, cutoff: float, axis: int, c: Column) -> Column:
-    edge = F.lit(cutoff) / F.pow(F.lit(2.0), level if isinstance(level, Column) else F.lit(float(level)))
-    return F.floor(c[axis] / edge).cast("long")
+ORIGIN = (0, 0, 0)
+CELL = ["gid", "level", "g0", "g1", "g2"]
+
+
+def _image(offsets: tuple[int, int, int] = ORIGIN) -> Column:
+    return F.array(*[F.lit(o) for o in offsets])
+
+
+def _with_cells(frame: DataFrame, point: str, cutoff: float) -> DataFrame:
+    """Grid cell of ``point`` at the row's ``level``."""
+    edge = F.lit(cutoff) / F.pow(F.lit(2.0), F.col("level").cast("double"))
+    return frame.select("*", *[F.floor(F.col(point)[a] / edge).cast("long").alias(f"g{a}") for a in range(3)])
+
+
+def _fitting_level(places: DataFrame, targets: DataFrame, cutoff: float, k: int) -> DataFrame:
+    """Per place the finest grid level whose cell holds more than ``k`` points: gid, src, fit.
+
+    Counts are one row per cell. Levels are tried in rounds; a further round looks at
+    the places whose finest cell is still crowded, so dense regions are resolved
+    without trying all levels for everyone. Places in no such cell are left out.
+    """
+    out, first = None, 0
+    here, there = places.select("gid", "src", "sc"), targets.select("gid", "tc", "n_dst")
+    while True:
+        last = min(first + LEVELS, MAX_LEVEL)
+        levels = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("level")
+        cells = (
+            _with_cells(there.select("gid", "tc", "n_dst", levels), "tc", cutoff)
+            .groupBy(*CELL).agg(F.sum("n_dst").alias("held")).filter(F.col("held") > k)
+        )
+        found = materialise(
+            _with_cells(here.select("gid", "src", "sc", levels), "sc", cutoff).join(cells, CELL)
+            .groupBy("gid", "src").agg(F.max("level").alias("fit"), F.max_by("held", "level").alias("held"))
+        )
+        out = found if out is None else out.unionByName(found)
+        crowded = found.filter((F.col("fit") == last) & (F.col("held") > CROWDED * k))
+        if last == MAX_LEVEL or not crowded.head(1):
+            return out.groupBy("gid", "src").agg(F.max("fit").alias("fit"))
+        keys = crowded.select("gid", "src")
+        here = here.join(keys, ["gid", "src"], "left_semi")
+        busy = cells.filter((F.col("level") == last) & (F.col("held") > CROWDED * k)).select(*CELL)
+        there = _with_cells(there.withColumn("level", F.lit(last)), "tc", cutoff).join(busy, CELL, "left_semi").select("gid", "tc", "n_dst")
+        first = last + 1
 
 
 def neighbour_edges(
-    sites: DataFrame, cutoff: float = 8.0, k: int = 12, images: DataFrame | None = None, levels: int = MAX_LEVEL,
+    sites: DataFrame, cutoff: float = 8.0, k: int = 12, images: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` nearest neighbours of each site within ``cutoff``; ties at the k-th distance stay.
 
     ``sites(gid, site, c)`` with ``c`` an array of three coordinates; ``images(gid,
     site, c, image)`` adds periodic copies as possible neighbours (without it each
-    structure is taken as it stands). Columns: gid, src, dst, image, r (array), d.
+    structure is taken as it stands). Columns: gid, src, dst, image, r (array), d,
+    n_src, n_dst.
+
+    Sites at the very same place are one place, named by its smallest site and counted
+    in ``n_src`` and ``n_dst`` (1 for ordinary structures); its other sites appear as an
+    edge of length 0 to itself. A pile of copies therefore costs one row, not all pairs.
 
-    Pairs are never enumerated per structure. A site whose grid cell holds more than k
+    Pairs are never enumerated per structure. A place whose grid cell holds more than k
     points has its k nearest within that cell's diagonal, so the finest such cell gives
-    a proven search radius; the site then meets only points of the cells around it, at
+    a proven search radius; the place then meets only points of the cells around it, at
     the grid level that fits this radius. Dense regions use fine grids, sparse ones
     coarse, and nothing is cut off.
     """
+    places = sites.groupBy("gid", F.col("c").alias("sc")).agg(
+        F.min("site").alias("src"), F.count(F.lit(1)).alias("n_src")
+    )
     if images is None:
-        targets = sites.select("gid", F.col("site").alias("dst"), F.col("c").alias("tc"),
-                               F.array(F.lit(0), F.lit(0), F.lit(0)).alias("image"))
+        targets = places.select("gid", F.col("src").alias("dst"), F.col("sc").alias("tc"), _image().alias("image"),
+                                F.col("n_src").alias("n_dst"))
     else:
-        targets = images.select("gid", F.col("site").alias("dst"), F.col("c").alias("tc"), "image")
-
-    # points per cell and level; a cell is one row however many points it holds
-    all_levels = F.sequence(F.lit(0), F.lit(levels))
-
-    def cells(frame: DataFrame, point: str) -> DataFrame:
-        c = F.col(point)
-        return frame.select(
-            "*", *[_cell(F.col("level").cast("double"), cutoff, a, c).alias(f"g{a}") for a in range(3)]
+        targets = images.groupBy("gid", F.col("c").alias("tc"), "image").agg(
+            F.min("site").alias("dst"), F.count(F.lit(1)).alias("n_dst")
         )
-
-    key = ["gid", "level", "g0", "g1", "g2"]
-    counted = (
-        cells(targets.select("gid", "tc", F.explode(all_levels).alias("level")), "tc")
-        .groupBy(*key).count().filter(F.col("count") > k)
-    )
-    fitting = (
-        cells(sites.select("gid", "site", "c", F.explode(all_levels).alias("level")), "c")
-        .join(counted.select(*key), key, "left_semi")
-        .groupBy("gid", "site").agg(F.max("level").alias("fit"))
-    )
-    edge_of = lambda level: F.lit(cutoff) / F.pow(F.lit(2.0), level.cast("double"))
-    placed = sites.select("gid", F.col("site").alias("src"), F.col("c").alias("sc")).join(
-        fitting.withColumnRenamed("site", "src"), ["gid", "src"], "left"
-    )
-    radius = F.least(F.lit(cutoff), F.coalesce(edge_of(F.col("fit")) * math.sqrt(3), F.lit(cutoff)))
+    places, targets = materialise(places), materialise(targets)
+    fitting = _fitting_level(places, targets, cutoff, k)
+    placed = places.join(fitting, ["gid", "src"], "left")
+    edge = F.lit(cutoff) / F.pow(F.lit(2.0), F.col("fit").cast("double"))
+    radius = F.least(F.lit(cutoff), F.coalesce(edge * math.sqrt(3), F.lit(cutoff)))
     # cells one level up are at least as wide as the radius (2 > sqrt 3)
     level = F.greatest(F.coalesce(F.col("fit") - 1, F.lit(0)), F.lit(0))
     placed = placed.withColumn("radius", radius).withColumn("level", level)
-    around = cells(placed, "sc")
+    around = _with_cells(placed, "sc", cutoff)
     for a in range(3):
         around = around.withColumn(f"g{a}", F.explode(F.sequence(F.col(f"g{a}") - 1, F.col(f"g{a}") + 1)))
     used = placed.select("gid", "level").distinct()
-    near = cells(targets.join(used, "gid"), "tc")
+    near = _with_cells(targets.join(used, "gid"), "tc", cutoff)
     r = F.array(*[F.col("tc")[a] - F.col("sc")[a] for a in range(3)])
-    home = (F.col("src") == F.col("dst")) & (F.col("image") == F.array(F.lit(0), F.lit(0), F.lit(0)))
+    home = (F.col("src") == F.col("dst")) & (F.col("image") == _image())
+    others = F.when(home, F.col("n_dst") - 1).otherwise(F.col("n_dst"))
     found = (
-        around.join(near, key).filter(~home)
-        .select("gid", "src", "dst", "image", r.alias("r"), norm3(r).alias("d"), "radius")
-        .filter(F.col("d") <= F.col("radius") * (1 + 1e-12)).filter(F.col("d") <= F.lit(cutoff))
+        around.join(near, CELL)
+        .select("gid", "src", "dst", "image", r.alias("r"), norm3(r).alias("d"), "radius", "n_src", others.alias("n_dst"))
+        .filter((F.col("n_dst") > 0) & (F.col("d") <= F.col("radius") * (1 + 1e-12)) & (F.col("d") <= F.lit(cutoff)))
     )
-    nearest = Window.partitionBy("gid", "src").orderBy("d")
+    of_place = Window.partitionBy("gid", "src").orderBy("d")
+    at_most = F.sum("n_dst").over(of_place.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tied = F.sum("n_dst").over(of_place.rangeBetween(Window.currentRow, Window.currentRow))
     return (
-        found.withColumn("_rank", F.rank().over(nearest)).filter(F.col("_rank") <= k).drop("_rank", "radius")
+        found.withColumn("_nearer", at_most - tied).filter(F.col("_nearer") < k).drop("_nearer", "radius")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +152,7 @@ def grow_by_uncertainty(
     sizes = step_sizes(n, step_frac, stop_frac, score_full)[:max_rounds]
     state = RunState.open(pool, run_dir, id_col)
     history = state.done() if resume else []
-    test = test.withColumn("split", F.lit("test"))
+    test = test.withColumn("split", F.lit("test")).persist(StorageLevel.MEMORY_AND_DISK)
     if not history and sizes:
         start = seed_sample(base, sizes[0], seed, id_col, n).withColumn("err", F.lit(None).cast("double"))
         history = [state.commit(0, start, 0, sizes[0], None)]
@@ -174,6 +175,7 @@ def grow_by_uncertainty(
         finally:
             known.unpersist()
     base.unpersist()
+    test.unpersist()
     rounds = len(sizes)
     # scores of round r are committed together with the batch it chose
     scores = state.scores(rounds + 1).withColumn("iter", F.col("iter") - 1)
@@ -228,7 +230,7 @@ def grow_by_error(
     sizes = list(batch_sizes) if batch_sizes else [max(1, n // n_iter)] * (n_iter + 1)
     state = RunState.open(pool, run_dir, id_col)
     history = state.done() if resume else []
-    test = test.withColumn("split", F.lit("test"))
+    test = test.withColumn("split", F.lit("test")).persist(StorageLevel.MEMORY_AND_DISK)
     if not history:
         start = materialise(quantile_seeds(base, y, sizes[0], id_col).withColumn("err", F.lit(None).cast("double")))
         n_start = start.count()
@@ -269,6 +271,7 @@ def grow_by_error(
         finally:
             known.unpersist()
     base.unpersist()
+    test.unpersist()
     rounds = len(trained) - 1
     scores = state.scores(rounds).withColumn("iter", F.col("iter") - 1)
     frame = pool.sparkSession.createDataFrame(

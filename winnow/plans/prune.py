@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def prune(
     """
     if join_model and (model_test is None or threshold2 is None):
         raise ValueError("join_model needs model_test and threshold2")
-    base = hold(pool, id_col)
+    base, test = hold(pool, id_col), test.persist(StorageLevel.MEMORY_AND_DISK)
     n_pool = base.count()
     if min_drop is None:
         min_drop = n_pool // 100
@@ -144,6 +145,7 @@ def prune(
                 gone_ids.unpersist()
 
     base.unpersist()
+    test.unpersist()
     n_iter = len(history)
     proposed = state.members(n_iter)
     applied = proposed if stopped else proposed.filter(F.col("iter") < n_iter - 1)
@@ -156,3 +158,9 @@ def prune(
     return PruneResult(
         membership, proposed, state.scores(n_iter), prune_curve(sizes, n_pool), stopped, n_iter
     )
+
+
+def guided_prune(guide, guided, pool: DataFrame, test: DataFrame, train_size: float = 0.8, **settings) -> PruneResult:
+    """Prune by the ``guide`` at half its own error, and watch how ``guided`` fares on what is left."""
+    y = settings.get("y", "y")
+    return prune(guide, pool, test, prune_threshold(guide, pool, test, y), train_size, model_test=guided, **settings)
