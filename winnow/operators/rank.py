@@ -11,7 +11,7 @@ sort plus per-partition offsets gives it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,53 +34,47 @@ def hash_key(seed: int | str, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 
 
-def hash_cuts(
-    df: DataFrame, seed: int | str, sizes: Sequence[int], id_col: str = "id", total: int | None = None
-) -> list[str]:
-    """For each size k the hash h_k such that exactly k rows have ``hash_key <= h_k``.
+def _count_prefixes(keyed: DataFrame, digits: int, inside: Sequence[str]) -> dict[str, int]:
+    """Rows per hash prefix of ``digits`` digits, within the given shorter prefixes."""
+    scope = keyed.filter(F.substring("h", 1, digits - PREFIX_DIGITS).isin(list(inside))) if inside else keyed
+    return {r["p"]: r["count"] for r in scope.groupBy(F.substring("h", 1, digits).alias("p")).count().collect()}
 
-    Counts rows per hash prefix, extends only the prefixes that hold a cut until each
-    holds at most ``SETTLE_ROWS`` rows, then ranks inside those. Hashes are uniform,
-    so the prefixes stay balanced whatever the ids look like. ``total``, the row count
-    where it is known, saves the counting pass on small tables.
+
+def cuts_for(
+    df: DataFrame, seed: int | str, sizes_of: Callable[[int], Sequence[int]], id_col: str = "id", total: int | None = None
+) -> tuple[list[str], list[int]]:
+    """Cuts and sizes of a draw whose sizes depend on the row count, as ``sizes_of(n)``.
+
+    For each size k the cut is the hash h_k such that exactly k rows have ``hash_key <=
+    h_k``. Counts rows per hash prefix, which also gives n, extends only the prefixes
+    that hold a cut until each holds at most ``SETTLE_ROWS`` rows, then ranks inside
+    those. Hashes are uniform, so the prefixes stay balanced whatever the ids look like.
+    ``total``, the row count where it is known, saves the counting pass on small tables.
     """
     keyed = df.select(hash_key(seed, id_col).alias("h"))
-    cuts: list[str | None] = ["" if k <= 0 else None for k in sizes]
+    digits = 0 if total is not None else PREFIX_DIGITS
+    counts = {"": total} if total is not None else _count_prefixes(keyed, digits, [])
+    n = sum(counts.values())
+    sizes = list(sizes_of(n))
+    cuts: list[str | None] = ["" if k <= 0 else AFTER_ALL if k >= n else None for k in sizes]
     # open targets: index -> (prefix holding the cut, rank inside that prefix)
-    targets = {i: ("", k) for i, k in enumerate(sizes) if k > 0}
-    digits = 0
-    if total is not None:
-        for i, k in enumerate(sizes):
-            if k >= total:
-                cuts[i] = AFTER_ALL
-                targets.pop(i, None)
-    while targets and not (total is not None and total <= SETTLE_ROWS):
-        prefixes = sorted({p for p, _ in targets.values()})
-        digits += PREFIX_DIGITS
-        scope = keyed
-        if prefixes != [""]:
-            scope = keyed.filter(F.substring("h", 1, digits - PREFIX_DIGITS).isin(prefixes))
-        counts = {
-            r["p"]: r["count"]
-            for r in scope.groupBy(F.substring("h", 1, digits).alias("p")).count().collect()
-        }
+    targets = {i: ("", k) for i, k in enumerate(sizes) if cuts[i] is None}
+    while targets:
         ordered = sorted(counts)
-        for i, (prefix, rank) in list(targets.items()):
-            left = rank
+        for i, (prefix, left) in targets.items():
             for p in (q for q in ordered if q.startswith(prefix)):
                 if left <= counts[p]:
                     targets[i] = (p, left)
                     break
                 left -= counts[p]
-            else:
-                cuts[i] = AFTER_ALL
-                del targets[i]
         if all(counts[p] <= SETTLE_ROWS for p, _ in targets.values()):
             break
+        digits += PREFIX_DIGITS
+        counts = _count_prefixes(keyed, digits, sorted({p for p, _ in targets.values()}))
     if targets:
-        wanted = {}
-        for i, (p, rank) in targets.items():
-            wanted.setdefault((p, rank), []).append(i)
+        wanted: dict[tuple[str, int], list[int]] = {}
+        for i, place in targets.items():
+            wanted.setdefault(place, []).append(i)
         by_prefix = Window.partitionBy("p").orderBy("h")
         hits = (
             keyed.withColumn("p", F.substring("h", 1, digits))
@@ -92,7 +86,14 @@ def hash_cuts(
         for row in hits:
             for i in wanted[(row["p"], row["rank"])]:
                 cuts[i] = row["h"]
-    return cuts
+    return cuts, sizes
+
+
+def hash_cuts(
+    df: DataFrame, seed: int | str, sizes: Sequence[int], id_col: str = "id", total: int | None = None
+) -> list[str]:
+    """The cuts of a draw of given sizes."""
+    return cuts_for(df, seed, lambda _n: sizes, id_col, total)[0]
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.operators.rank import first_k, global_rank, hash_cuts, hash_key
+from winnow.operators.rank import cuts_for, first_k, global_rank, hash_cuts, hash_key
 
 
 def test_rows(frac: float, n: int) -> int:
@@ -36,12 +36,11 @@ def random_split(
     """Add ``split``: ``test`` holds ceil(f*n) rows, or ``train`` holds floor(f*n) rows."""
     if (test_frac is None) == (train_frac is None):
         raise ValueError("give either test_frac or train_frac")
-    n = df.count()
     if test_frac is not None:
-        drawn, name, rest = test_rows(test_frac, n), "test", "train"
+        name, rest, drawn = "test", "train", lambda n: [test_rows(test_frac, n)]
     else:
-        drawn, name, rest = train_rows(train_frac, n), "train", "test"
-    (cut,) = hash_cuts(df, seed, [drawn], id_col, n)
+        name, rest, drawn = "train", "test", lambda n: [train_rows(train_frac, n)]
+    (cut,), _ = cuts_for(df, seed, drawn, id_col)
     return df.withColumn("split", F.when(hash_key(seed, id_col) <= cut, name).otherwise(rest))
 
 
@@ -102,15 +101,13 @@ def frac_sample(df: DataFrame, frac: float, seed: int, id_col: str = "id") -> Da
     """round(frac*n) rows drawn without replacement."""
     if frac >= 1:
         return df
-    total = df.count()
-    return seed_sample(df, round(frac * total), seed, id_col, total)
+    (cut,), _ = cuts_for(df, seed, lambda n: [round(frac * n)], id_col)
+    return df.filter(hash_key(seed, id_col) <= cut)
 
 
 def kfold(df: DataFrame, k: int, seed: int, id_col: str = "id") -> DataFrame:
     """Add ``fold`` 0..k-1; the first n mod k folds hold one row more."""
-    n = df.count()
-    ends = [(f + 1) * (n // k) + min(f + 1, n % k) for f in range(k - 1)]
-    cuts = hash_cuts(df, seed, ends, id_col, n)
+    cuts, _ = cuts_for(df, seed, lambda n: [(f + 1) * (n // k) + min(f + 1, n % k) for f in range(k - 1)], id_col)
     return df.withColumn("fold", interval_number(hash_key(seed, id_col), cuts))
 
 
@@ -137,9 +134,7 @@ def nested_sizes(
     Training sets of one seed are nested, so one column serves every size: fraction
     ``j`` trains on ``step <= j``. Rows outside all of them get ``len(fractions)``.
     """
-    n = df.count()
-    sizes = [train_rows(f, n) for f in fractions]
-    cuts = hash_cuts(df, seed, sizes, id_col, n)
+    cuts, sizes = cuts_for(df, seed, lambda n: [train_rows(f, n) for f in fractions], id_col)
     return df.withColumn("step", interval_number(hash_key(seed, id_col), cuts)), sizes
 
 

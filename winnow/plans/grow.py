@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators.affinity import choose_trees, topk_variance, weighted_variance
 from winnow.operators.metrics import score_models
-from winnow.operators.rank import batch_rule, ensemble_interval, first_k, hash_cuts, hash_key
+from winnow.operators.rank import batch_rule, cuts_for, ensemble_interval, first_k, hash_key
 from winnow.operators.split import frac_sample, interval_number, quantile_seeds, seed_sample
 from winnow.session import hold, materialise
 from winnow.sources.state import RunState
@@ -62,8 +62,7 @@ def grow_random(
     cut and no state is carried.
     """
     n = pool.count()
-    sizes = step_sizes(n, step_frac, stop_frac, score_full)
-    cuts = hash_cuts(pool, seed, sizes, id_col, n)
+    cuts, sizes = cuts_for(pool, seed, lambda rows: step_sizes(rows, step_frac, stop_frac, score_full), id_col, n)
     stepped = materialise(pool.withColumn("_step", interval_number(hash_key(seed, id_col), cuts)))
     fitted = {}
     for name, model in models.items():
