@@ -60,7 +60,12 @@ def drop_correlated(spark, folder):
     return spark.createDataFrame([(",".join(kept), ",".join(dropped))], "kept string, dropped string")
 
 
-@query()
+RANKED = F1 + ", rk AS MATERIALIZED (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / CAST(2 AS DOUBLE) AS {c}" for c in ORDER_FEATURES) + " FROM f1)"
+
+
+@query(f"WITH {RANKED} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(abs(corr({a}, {b})), 6) AS r FROM rk" for a, b in PAIRS))
 def corr_spearman(spark, folder):
     return C.corr_pairs(order_features(spark, folder), ORDER_FEATURES, "spearman").withColumn("r", F.round("r", 6))
 

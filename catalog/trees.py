@@ -62,7 +62,7 @@ def grow_leaf_affinity(spark, folder):
     return G.grow_leaf_affinity(models, pool, test, small_boost("xgb_1tree"), tree_frac=0.8, step_frac=0.1, max_rounds=2).curve
 
 
-@query()
+@query(f"WITH {F1} SELECT id, 30 * n_lines + qty AS prediction FROM f1")
 def batch_predict(spark, folder):
     rows = split_orders(spark, folder)
     return M.batch_predict(lambda x: 30.0 * x["n_lines"] + x["qty"], ["n_lines", "qty"], rows).select("id", "prediction")

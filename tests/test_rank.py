@@ -16,7 +16,7 @@ def digest(seed, i):
 @pytest.mark.parametrize("settle", [5, 500_000])
 @pytest.mark.parametrize("total", [None, 300])
 def test_hash_cuts_are_exact(rows, monkeypatch, settle, total):
-    monkeypatch.setattr(R, "SETTLE_ROWS", settle)
+    monkeypatch.setattr(R, "SETTLE_HASHES", settle)
     monkeypatch.setattr(R, "PREFIX_DIGITS", 1)
     ids = [r["id"] for r in rows.collect()]
     hashes = sorted(digest(3, i) for i in ids)

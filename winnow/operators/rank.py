@@ -23,6 +23,8 @@ from winnow.session import materialise
 
 #: rows a single task may sort to settle a cut exactly
 SETTLE_ROWS = 500_000
+#: the same for hashes, where one more counting pass is cheaper than sorting many texts
+SETTLE_HASHES = 20_000
 #: hex digits counted per pass: at most 16**3 = 4096 counts per prefix reach the driver
 PREFIX_DIGITS = 3
 #: above every hex digest, so that a cut of "all rows" compares true
@@ -47,7 +49,7 @@ def cuts_for(
 
     For each size k the cut is the hash h_k such that exactly k rows have ``hash_key <=
     h_k``. Counts rows per hash prefix, which also gives n, extends only the prefixes
-    that hold a cut until each holds at most ``SETTLE_ROWS`` rows, then ranks inside
+    that hold a cut until each holds at most ``SETTLE_HASHES`` rows, then ranks inside
     those. Hashes are uniform, so the prefixes stay balanced whatever the ids look like.
     ``total``, the row count where it is known, saves the counting pass on small tables.
     """
@@ -67,7 +69,7 @@ def cuts_for(
                     targets[i] = (p, left)
                     break
                 left -= counts[p]
-        if all(counts[p] <= SETTLE_ROWS for p, _ in targets.values()):
+        if all(counts[p] <= SETTLE_HASHES for p, _ in targets.values()):
             break
         digits += PREFIX_DIGITS
         counts = _count_prefixes(keyed, digits, sorted({p for p, _ in targets.values()}))

@@ -63,19 +63,21 @@ def grow_random(
     """
     n = pool.count()
     cuts, sizes = cuts_for(pool, seed, lambda rows: step_sizes(rows, step_frac, stop_frac, score_full), id_col, n)
-    stepped = materialise(pool.withColumn("_step", interval_number(hash_key(seed, id_col), cuts)))
+    stepped = pool.withColumn("_step", interval_number(hash_key(seed, id_col), cuts))
+    stepped = stepped.persist(StorageLevel.MEMORY_AND_DISK)
     fitted = {}
     for name, model in models.items():
         for i, f in enumerate(fit_prefixes(model, stepped, "_step", len(sizes))):
             fitted[f"{i}:{name}"] = f
-    scores = score_models(test.withColumn("split", F.lit("test")), fitted, y)
+    scores = materialise(score_models(test.withColumn("split", F.lit("test")), fitted, y))
+    stepped.unpersist()
     parts = F.split("model", ":", 2)
     scores = scores.withColumn("iter", parts[0].cast("int")).withColumn("model", parts[1])
     frame = pool.sparkSession.createDataFrame(list(enumerate(sizes)), "iter int, train_size long")
     members = stepped.filter(F.col("_step") < len(sizes)).select(
         id_col, F.col("_step").alias("iter_added"), F.lit(None).cast("double").alias("err")
     )
-    return GrowResult(_curve(materialise(scores), frame, n, "test"), members)
+    return GrowResult(_curve(scores, frame, n, "test"), members)
 
 
 def fit_prefixes(model, df: DataFrame, step: str, n_steps: int) -> list:

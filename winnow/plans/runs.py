@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def random_baseline(
             sizes = [int(f * n) for f in fractions]
             step = F.size(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s < F.col("_rank")))
             stepped = global_rank(pool, order, "_rank").withColumn("step", step).drop("_rank")
-        stepped = materialise(stepped)
+        stepped = stepped.persist(StorageLevel.MEMORY_AND_DISK)
         fitted = {
             (name, j): f
             for name, model in models.items()
@@ -67,6 +68,7 @@ def random_baseline(
             "maes", "rmse", "r2", "maes_val", "rmse_val", "r2_val",
         )
         rows = materialise(rows)
+        stepped.unpersist()
         out = rows if out is None else out.unionByName(rows)
     return out
 
