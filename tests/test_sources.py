@@ -129,9 +129,11 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 
 
 def test_held_tables_join_without_exchange(spark):
-    left = S.hold(spark.range(5000).withColumn("v", F.rand(1)), "id")
-    right = S.hold(spark.range(0, 5000, 3).withColumn("w", F.lit(1)), "id")
+    left = S.hold(spark.range(5000).withColumn("v", F.rand(1)), "id", 5000)
+    right = S.hold(spark.range(0, 5000, 3).withColumn("w", F.lit(1)), "id", 5000)
     left.count(), right.count()
+    # fewer partitions than the session shuffles into
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         joined = left.join(right, "id", "left")
@@ -142,4 +144,5 @@ def test_held_tables_join_without_exchange(spark):
         assert not above_cache and joined.filter("w = 1").count() == 1667
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
         left.unpersist(), right.unpersist()

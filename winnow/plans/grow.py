@@ -148,8 +148,8 @@ def grow_by_uncertainty(
     ``uncertainty(fitted, rest, train, round)`` returns the rest rows with a column
     ``err``; the models already fitted for scoring are passed in, not fitted again.
     """
-    base = hold(pool, id_col)
-    n = base.count()
+    n = pool.count()
+    base = hold(pool, id_col, n)
     sizes = step_sizes(n, step_frac, stop_frac, score_full)[:max_rounds]
     state = RunState.open(pool, run_dir, id_col)
     history = state.done() if resume else []
@@ -158,7 +158,7 @@ def grow_by_uncertainty(
         start = seed_sample(base, sizes[0], seed, id_col, n).withColumn("err", F.lit(None).cast("double"))
         history = [state.commit(0, start, 0, sizes[0], None)]
     for r in range(len(history) - 1, len(sizes)):
-        known = hold(state.members(r + 1).select(id_col, F.lit(True).alias("_known")), id_col)
+        known = hold(state.members(r + 1).select(id_col, F.lit(True).alias("_known")), id_col, n)
         try:
             tagged = base.join(known, id_col, "left")
             train = tagged.filter("_known").drop("_known")
@@ -226,8 +226,8 @@ def grow_by_error(
     when a batch would exceed the pool.
     """
     pick = batch_rule(criterion)
-    base = hold(pool, id_col)
-    n = base.count()
+    n = pool.count()
+    base = hold(pool, id_col, n)
     sizes = list(batch_sizes) if batch_sizes else [max(1, n // n_iter)] * (n_iter + 1)
     state = RunState.open(pool, run_dir, id_col)
     history = state.done() if resume else []
@@ -244,7 +244,7 @@ def grow_by_error(
     for r in range(len(history) - 1, len(sizes)):
         if ended:
             break
-        known = hold(state.members(r + 1).select(id_col, F.lit(True).alias("_known")), id_col)
+        known = hold(state.members(r + 1).select(id_col, F.lit(True).alias("_known")), id_col, n)
         try:
             tagged = base.join(known, id_col, "left")
             train = tagged.filter("_known").drop("_known")

@@ -82,8 +82,8 @@ def prune(
     """
     if join_model and (model_test is None or threshold2 is None):
         raise ValueError("join_model needs model_test and threshold2")
-    base, test = hold(pool, id_col), test.persist(StorageLevel.MEMORY_AND_DISK)
-    n_pool = base.count()
+    n_pool = pool.count()
+    base, test = hold(pool, id_col, n_pool), test.persist(StorageLevel.MEMORY_AND_DISK)
     if min_drop is None:
         min_drop = n_pool // 100
     state = RunState.open(pool, run_dir, id_col)
@@ -95,7 +95,7 @@ def prune(
         return df if fixed_train is None else df.unionByName(fixed_train.select(*df.columns))
 
     for i in range(start, max_iter):
-        gone_ids = hold(state.members(i).select(id_col, F.lit(True).alias("_removed")), id_col) if i else None
+        gone_ids = hold(state.members(i).select(id_col, F.lit(True).alias("_removed")), id_col, n_pool) if i else None
         try:
             tagged = base.join(gone_ids, id_col, "left") if i else base.withColumn("_removed", F.lit(None).cast("boolean"))
             remaining = tagged.filter(F.col("_removed").isNull()).drop("_removed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark import StorageLevel
@@ -44,19 +45,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` by ``keys`` into the session's shuffle partitions.
-
-    An explicit count keeps adaptive execution from coalescing the result, so a later
-    join on the same keys shuffles only its other side.
-    """
-    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+#: rows per partition of a held table, as far as the session's shuffle partitions allow
+HELD_ROWS = 100_000
 
 
-def hold(df: DataFrame, key: str) -> DataFrame:
+def hold(df: DataFrame, key: str, rows: int) -> DataFrame:
     """Cache ``df`` hash-partitioned and sorted by ``key``.
 
-    Two tables held by the same key merge-join without any shuffle or sort. A lost
-    cache block is rebuilt from the lineage. The caller unpersists.
+    Two tables held by the same key and for the same number of ``rows`` merge-join
+    without any shuffle or sort. An explicit partition count keeps adaptive execution
+    from coalescing them apart: the session's shuffle partitions, or fewer for small
+    tables. A lost cache block is rebuilt from the lineage. The caller unpersists.
     """
-    return spread(df, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, math.ceil(rows / HELD_ROWS))
+    parts = min(shuffle_partitions(spark), wanted)
+    return df.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
