@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import langid, quality
+from winnow.llm import langid, licenses, line_dedup, quality
 from winnow.llm.frames import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,37 @@ def op2_quality_knn(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.labelled(docs, table(spark, folder, "labels"), ~held_out, "doc_id", "text", "quality", quality.FIT_ROWS)
     found = quality.score(docs, quality.fit(rows))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query
+def op3_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.remove_boilerplate(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op3_line_spread"] = f"""
+with parts as (
+  select doc_id, source, string_split(text, chr(10)) as ls from documents where text is not null),
+lines as (
+  select doc_id, source, ls[p] as line, p from (select doc_id, source, ls, unnest(range(1, len(ls) + 1)) as p from parts)),
+wide as (
+  select trim(line) as t, min(doc_id) as doc_id from lines where trim(line) <> ''
+  group by 1 having count(distinct source) >= {line_dedup.MIN_SITES}),
+top as (
+  select w.t, w.doc_id, min(l.p) as p from wide w join lines l on l.doc_id = w.doc_id and trim(l.line) = w.t group by 1, 2),
+marked as (
+  select l.*, w.t is not null and not exists (select 1 from top o where o.t = w.t and o.doc_id = l.doc_id and o.p = l.p) as gone
+  from lines l left join wide w on w.t = trim(l.line)),
+kept as (
+  select doc_id, cast(count(*) as int) as n_lines, cast(count(*) filter (where gone) as int) as n_removed,
+         coalesce(string_agg(line, chr(10) order by p) filter (where not gone), '') as body
+  from marked group by doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+       case when d.text is null then null else sha256(body) end as kept_sha256
+from documents d left join kept using (doc_id)
+"""
+
+
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))

@@ -94,6 +94,8 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: every ASCII byte but letters and digits
+NOT_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -106,9 +108,10 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words(chunk: Chunk) -> Words:
+def words(chunk: Chunk, breaks: np.ndarray = _SPACE) -> Words:
+    """``breaks``: for each byte value, whether it parts words (ASCII white space by default)."""
     n = len(chunk.data)
-    inside = ~_SPACE[chunk.data]
+    inside = ~breaks[chunk.data]
     border = np.zeros(n + 1, bool)
     border[chunk.offsets] = True
     before = np.zeros(n, bool)
