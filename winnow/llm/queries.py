@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import langid, licenses, line_dedup, quality
+from winnow.llm import jaccard_join, langid, licenses, line_dedup, quality
 from winnow.llm.frames import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ from documents d left join kept using (doc_id)
 @query
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, folder, "documents"), k=3, percent=90)
