@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import jaccard_join, langid, licenses, line_dedup, quality
+from winnow.llm import decontaminate, fingerprints, jaccard_join, langid, licenses, line_dedup, quality
 from winnow.llm.frames import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,31 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, folder, "documents"), k=3, percent=90)
+
+
+@query
+def op6_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_study(table(spark, folder, "documents"))
+
+
+@query
+def op8_containment_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "matched", "containment")
+
+
+ORACLES["op8_containment_search"] = rf"""
+with words as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') as w from documents
+  union all
+  select 'i', item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') from benchmark),
+lengths as (select distinct least(len(w), {decontaminate.WORDS}) as k from words where kind = 'i' and len(w) > 0),
+runs as (
+  select distinct kind, id, k, array_to_string(w[p : p + k - 1], ' ') as s
+  from (select kind, id, k, w, unnest(range(1, len(w) - k + 2)) as p from words, lengths
+        where kind = 'd' or least(len(w), {decontaminate.WORDS}) = k)),
+items as (select id, k, s, count(*) over (partition by id) as n from runs where kind = 'i')
+select d.id as doc_id, i.id as item_id, cast(i.n as int) as n_shingles, cast(count(*) as int) as matched, count(*) / cast(i.n as double) as containment
+from items i join runs d on d.kind = 'd' and d.k = i.k and d.s = i.s
+group by d.id, i.id, i.n having count(*) >= ceil({decontaminate.CONTAINMENT} * i.n - 1e-9)
+"""
