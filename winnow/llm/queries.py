@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontaminate, fingerprints, jaccard_join, langid, licenses, line_dedup, quality
+from winnow.llm import decontaminate, fingerprints, jaccard_join, langid, licenses, line_dedup, packing, quality, unit_dedup
 from winnow.llm.frames import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,20 @@ select d.id as doc_id, i.id as item_id, cast(i.n as int) as n_shingles, cast(cou
 from items i join runs d on d.kind = 'd' and d.k = i.k and d.s = i.s
 group by d.id, i.id, i.n having count(*) >= ceil({decontaminate.CONTAINMENT} * i.n - 1e-9)
 """
+
+
+@query
+def op7_unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return unit_dedup.repeated_units(table(spark, folder, "documents"))
+
+
+def word_bpe():
+    """The public tokenizer that sequences are packed with; made once per task."""
+    import public_tokenizers
+
+    return packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), word_bpe)
