@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontaminate, fingerprints, jaccard_join, langid, licenses, line_dedup, packing, quality, unit_dedup
+from winnow.llm import decontaminate, fingerprints, jaccard_join, langid, licenses, line_dedup, packing, quality, suffix_dedup, unit_dedup
 from winnow.llm.frames import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def word_bpe():
 @query
 def op10_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), word_bpe)
+
+
+@query
+def op9_suffix_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.repeats_removed(table(spark, folder, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
