@@ -85,5 +85,6 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def clean_of(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those that hold an item; all columns are kept."""
-    found = written(contained(docs, items, key, text, **options).select(F.col("row").alias("_row")).distinct(), "contaminated")
-    return docs.join(small_side(found, found.count(), 16), F.xxhash64(docs[key], docs[text]) == F.col("_row"), "left_anti")
+    found = written(contained(docs, items, key, text, **options).select("row").distinct(), "contaminated")
+    found = small_side(found, found.count(), 16)
+    return docs.join(found, F.xxhash64(docs[key], docs[text]) == found["row"], "left_anti")

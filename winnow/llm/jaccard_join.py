@@ -182,6 +182,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 def first_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group (null ids stay); all columns are kept."""
-    later = similar_groups(docs, key, text, k, percent).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_later")).distinct()
+    later = similar_groups(docs, key, text, k, percent).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("later")).distinct()
     later = written(later, "later")
-    return docs.join(small_side(later, later.count(), _PAIR_BYTES), docs[key].cast("long") == F.col("_later"), "left_anti")
+    later = small_side(later, later.count(), _PAIR_BYTES)
+    return docs.join(later, docs[key].cast("long") == later["later"], "left_anti")

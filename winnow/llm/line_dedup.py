@@ -50,19 +50,18 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The first occurrence of a line in the corpus (smallest id, then first line) stays, so that
     no passage is lost altogether. Every row of the input is returned: one that loses all lines
     has an empty text, a null text stays null with no lines. Rows alike in id and text are
-    treated alike.
+    treated alike. Columns of ``docs`` named like the two counts give way to them.
     """
     lines = lines_of(docs, key, text, site)
     found = written(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(small_side(found, found.count(), 24), "h").groupBy("k", "h").agg(F.collect_set("pos").alias("at"), F.min("pos").alias("top"), F.first(F.col("id") == F.col("first")).alias("keeper"))
     # a document that holds the first occurrence keeps the topmost one
     gone = hits.select("k", F.when(F.col("keeper"), F.array_except("at", F.array("top"))).otherwise(F.col("at")).alias("at"))
-    gone = gone.groupBy("k").agg(F.flatten(F.collect_list("at")).alias("_gone"))
-    taken = docs.withColumn("_k", F.xxhash64(key, text))
-    joined = taken.join(gone.withColumnRenamed("k", "_k"), "_k", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    parts = F.split(F.col(text), "\n")
-    kept = F.when(F.size("_gone") == 0, F.col(text)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    return joined.select(
-        *(kept.alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.size("_gone").alias("n_removed"),
-    )
+    gone = gone.groupBy("k").agg(F.flatten(F.collect_list("at")).alias("gone"))
+    taken = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.xxhash64(key, text).alias("k"))
+    joined = taken.join(gone, "k", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    parts = F.split("text", "\n")
+    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), "n_removed": F.size("gone")}
+    same = [c for c in docs.columns if c not in counts]
+    return joined.select(*(kept.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in same), *(v.alias(c) for c, v in counts.items()))

@@ -93,14 +93,15 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated units cut out of ``text``; every row stays."""
-    gone = repeated_units(docs, key, text, min_words).groupBy(F.coalesce(key, F.lit(_LAST)).alias("_id"), F.col("text_hash").alias("_k"))
-    gone = gone.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
-    both = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "_k": F.xxhash64(text)}).join(gone, ["_id", "_k"], "left")
+    gone = repeated_units(docs, key, text, min_words).select(F.coalesce(key, F.lit(_LAST)).alias("id"), F.col("text_hash").alias("k"), "start", "end")
+    gone = gone.groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    taken = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("k"))
+    both = taken.join(gone, ["id", "k"], "left")
 
     def piece(s, i):
-        after = F.get("_gone", i - 1)["end"]
-        return F.col(text).substr(F.when(i == 0, 1).otherwise(after + 1).cast("int"), (s["start"] - F.when(i == 0, 0).otherwise(after)).cast("int"))
+        after = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("gone", i - 1)["end"])
+        return F.col("text").substr((after + 1).cast("int"), (s["start"] - after).cast("int"))
 
-    tail = F.col(text).substr((F.element_at("_gone", -1)["end"] + 1).cast("int"), F.length(text))
-    cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.concat(F.array_join(F.transform("_gone", piece), ""), tail))
-    return both.select(*(cut.alias(c) if c == text else F.col(c) for c in docs.columns))
+    tail = F.col("text").substr((F.element_at("gone", -1)["end"] + 1).cast("int"), F.length("text"))
+    cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("gone", piece), ""), tail))
+    return both.select(*(cut.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
