@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm.text import NOT_WORD, Chunk, chunks, word_hashes, words
 
-#: words per fingerprint, winnowing window, half width of the alignment band, least coverage reported
+#: words per fingerprint, winnowing window, half width of the alignment band (a quarter of a short template), least coverage reported
 GRAM, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.8
 
 #: Wording of public licences and notices.
@@ -147,23 +148,24 @@ def matches(ids: np.ndarray, index: Index, gram: int = GRAM, band: int = BAND, c
     out = []
     for t, found in seeds.items():
         template = index.words[t]
-        clusters: list[list[int]] = []  # shift, last position
-        for p, shift in sorted(found, key=lambda x: (x[1], x[0])):
-            if clusters and abs(shift - clusters[-1][0]) <= band // 2:
+        slip = min(band, max(1, len(template) // 4))  # copies of a short notice may stand close together
+        tried = (-len(template), 0)  # shift, end of the stretch that was aligned at it
+        spans = []
+        for p, shift in sorted(found):
+            if p < tried[1] and abs(shift - tried[0]) <= slip:
                 continue
-            clusters.append([shift, p])
-        found = []
-        for shift, _ in clusters:
-            low = max(0, shift - band)
-            window = ids[low : shift + len(template) + band + 1]
-            matched, first, last = banded(template, window, shift - low, band)
+            tried = (shift, shift + len(template))
+            low = max(0, shift - slip)
+            window = ids[low : shift + len(template) + slip + 1]
+            matched, first, last = banded(template, window, shift - low, slip)
             if matched >= coverage * len(template):
-                found.append((t, matched, low + first, low + last))
-        taken: list[tuple[int, int, int, int]] = []
-        for m in sorted(found, key=lambda m: (-m[1], m[2])):
-            if all(m[3] < o[2] or m[2] > o[3] for o in taken):
-                taken.append(m)
-        out += taken
+                spans.append((t, matched, low + first, low + last))
+        ends: list[tuple[int, int]] = []  # last and first word of the spans taken, in order
+        for m in sorted(set(spans), key=lambda m: (-m[1], m[2])):
+            i = bisect_left(ends, (m[2], 0))
+            if i == len(ends) or ends[i][1] > m[3]:
+                ends.insert(i, (m[3], m[2]))
+                out.append(m)
     return sorted(out, key=lambda m: (m[2], m[0]))
 
 
