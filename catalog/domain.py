@@ -66,6 +66,14 @@ def system_sizes(spark, folder):
     return C.system_sizes(C.enumerate_systems(table(spark, folder, "part").select(F.col("p_brand").alias("member"))))
 
 
+@query("""WITH mem AS (SELECT DISTINCT 'm' || lpad(CAST(p_partkey % 200 AS VARCHAR), 3, '0') AS m FROM part)
+SELECT m AS system, CAST(1 AS INTEGER) AS k FROM mem UNION ALL
+SELECT a.m || '-' || b.m, CAST(2 AS INTEGER) FROM mem a JOIN mem b ON a.m < b.m""")
+def many_member_pairs(spark, folder):
+    members = table(spark, folder, "part").select(F.concat(F.lit("m"), F.lpad((F.col("p_partkey") % 200).cast("string"), 3, "0")).alias("member"))
+    return C.enumerate_systems(members, kmax=2)
+
+
 # two-member orders: x = share of the later member; single-member orders are the terminal points
 SYS = f"""WITH {BAG_TYPE}, {FR}, {ENERGY},
 so AS MATERIALIZED (SELECT id, min(member) AS a, max(member) AS b, count(*) AS k, arg_max(f, member) AS f FROM fr GROUP BY id HAVING count(*) <= 2),

@@ -12,7 +12,9 @@ from winnow.operators.split import random_split
 from winnow.plans import grow as G
 from winnow.plans.prune import guided_prune, prune, prune_threshold
 from winnow.plans.runs import train_on_pruned
+from winnow.sources.state import new_run_dir
 
+GAP_OLS = ("ols", "qx")
 OLS, GM = ("ols", "n_lines"), ("gm", "n_lines")
 HALF = half_mae("full_a", OLS)
 
@@ -39,6 +41,29 @@ def prune_3iter(spark, folder):
     return chosen(pruned_three(spark, folder))
 
 
+@query(prune_sql(F1, "f1", 3, 0.8, HALF, "SELECT * FROM chosen"))
+def prune_resumed(spark, folder):
+    """One iteration, then the same run taken up again to three."""
+    run = new_run_dir(spark)
+    pool, test = split_pool(spark, folder)
+    model = Ols1("n_lines")
+    threshold = prune_threshold(model, pool, test)
+    for until in (1, 3):
+        result = prune(model, pool, test, threshold, 0.8, max_iter=until, run_dir=run)
+    return chosen(result)
+
+
+@query(prune_sql(F1 + ", g1 AS MATERIALIZED (SELECT *, CASE WHEN avg_p_size >= 20 THEN n_lines END AS qx FROM f1)", "g1", 3, 0.8,
+                 "(SELECT 0.01)", "SELECT * FROM chosen", model=GAP_OLS, min_drop="5").replace("row_number() OVER (ORDER BY drv, id) AS up", "row_number() OVER (ORDER BY drv NULLS LAST, id) AS up")
+       .replace("ELSE small END", "ELSE coalesce(small, false) END").replace("THEN up <= 5", "THEN up <= 5 AND drv IS NOT NULL"))
+def prune_with_missing_features(spark, folder):
+    """A feature is missing on many rows: these have no error and stay."""
+    rows = order_features(spark, folder).withColumn("qx", F.when(F.col("avg_p_size") >= 20, F.col("n_lines")))
+    rows = random_split(rows, 0, test_frac=0.1).persist()
+    pool, test = rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split")
+    return chosen(prune(Ols1("qx"), pool, test, 0.01, 0.8, min_drop=5, max_iter=3))
+
+
 @query(prune_sql(F1, "f1", 3, 0.8, HALF, "SELECT * FROM scores", second=GM))
 def prune_transfer(spark, folder):
     pool, test = split_pool(spark, folder)
@@ -220,3 +245,13 @@ def grow_committee(spark, folder):
 def committee_members(spark, folder):
     pool, test = split_pool(spark, folder)
     return G.grow_committee(COMMITTEE, pool, test, step_frac=0.02, max_rounds=3).membership
+
+
+@query(committee_sql(3, 0.02, "SELECT id, iter_added, err FROM mem2"))
+def grow_resumed(spark, folder):
+    """Two rounds, then the same run taken up again to three."""
+    run = new_run_dir(spark)
+    pool, test = split_pool(spark, folder)
+    for until in (2, 3):
+        result = G.grow_committee(COMMITTEE, pool, test, step_frac=0.02, max_rounds=until, run_dir=run)
+    return result.membership

@@ -67,17 +67,12 @@ g AS (SELECT unnest([{", ".join(str(f) for f in S.TRAIN_FRACTIONS)}]::DOUBLE[])
 SELECT train_frac, count(*) AS n_train, round(sum(y), 2) AS sum_y
 FROM g JOIN d ON rk <= floor(train_frac * n) GROUP BY train_frac""")
 def train_size_grid(spark, folder):
-    stepped, sizes = S.nested_sizes(order_features(spark, folder), 0)
+    stepped, _ = S.nested_sizes(order_features(spark, folder), 0)
     per_step = stepped.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-    # one row per fraction: at most len(fractions) + 1
-    grid = spark.createDataFrame(
-        [(float(f), j, n) for j, (f, n) in enumerate(zip(S.TRAIN_FRACTIONS, sizes)) if n > 0], "train_frac double, j int, size int"
-    )
-    return (
-        grid.select("train_frac", F.explode(F.sequence(F.lit(0), F.col("j"))).alias("step"))
-        .join(per_step, "step").groupBy("train_frac")
-        .agg(F.sum("n").alias("n_train"), F.round(F.sum("s"), 2).alias("sum_y"))
-    )
+    # one row per fraction, holding the steps up to its own: at most len(fractions) + 1
+    at = F.array_position(F.array(*map(F.lit, S.TRAIN_FRACTIONS)), F.col("train_frac")) - 1
+    grid = S.train_size_grid(spark, [0], ["m"]).select("train_frac", F.explode(F.sequence(F.lit(0).cast("long"), at)).alias("step"))
+    return grid.join(per_step, "step").groupBy("train_frac").agg(F.sum("n").alias("n_train"), F.round(F.sum("s"), 2).alias("sum_y"))
 
 
 @query(f"""WITH {F2} SELECT id, 'train' AS split FROM f2 WHERE lang <> 'en'
@@ -114,6 +109,30 @@ def quantile_seeds_repeated(spark, folder):
     return seeds.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
 
 
+GAPS = "CASE WHEN avg_p_size >= 15 THEN qty END"
+
+
+@query(quantile_sql("y", "SELECT DISTINCT id FROM v JOIN l USING (t)").replace("FROM f1)", "FROM f1 WHERE avg_p_size >= 25)").replace(
+    "max(id) AS id FROM f1 GROUP", "max(id) AS id FROM f1 WHERE avg_p_size >= 25 GROUP"))
+def quantile_seeds_with_nulls(spark, folder):
+    gaps = order_features(spark, folder).withColumn("y", F.when(F.col("avg_p_size") >= 25, F.col("y")))
+    return S.quantile_seeds(gaps, "y", 100)
+
+
+def with_gaps(spark, folder):
+    return order_features(spark, folder).withColumn("qty", F.when(F.col("avg_p_size") >= 15, F.col("qty")))
+
+
+@query(f"WITH {F1} SELECT id, {GAPS} AS qty FROM f1 WHERE {GAPS} IS NOT NULL ORDER BY 2, id LIMIT 500")
+def bottom_k_with_nulls(spark, folder):
+    return bottom_k(with_gaps(spark, folder), "qty", 500).select("id", "qty")
+
+
+@query(f"WITH {F1} SELECT id, {GAPS} AS qty FROM f1 WHERE {GAPS} IS NOT NULL ORDER BY 2 DESC, id LIMIT 500")
+def top_k_with_nulls(spark, folder):
+    return top_k(with_gaps(spark, folder), "qty", 500).select("id", "qty")
+
+
 @query(f"WITH {F1} SELECT id, row_number() OVER (ORDER BY qty, id) AS rank FROM f1")
 def exact_rank(spark, folder):
     return global_rank(order_features(spark, folder).select("id", "qty"), ["qty", "id"]).select("id", "rank")

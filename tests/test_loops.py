@@ -35,7 +35,7 @@ def test_uncommitted_iteration_is_redone(spark, data, tmp_path):
     settings = dict(threshold=0.4, train_size=0.6, min_remaining=5, max_iter=3)
     first = chosen(prune(Ols1("x"), pool, test, **{**settings, "max_iter": 1}, run_dir=folder))
     # members written, scores not: a run that died in between
-    spark.createDataFrame([(1, 0.0)], "id long, err double").write.parquet(f"{folder}/members/iter=1")
+    spark.createDataFrame([(1, 0.0)], "id long, err double").write.parquet(f"{folder}/attempt=0/members/iter=1")
     again = prune(Ols1("x"), pool, test, **settings, run_dir=folder)
     assert chosen(again) == chosen(prune(Ols1("x"), pool, test, **settings))
     assert chosen(again)[: len(first)] == first
@@ -116,6 +116,13 @@ def test_committee_resume(data, tmp_path):
     whole = G.grow_committee(models, pool, test, step_frac=0.1, max_rounds=3)
     folder = str(tmp_path / "run")
     G.grow_committee(models, pool, test, step_frac=0.1, max_rounds=2, run_dir=folder)
+    resumed = G.grow_committee(models, pool, test, step_frac=0.1, max_rounds=3, run_dir=folder)
+    for part in ("membership", "curve"):
+        assert sorted(map(tuple, getattr(resumed, part).collect()), key=str) == sorted(map(tuple, getattr(whole, part).collect()), key=str)
+    again = G.grow_committee(models, pool, test, step_frac=0.1, max_rounds=3, run_dir=folder)
+    assert again.membership.count() == whole.membership.count()
+    with pytest.raises(ValueError):
+        G.grow_committee(models, pool.limit(50), test, step_frac=0.1, max_rounds=3, run_dir=folder)
     ids = [r["id"] for r in whole.membership.collect()]
     assert len(ids) == len(set(ids)) == 3 * int(0.1 * pool.count())
 
@@ -171,5 +178,30 @@ def test_grid(spark):
 
 def test_missing_features_do_not_break_scores(data):
     pool, test = data
-    out = G.grow_random({"m": Ols1("x")}, pool, test.withColumn("y", F.col("y") * 1.0), step_frac=0.5)
+    holes = F.when(F.col("id") % 10 > 0, F.col("x"))
+    out = G.grow_random({"m": Ols1("x")}, pool.withColumn("x", holes), test.withColumn("x", holes), step_frac=0.5)
     assert out.curve.filter("maes is null").count() == 0
+
+
+def test_pruning_goes_on_over_missing_features(data):
+    """Rows without a prediction have no error: they are never chosen, and the others are, each time."""
+    pool, test = data
+    gaps = pool.withColumn("x", F.when(F.col("id") % 10 > 0, F.col("x")))
+    out = prune(Ols1("x"), gaps, test, 1e-9, 0.5, min_drop=5, max_iter=4, min_remaining=5)
+    counts = dict(out.proposed.groupBy("iter").count().collect())
+    assert counts == {0: 5, 1: 5, 2: 5, 3: 5} and out.proposed.filter("id % 10 = 0").count() == 0
+    empty = prune(Ols1("x"), pool.withColumn("x", F.when(F.col("id") < 0, F.col("x"))), test, 0.1, 0.5, min_drop=5, max_iter=50)
+    assert empty.stopped and empty.n_iter == 0
+
+
+def test_a_fresh_run_in_an_old_folder(data, tmp_path):
+    pool, test = data
+    settings = dict(threshold=0.3, train_size=0.5, min_remaining=5, min_drop=5)
+    folder = str(tmp_path / "run")
+    whole = prune(Ols1("x"), pool, test, **settings, max_iter=4)
+    prune(Ols1("x"), pool, test, **settings, max_iter=4, run_dir=folder)
+    prune(Ols1("x"), pool, test, **settings, max_iter=1, run_dir=folder, resume=False)
+    again = prune(Ols1("x"), pool, test, **settings, max_iter=4, run_dir=folder)
+    assert sorted(map(tuple, again.proposed.collect())) == sorted(map(tuple, whole.proposed.collect()))
+    with pytest.raises(ValueError):
+        prune(Ols1("x"), pool, test, **{**settings, "threshold": 0.2}, max_iter=4, run_dir=folder)

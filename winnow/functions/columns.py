@@ -23,7 +23,8 @@ def pow10(col: Column | str) -> Column:
 def per_unit(total: Column | str, n: Column | str) -> Column:
     total = F.col(total) if isinstance(total, str) else total
     n = F.col(n) if isinstance(n, str) else n
-    return total / n
+    """``total`` per unit; null where there is no unit."""
+    return F.try_divide(total, n)
 
 
 def percent_change(value: Column, reference: Column) -> Column:

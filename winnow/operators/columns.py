@@ -18,7 +18,8 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> D
     Pearson is pairwise complete: each pair uses the rows where both are present. One
     pass; every task multiplies its batches into p x p partial sums (p columns, not
     rows), which are added up by pair. Values are centred first against cancellation.
-    Spearman needs columns without nulls.
+    Spearman is pairwise complete too: columns without nulls are ranked once together,
+    a pair with a null in it on the rows that have both.
     """
     cols = list(cols)
     if method == "spearman":
@@ -52,7 +53,7 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> D
         centred.mapInPandas(partial, schema).groupBy("a", "b")
         .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     )
-    n = F.col("n")
+    n = F.when(F.col("n") > 0, F.col("n"))  # two columns may never be present together
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
     va = F.col("saa") - F.col("sa") * F.col("sa") / n
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
@@ -65,8 +66,18 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> D
 
 
 def _spearman(df: DataFrame, cols: list[str]) -> DataFrame:
-    if df.filter(" or ".join(f"`{c}` is null" for c in cols)).head(1):
-        raise ValueError("spearman needs columns without nulls")
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
+    holed = [c for c in cols if holes[c]]
+    if holed:
+        whole = [c for c in cols if not holes[c]]
+        out = _spearman(df, whole) if len(whole) > 1 else df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+        for i, a in enumerate(cols):
+            for b in cols[i + 1 :]:
+                if not (holes[a] or holes[b]):
+                    continue
+                both = df.select(a, b).dropna()
+                out = out.unionByName(_spearman(both, [a, b]) if both.limit(2).count() > 1 else both.sparkSession.createDataFrame([(*sorted((a, b)), None)], out.schema))
+        return out
     rows = VectorAssembler(inputCols=cols, outputCol="v").transform(df).select("v")
     matrix = np.abs(Correlation.corr(rows, "v", "spearman").first()[0].toArray())
     pairs = [
@@ -81,7 +92,8 @@ def corr_column_stats(pairs: DataFrame, n_cols: int, cutoff: float) -> DataFrame
     return both.groupBy("col").agg(
         F.count_if(F.col("r") >= F.lit(cutoff)).alias("n_high"),
         F.max("r").alias("max_r"),
-        (F.sum("r") / F.lit(float(n_cols))).alias("mean_r"),
+        # columns without a correlation to this one (constant, never present together) do not count
+        (F.sum("r") / (F.count("r") + 1)).alias("mean_r"),
     )
 
 

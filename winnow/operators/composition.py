@@ -48,7 +48,7 @@ def fractions(bag: DataFrame, id_col: str = "id") -> DataFrame:
     """
     merged = _merged(bag, id_col)
     totals = merged.groupBy(id_col).agg(F.sum("amount").alias("_total"))
-    return merged.join(totals, id_col).withColumn("frac", F.col("amount") / F.col("_total")).drop("_total")
+    return merged.join(totals, id_col).withColumn("frac", F.try_divide("amount", "_total")).drop("_total")
 
 
 def composition_features(
@@ -65,9 +65,9 @@ def composition_features(
     total = F.sum("amount")
     per_id = rows.groupBy(id_col).agg(
         total.alias("_total"), F.max("amount").alias("_top"),
-        *[(F.sum(F.col("amount") * F.col(p)) / total).alias(f"_mean_{p}") for p in properties],
+        *[F.try_divide(F.sum(F.col("amount") * F.col(p)), total).alias(f"_mean_{p}") for p in properties],
     )
-    shares = rows.join(per_id, id_col).withColumn("frac", F.col("amount") / F.col("_total"))
+    shares = rows.join(per_id, id_col).withColumn("frac", F.try_divide("amount", "_total"))
     aggs: list[Column] = []
     for p in norms:
         norm = F.count_if(F.col("frac") > 0).cast("double") if p == 0 else F.pow(F.sum(F.pow("frac", F.lit(float(p)))), F.lit(1.0 / p))
@@ -91,20 +91,19 @@ def pure_energies(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(PURE_ENERGY.items()), "member string, reference double")
 
 
-def references_from_pure(values: DataFrame, bag: DataFrame, value: str, id_col: str = "id") -> DataFrame:
-    """Reference per member from the rows made of that member alone; the last id wins."""
+def references_from_pure(values: DataFrame, bag: DataFrame, value: str, id_col: str = "id", position: str | None = None) -> DataFrame:
+    """Reference per member from the rows made of that member alone; the last by ``position`` (default: the id) wins."""
     single = (
         bag.groupBy(id_col).agg(F.min("member").alias("member"), F.max("member").alias("_other"))
         .filter(F.col("member") == F.col("_other")).drop("_other")
     )
-    return single.join(values.select(id_col, value), id_col).groupBy("member").agg(
-        F.max_by(value, id_col).alias("reference")
-    )
+    rows = values.select(id_col, F.col(value).alias("_value"), F.col(position or id_col).alias("_position"))
+    return single.join(rows, id_col).groupBy("member").agg(F.max_by("_value", "_position").alias("reference"))
 
 
 def reference_subtracted(
     values: DataFrame, bag: DataFrame, value: str, references: DataFrame | None = None, reset: bool = False,
-    id_col: str = "id", name: str = "ef",
+    id_col: str = "id", name: str = "ef", position: str | None = None,
 ) -> DataFrame:
     """Per-unit value minus the weighted references of the row's members.
 
@@ -112,7 +111,7 @@ def reference_subtracted(
     or the fixed pure-element energies. A member without reference is an error.
     """
     if reset:
-        references = references_from_pure(values, bag, value, id_col)
+        references = references_from_pure(values, bag, value, id_col, position)
     elif references is None:
         references = pure_energies(values)
     found = fractions(bag, id_col).join(references, "member", "left")
@@ -122,31 +121,20 @@ def reference_subtracted(
     return values.join(base, id_col).withColumn(name, F.col(value) - F.col("_base")).drop("_base")
 
 
-def enumerate_systems(members: DataFrame, kmax: int = 5, max_members: int = 128, col: str = "member") -> DataFrame:
+def enumerate_systems(members: DataFrame, kmax: int = 5, col: str = "member") -> DataFrame:
     """Every combination of 1..kmax distinct members: system (sorted, joined by ``-``), k.
 
-    Members are a short list by nature (chemical elements); the list is checked and
-    carried on each row, and every row is extended by the members after its last one,
-    so no join is needed.
+    Each level joins the one before with the members that follow its last one, so the
+    work follows the result, which is what the caller asked for.
     """
-    listed = members.select(col).distinct().orderBy(col).limit(max_members + 1).collect()
-    if len(listed) > max_members:
-        raise ValueError(f"more than {max_members} distinct members")
-    names = [r[0] for r in listed]
-    spark = members.sparkSession
-    all_names = F.array(*[F.lit(n) for n in names])
-    out = level = None
-    start = spark.createDataFrame([([], 0)], "picked array<string>, next int")
-    for k in range(1, min(kmax, len(names)) + 1):
-        base = start if level is None else level
-        last = F.lit(len(names) - 1)
-        level = base.filter(F.col("next") <= last).select(
-            "picked", F.explode(F.sequence(F.col("next"), last)).alias("at")
-        ).select(
-            F.concat("picked", F.array(F.get(all_names, "at"))).alias("picked"), (F.col("at") + 1).alias("next")
+    names = materialise(members.select(F.col(col).alias("_next")).dropna().distinct())
+    level = names.select(F.col("_next").alias("system"), F.col("_next").alias("_last"))
+    out = level.select("system", F.lit(1).alias("k"))
+    for k in range(2, kmax + 1):
+        level = level.join(names, F.col("_last") < F.col("_next")).select(
+            F.concat_ws("-", "system", "_next").alias("system"), F.col("_next").alias("_last")
         )
-        rows = level.select(F.array_join("picked", "-").alias("system"), F.lit(k).alias("k"))
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(level.select("system", F.lit(k).alias("k")))
     return out
 
 

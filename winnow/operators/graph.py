@@ -16,6 +16,8 @@ LEVELS = 8
 CROWDED = 16
 #: finest grid level; doubles resolve little beyond
 MAX_LEVEL = 40
+#: significant digits to which distances are compared
+TIE_DIGITS = 11
 
 
 def periodic_images(sites: DataFrame, cutoff: float, frac: str = "frac", lattice: str = "lattice") -> DataFrame:
@@ -93,7 +95,10 @@ def neighbour_edges(
 
     Sites at the very same place are one place, named by its smallest site and counted
     in ``n_src`` and ``n_dst`` (1 for ordinary structures); its other sites appear as an
-    edge of length 0 to itself. A pile of copies therefore costs one row, not all pairs.
+    edge of length 0 to itself. A pile of copies therefore costs one row, not all pairs;
+    :func:`place_sites` names the place of every site, so that no id is lost.
+
+    Ties are judged on the distance rounded to ``TIE_DIGITS``: in crystals they are the rule.
 
     Pairs are never enumerated per structure. A place whose grid cell holds more than k
     points has its k nearest within that cell's diagonal, so the finest such cell gives
@@ -132,21 +137,36 @@ def neighbour_edges(
         .select("gid", "src", "dst", "image", r.alias("r"), norm3(r).alias("d"), "radius", "n_src", others.alias("n_dst"))
         .filter((F.col("n_dst") > 0) & (F.col("d") <= F.col("radius") * (1 + 1e-12)) & (F.col("d") <= F.lit(cutoff)))
     )
-    of_place = Window.partitionBy("gid", "src").orderBy("d")
+    unit = F.pow(F.lit(10.0), F.floor(F.log10("d")) - (TIE_DIGITS - 1))
+    found = found.withColumn("_d", F.when(F.col("d") > 0, F.round(F.col("d") / unit) * unit).otherwise(0.0))
+    of_place = Window.partitionBy("gid", "src").orderBy("_d")
     at_most = F.sum("n_dst").over(of_place.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     tied = F.sum("n_dst").over(of_place.rangeBetween(Window.currentRow, Window.currentRow))
     return (
-        found.withColumn("_nearer", at_most - tied).filter(F.col("_nearer") < k).drop("_nearer", "radius")
+        found.withColumn("_nearer", at_most - tied).filter(F.col("_nearer") < k).drop("_nearer", "radius", "_d")
     )
 
 
+def place_sites(sites: DataFrame) -> DataFrame:
+    """The place of every site, named by its smallest site: gid, site, place."""
+    named = sites.groupBy("gid", "c").agg(F.min("site").alias("place"))
+    return sites.join(named, ["gid", "c"]).select("gid", "site", "place")
+
+
 def line_graph(edges: DataFrame) -> DataFrame:
     """Edges become nodes, joined where one ends and the next starts.
 
     ``edges(gid, eid, src, dst, r)``; columns: gid, e1, e2, r1, r2. With neighbour
     lists of length k each edge meets about k others, so the result stays linear in
-    the edges however many edges end at one site.
+    the edges however many edges end at one site. Where edges carry ``n_src`` and
+    ``n_dst``, ``n_paths`` says how many pairs of site edges the row stands for: choices
+    of a first site, of the site between, and of a last one.
     """
+    if {"n_src", "n_dst"} <= set(edges.columns):
+        first = edges.select("gid", F.col("eid").alias("e1"), F.col("dst").alias("via"), F.col("r").alias("r1"),
+                             F.col("n_src").alias("_a"), F.col("n_dst").alias("_b"))
+        second = edges.select("gid", F.col("eid").alias("e2"), F.col("src").alias("via"), F.col("r").alias("r2"), F.col("n_dst").alias("_c"))
+        return first.join(second, ["gid", "via"]).withColumn("n_paths", F.col("_a") * F.col("_b") * F.col("_c")).drop("via", "_a", "_b", "_c")
     first = edges.select("gid", F.col("eid").alias("e1"), F.col("dst").alias("via"), F.col("r").alias("r1"))
     second = edges.select("gid", F.col("eid").alias("e2"), F.col("src").alias("via"), F.col("r").alias("r2"))
     return first.join(second, ["gid", "via"]).drop("via")

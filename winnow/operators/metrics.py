@@ -32,8 +32,8 @@ def score_columns(pred: str | Column = "prediction", y: str | Column = "y") -> d
 
 
 def regression_scores(df: DataFrame, pred: str = "prediction", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """n, mae, rmse, r2, for the whole table or per group."""
-    aggs = [F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in score_columns(pred, y).items()]]
+    """n (rows with both sides), mae, rmse, r2, for the whole table or per group."""
+    aggs = [F.count(F.col(pred) - F.col(y)).alias("n"), *[c.alias(n) for n, c in score_columns(pred, y).items()]]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 

@@ -11,9 +11,11 @@ sort plus per-partition offsets gives it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,12 +65,12 @@ def cuts_for(
     targets = {i: ("", k) for i, k in enumerate(sizes) if cuts[i] is None}
     while targets:
         ordered = sorted(counts)
+        until = list(accumulate(counts[p] for p in ordered))
         for i, (prefix, left) in targets.items():
-            for p in (q for q in ordered if q.startswith(prefix)):
-                if left <= counts[p]:
-                    targets[i] = (p, left)
-                    break
-                left -= counts[p]
+            at = bisect_left(ordered, prefix)
+            before = until[at - 1] if at else 0
+            place = bisect_left(until, before + left)
+            targets[i] = (ordered[place], before + left - (until[place - 1] if place else 0))
         if all(counts[p] <= SETTLE_HASHES for p, _ in targets.values()):
             break
         digits += PREFIX_DIGITS
@@ -100,7 +102,10 @@ def hash_cuts(
 
 @dataclass(frozen=True)
 class Cut:
-    """Key of the k-th row of an order; ``column()`` is true for the first k rows."""
+    """Key of the k-th row of an order; ``column()`` is true for the first k rows.
+
+    A row without a value in the order comes after all others and is never among them.
+    """
 
     order: tuple[str, ...]
     key: tuple | None
@@ -108,7 +113,7 @@ class Cut:
 
     def column(self) -> Column:
         if self.everything:
-            return F.lit(True)
+            return reduce(lambda a, b: a & b, [F.expr(e).isNotNull() for e in self.order])
         if self.key is None:
             return F.lit(False)
         steps = []
@@ -117,12 +122,15 @@ class Cut:
             tied = [F.expr(e) == F.lit(v) for e, v in zip(self.order[:i], self.key[:i])]
             step = F.expr(expr) <= F.lit(value) if last else F.expr(expr) < F.lit(value)
             steps.append(reduce(lambda a, b: a & b, [*tied, step]))
-        return reduce(lambda a, b: a | b, steps)
+        return F.coalesce(reduce(lambda a, b: a | b, steps), F.lit(False))
 
 
 def first_k(df: DataFrame, order: Sequence[str], k: int, total: int | None = None) -> Cut:
     """Cut after the first ``k`` rows of ``df`` sorted ascending by the ``order`` expressions.
 
+    Rows where an expression is null are left out, so the cut holds fewer than ``k`` rows
+    where fewer have a value. ``total`` is the number of rows that have one, where it is known.
+
     ``order`` must identify rows (end it with the id). Narrows the scope to a bracket
     of approximate quantiles of the leading expression; a run of equal values is
     settled on the next expression, so heavy ties stay distributed.
@@ -131,7 +139,7 @@ def first_k(df: DataFrame, order: Sequence[str], k: int, total: int | None = Non
     if k <= 0:
         return Cut(order, None)
     names = [f"k{i}" for i in range(len(order))]
-    scope = df.select(*[F.expr(e).alias(n) for e, n in zip(order, names)])
+    scope = df.select(*[F.expr(e).alias(n) for e, n in zip(order, names)]).dropna("any")
     total = scope.count() if total is None else total
     if k >= total:
         return Cut(order, None, everything=True)
@@ -175,11 +183,6 @@ def top_k(df: DataFrame, value: str, k: int, id_col: str = "id") -> DataFrame:
     return df.filter(first_k(df, [f"-{value}", id_col], k).column())
 
 
-def below(df: DataFrame, value: str, threshold: float) -> DataFrame:
-    """Rows whose ``value`` is strictly under ``threshold``."""
-    return df.filter(F.col(value) < F.lit(threshold))
-
-
 def drop_largest(df: DataFrame, value: str, threshold: float, m: int, id_col: str = "id") -> DataFrame:
     """Rows under ``threshold`` plus the ``m`` largest, each row once."""
     largest = first_k(df, [f"-{value}", id_col], m).column()
@@ -272,12 +275,8 @@ def redundancy_ranking(membership: DataFrame, id_col: str = "id") -> DataFrame:
     return global_rank(membership, order, "rank")
 
 
-def largest_or_smallest(df: DataFrame, criterion: str, value: str, k: int, id_col: str = "id") -> DataFrame:
-    """Batch choice by name: ``max_err`` or ``min_err``."""
-    return batch_rule(criterion)(df, value, k, id_col)
-
-
 def batch_rule(criterion: str):
+    """Batch choice by name: ``max_err`` or ``min_err``."""
     rules = {"max_err": top_k, "min_err": bottom_k}
     if criterion not in rules:
         raise ValueError(f"criterion must be one of {sorted(rules)}, not {criterion!r}")

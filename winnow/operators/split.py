@@ -161,11 +161,12 @@ def quantile_seeds(df: DataFrame, target: str, n: int, id_col: str = "id", disti
     """Start set at ``n`` evenly spaced quantiles 0..100 of ``target``.
 
     For each quantile the last row (by target, then id) whose target does not exceed
-    the quantile value. Quantiles inside one run of equal targets name the same row;
+    the quantile value; rows without a target are left out. Quantiles inside one run of equal targets name the same row;
     ``distinct=False`` keeps those repeats. The interpolated quantile at position
     p = (N-1)*i/(n-1) lies between ranks floor(p) and floor(p)+1, so the wanted row is
     the last of the run that holds rank floor(p): no quantile value is needed.
     """
+    df = df.filter(F.col(target).isNotNull())
     if n < 2:
         low = df.agg(F.min(target)).first()[0]
         return df.filter(F.col(target) == F.lit(low)).groupBy(target).agg(F.max(id_col).alias(id_col)).select(id_col)

@@ -14,7 +14,7 @@ from winnow.operators.metrics import score_models
 from winnow.operators.rank import batch_rule, cuts_for, ensemble_interval, first_k, hash_key
 from winnow.operators.split import frac_sample, interval_number, quantile_seeds, seed_sample
 from winnow.session import hold, materialise
-from winnow.sources.state import RunState
+from winnow.sources.state import NOT_CHOSEN, RunState
 
 ERR_DIGITS = 6
 
@@ -146,17 +146,22 @@ def grow_by_uncertainty(
     """Start at random, then add the int(step*n) most uncertain rows per round.
 
     ``uncertainty(fitted, rest, train, round)`` returns the rest rows with a column
-    ``err``; the models already fitted for scoring are passed in, not fitted again.
+    ``err``; the models already fitted for scoring are passed in, not fitted again. Rows
+    whose ``err`` is null are not chosen, so a round may choose fewer than asked for.
     """
     n = pool.count()
     base = hold(pool, id_col, n)
     sizes = step_sizes(n, step_frac, stop_frac, score_full)[:max_rounds]
-    state = RunState.open(pool, run_dir, id_col)
+    settings = {"models": models, "uncertainty": uncertainty, "step_frac": step_frac, "seed": seed, "y": y}
+    state = RunState.open(pool, run_dir, id_col, resume, settings, {"pool": pool, "test": test})
     history = state.done() if resume else []
+    if history and history[-1]["n_chosen"] == NOT_CHOSEN and len(history) - 1 < len(sizes):
+        history.pop()  # the run goes on: its last round is done again and chooses
     test = test.withColumn("split", F.lit("test")).persist(StorageLevel.MEMORY_AND_DISK)
     if not history and sizes:
         start = seed_sample(base, sizes[0], seed, id_col, n).withColumn("err", F.lit(None).cast("double"))
         history = [state.commit(0, start, 0, sizes[0], None)]
+    trained = [sum(max(h["n_chosen"], 0) for h in history[: r + 1]) for r in range(len(history))]
     for r in range(len(history) - 1, len(sizes)):
         known = hold(state.members(r + 1).select(id_col, F.lit(True).alias("_known")), id_col, n)
         try:
@@ -165,14 +170,16 @@ def grow_by_uncertainty(
             rest = tagged.filter(F.col("_known").isNull()).drop("_known")
             fitted = {name: model.fit(train) for name, model in models.items()}
             scores = score_models(test, fitted, y)
-            batch = min(sizes[0], n - sizes[r])
+            batch = min(sizes[0], n - trained[r])
             if r + 1 < len(sizes) and batch > 0:
-                rated = materialise(uncertainty(fitted, rest, train, r).select(id_col, "err"))
-                chosen = rated.filter(first_k(rated, ["-err", id_col], batch).column())
-                state.commit(r + 1, chosen, sizes[r], batch, scores)
+                rated = materialise(uncertainty(fitted, rest, train, r).select(id_col, "err")).dropna(subset=["err"])
+                n_rated = rated.count()
+                chosen = rated.filter(first_k(rated, ["-err", id_col], batch, n_rated).column())
+                history.append(state.commit(r + 1, chosen, trained[r], min(batch, n_rated), scores))
             else:
                 none = base.select(id_col, F.lit(0.0).alias("err")).limit(0)
-                state.commit(r + 1, none, sizes[r], 0, scores)
+                history.append(state.commit(r + 1, none, trained[r], NOT_CHOSEN, scores))
+            trained.append(trained[r] + max(history[-1]["n_chosen"], 0))
         finally:
             known.unpersist()
     base.unpersist()
@@ -180,7 +187,7 @@ def grow_by_uncertainty(
     rounds = len(sizes)
     # scores of round r are committed together with the batch it chose
     scores = state.scores(rounds + 1).withColumn("iter", F.col("iter") - 1)
-    frame = pool.sparkSession.createDataFrame(list(enumerate(sizes)), "iter int, train_size long")
+    frame = pool.sparkSession.createDataFrame(list(enumerate(trained[:rounds])), "iter int, train_size long")
     members = state.members(rounds + 1).select(id_col, F.col("iter").alias("iter_added"), "err")
     return GrowResult(_curve(scores, frame, n, "test"), members)
 
@@ -229,18 +236,19 @@ def grow_by_error(
     n = pool.count()
     base = hold(pool, id_col, n)
     sizes = list(batch_sizes) if batch_sizes else [max(1, n // n_iter)] * (n_iter + 1)
-    state = RunState.open(pool, run_dir, id_col)
+    settings = {"model": model, "subsample": subsample, "batch": sizes[0], "criterion": criterion, "val": val if isinstance(val, str) else val is not None, "y": y}
+    state = RunState.open(pool, run_dir, id_col, resume, settings, {"pool": pool, "test": test})
     history = state.done() if resume else []
     test = test.withColumn("split", F.lit("test")).persist(StorageLevel.MEMORY_AND_DISK)
     if not history:
         start = materialise(quantile_seeds(base, y, sizes[0], id_col).withColumn("err", F.lit(None).cast("double")))
         n_start = start.count()
         history = [state.commit(0, start, 0, n_start, None)]
-    n_train = sum(h["n_chosen"] for h in history)
+    n_train = sum(max(h["n_chosen"], 0) for h in history)
     trained = [0]
     for h in history:
-        trained.append(trained[-1] + h["n_chosen"])
-    ended = len(history) > 1 and history[-1]["n_chosen"] == 0
+        trained.append(trained[-1] + max(h["n_chosen"], 0))
+    ended = history[-1]["n_chosen"] == NOT_CHOSEN
     for r in range(len(history) - 1, len(sizes)):
         if ended:
             break
@@ -257,17 +265,16 @@ def grow_by_error(
             scores = score_models(frame, {"m1": fitted}, y)
             ended = n_train + sizes[r] > n
             if ended:
-                chosen, n_chosen = base.select(id_col, F.lit(0.0).alias("err")).limit(0), 0
+                chosen, n_chosen = base.select(id_col, F.lit(0.0).alias("err")).limit(0), NOT_CHOSEN
             else:
                 candidates = fitted.transform(frac_sample(rest, subsample, r, id_col))
                 rated = materialise(
                     candidates.select(id_col, F.round(F.abs(F.col("prediction") - F.col(y)), ERR_DIGITS).alias("err"))
                 )
-                n_rated = rated.count()
-                n_chosen = min(sizes[r], n_rated)
+                n_chosen = min(sizes[r], rated.filter(F.col("err").isNotNull()).count())
                 chosen = pick(rated, "err", n_chosen, id_col)
             state.commit(r + 1, chosen, n_train, n_chosen, scores)
-            n_train += n_chosen
+            n_train += max(n_chosen, 0)
             trained.append(n_train)
         finally:
             known.unpersist()

@@ -73,7 +73,8 @@ def prune(
     instead; ``drop_max_err`` adds the largest ones. With ``join_model`` both models must
     be within their own threshold, and the fallback and ``drop_max_err`` follow the
     second model's errors. The run ends when fewer than ``min_remaining`` rows would
-    remain; the rows chosen by an ending iteration are proposed but not removed.
+    remain, or when no row has an error; the rows chosen by an ending iteration are proposed
+    but not removed. A row without a prediction has no error and stays.
 
     The pool is partitioned and sorted by id once. An iteration brings the ids removed
     so far into the same order (only these move), so its passes merge the two without a
@@ -86,7 +87,12 @@ def prune(
     base, test = hold(pool, id_col, n_pool), test.persist(StorageLevel.MEMORY_AND_DISK)
     if min_drop is None:
         min_drop = n_pool // 100
-    state = RunState.open(pool, run_dir, id_col)
+    settings = {
+        "model": model, "threshold": threshold, "train_size": train_size, "min_drop": min_drop, "drop_max_err": drop_max_err,
+        "model_test": model_test, "join_model": join_model, "threshold2": threshold2, "retrain": retrain, "min_remaining": min_remaining, "y": y,
+    }
+    tables = {"pool": pool, "test": test} | ({"fixed_train": fixed_train} if fixed_train is not None else {})
+    state = RunState.open(pool, run_dir, id_col, resume, settings, tables)
     history = state.done() if resume else []
     removed_so_far = sum(h["n_chosen"] for h in history)
     start, stopped, i = len(history), False, len(history)
@@ -127,7 +133,8 @@ def prune(
             chosen = errors.filter(choice).select(id_col, F.col(driving).alias("err"))
             if n_small < min_drop or drop_max_err:
                 n_chosen = chosen.count()
-            if n_chosen > n_remaining - min_remaining:
+            # where no row has an error (a feature is missing everywhere) no iteration will choose any
+            if n_chosen > n_remaining - min_remaining or (n_chosen == 0 and min_drop > 0):
                 stopped = True
                 break
             final = model.fit(with_fixed(remaining)) if retrain else fitted

@@ -49,11 +49,13 @@ def read_manifest(
 ) -> DataFrame:
     """Manifest rows joined to one text file per id, and optionally to an initial one.
 
-    The file must exist for every id; the initial file may be missing (null).
+    The file must exist for every id; the initial file may be missing (null). ``position``
+    is the place of the row in the manifest (``csv`` is one file).
     """
     reader = spark.read.option("header", True)
     rows = reader.schema(schema).csv(csv) if schema else reader.csv(csv)
-    rows = rows.withColumn("fid", F.col("fid").cast("string"))
+    # rows of a file split into blocks keep their order in this number
+    rows = rows.withColumn("fid", F.col("fid").cast("string")).withColumn("position", F.monotonically_increasing_id())
     joined = rows.join(_files_by_id(spark, files_glob, "text"), "fid", "left")
     lost = F.raise_error(F.concat(F.lit("no file for id "), F.col("fid"))).cast("string")
     joined = joined.withColumn("text", F.when(F.col("text").isNull(), lost).otherwise(F.col("text")))
@@ -89,7 +91,7 @@ def read_run_folder(
         .withColumn("volume_per_atom", per_unit(cell_volume(F.col("structure.lattice")), "NIONS"))
     )
     bag = member_counts(table.select("fid", F.col("structure.elements").alias("members")), "members", "fid")
-    return reference_subtracted(table, bag, "e_per_atom", reset=reset_reference, id_col="fid", name="Ef_per_atom")
+    return reference_subtracted(table, bag, "e_per_atom", reset=reset_reference, id_col="fid", name="Ef_per_atom", position="position")
 
 
 SCORE_COLUMNS = "train_size double, maes double, rmse double, r2 double, maes_val double, rmse_val double, r2_val double"

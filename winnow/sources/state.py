@@ -1,12 +1,15 @@
 """Run state: one Parquet partition per iteration, so a stopped run resumes exactly.
 
-Layout of a run folder: ``members/iter=i`` (ids chosen in iteration i) and
-``scores/iter=i``. The scores are written last and are what counts: an iteration
-without them is overwritten when the run resumes.
+Layout of a run folder: ``settings`` (one row per attempt: its number and what it ran
+on), and for each attempt ``attempt=a/members/iter=i`` (ids chosen in iteration i) and
+``attempt=a/scores/iter=i``. The scores are written last and are what counts: an iteration
+without them is overwritten when the run resumes. A run that is not resumed starts
+a new attempt, so nothing of an older one is read or has to be deleted.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from dataclasses import dataclass
@@ -27,6 +30,31 @@ def new_run_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
+#: ``n_chosen`` of a round that was scored as the last one, without choosing a batch
+NOT_CHOSEN = -1
+
+
+def described(value) -> str:
+    """A setting as text: plain values as they are, models by class and plain attributes."""
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return repr(value)
+    if isinstance(value, (list, tuple)):
+        return f"[{', '.join(map(described, value))}]"
+    if isinstance(value, dict):
+        return f"{{{', '.join(f'{k}: {described(v)}' for k, v in sorted(value.items()))}}}"
+    if callable(value) and hasattr(value, "__qualname__"):
+        cells = [c.cell_contents for c in value.__closure__ or ()]
+        return f"{value.__qualname__}({', '.join(described(c) for c in cells if not callable(c))})"
+    plain = {k: v for k, v in vars(value).items() if isinstance(v, (bool, int, float, str, list, tuple))} if hasattr(value, "__dict__") else {}
+    return f"{type(value).__name__}{described(plain)}"
+
+
+def _print_of(df: DataFrame) -> list:
+    """Rows and a sum of row hashes, whatever the order or partitioning."""
+    row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first()
+    return [row[0], str(row[1])]
+
+
 @dataclass
 class RunState:
     spark: SparkSession
@@ -35,8 +63,35 @@ class RunState:
     id_type: str
 
     @classmethod
-    def open(cls, df: DataFrame, path: str | None, id_col: str = "id") -> "RunState":
-        return cls(df.sparkSession, path or new_run_dir(df.sparkSession), id_col, df.schema[id_col].dataType.simpleString())
+    def open(
+        cls, df: DataFrame, path: str | None, id_col: str = "id", resume: bool = False, settings: dict | None = None,
+        tables: dict[str, DataFrame] | None = None,
+    ) -> "RunState":
+        """A run in ``path`` (default: a new folder).
+
+        ``resume`` goes on with the last attempt in the folder, and is an error where that one
+        ran on other ``settings`` or on other rows of ``tables``; otherwise a new attempt begins.
+        """
+        spark = df.sparkSession
+        id_type = df.schema[id_col].dataType.simpleString()
+        if path is None:
+            return cls(spark, new_run_dir(spark), id_col, id_type)
+        mark = json.dumps({"settings": described(settings or {}), **{n: _print_of(t) for n, t in (tables or {}).items()}}, sort_keys=True)
+        try:
+            attempts = spark.read.schema("attempt int, mark string").parquet(f"{path}/settings").collect()
+        except AnalysisException as err:
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
+            attempts = []
+        last = max(attempts, key=lambda r: r["attempt"], default=None)
+        if resume and last is not None:
+            if last["mark"] != mark:
+                raise ValueError(f"{path} holds a run on other settings or rows: {last['mark']}, not {mark}")
+            number = last["attempt"]
+        else:
+            number = last["attempt"] + 1 if last else 0
+            spark.createDataFrame([(number, mark)], "attempt int, mark string").coalesce(1).write.mode("append").parquet(f"{path}/settings")
+        return cls(spark, f"{path}/attempt={number}", id_col, id_type)
 
     def _read(self, part: str, schema: str) -> DataFrame:
         return self.spark.read.schema(f"{schema}, iter int").parquet(f"{self.path}/{part}")
@@ -55,7 +110,8 @@ class RunState:
     def commit(self, i: int, chosen: DataFrame, n_before: int, n_chosen: int, scores: DataFrame | None) -> dict:
         """``chosen(id, err)``, then the scores of iteration ``i`` together with its sizes."""
         files = max(1, math.ceil(n_chosen / FILE_ROWS))
-        chosen.select(self.id_col, "err").coalesce(files).write.mode("overwrite").parquet(f"{self.path}/members/iter={i}")
+        # only the chosen rows move; the scan that finds them stays as wide as it is
+        chosen.select(self.id_col, "err").repartition(files).write.mode("overwrite").parquet(f"{self.path}/members/iter={i}")
         if scores is None:
             scores = self.spark.createDataFrame([(None,) * 6], UNSCORED)
         (
@@ -79,14 +135,12 @@ class RunState:
         return rows.drop("n_before", "n_chosen")
 
 
-def write_curve(curve: DataFrame, path: str, run_id: str, iteration: int) -> None:
-    """Learning-curve rows of one iteration; only that partition is rewritten."""
-    curve.write.mode("overwrite").parquet(f"{path}/run_id={run_id}/iter={iteration}")
+def write_iteration(rows: DataFrame, path: str, run_id: str, iteration: int) -> None:
+    """Curve rows or selected ids of one iteration; only that partition is rewritten."""
+    rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}/iter={iteration}")
 
 
-def write_selection(ids: DataFrame, path: str, run_id: str, iteration: int) -> None:
-    """Selected ids of one iteration; only that partition is rewritten."""
-    ids.write.mode("overwrite").parquet(f"{path}/run_id={run_id}/iter={iteration}")
+write_curve = write_selection = write_iteration
 
 
 def write_history(scores: DataFrame, path: str) -> None:
