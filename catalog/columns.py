@@ -124,5 +124,5 @@ def influence_pairs_rm_self(spark, folder):
 
 @query()
 def project_2d(spark, folder):
-    z, _ = project(embedding_columns(spark, folder), DIMS, fit_frac=0.5, seed=1)
+    z, _ = project(embedding_columns(spark, folder), DIMS)
     return z

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.session import materialise, small_side
+
 
 def choose_trees(n_trees: int, frac: float, seed: int) -> list[int]:
     """A reproducible subset of tree numbers."""
@@ -30,15 +32,16 @@ def weighted_variance(
     """Mean and variance of the target over all training rows, weighted by affinity.
 
     Linear: training rows shrink to (n, sum, sum of squares) per (tree, leaf), which
-    every validation row looks up once per tree. No row pair is ever formed, so a leaf
-    holding a third of all rows costs one row. Columns: id, mean, variance, weight.
+    every validation row looks up once per tree: a leaf holding a third of all training rows
+    is one row. The leaves are few (a bounded number per tree), so they are broadcast once
+    counted, and the lookups of a row are summed where the row is. Columns: id, mean, variance, weight.
     """
     centre = train.agg(F.avg(y)).first()[0] or 0.0  # against cancellation
     c = F.col(y) - F.lit(centre)
     stats = _leaf_rows(train.select("leaves", y), trees).groupBy("tree", "leaf").agg(
         F.count(F.lit(1)).alias("n"), F.sum(c).alias("s"), F.sum(c * c).alias("ss")
     )
-    joined = _leaf_rows(val.select(id_col, "leaves"), trees).join(stats, ["tree", "leaf"])
+    joined = _leaf_rows(val.select(id_col, "leaves"), trees).join(small_side(materialise(stats)), ["tree", "leaf"])
     sums = joined.groupBy(id_col).agg(F.sum("n").alias("weight"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("weight")
     found = sums.select(

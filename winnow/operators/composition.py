@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.session import materialise
+from winnow.session import materialise, small_side
 
 #: fixed values: total energy per atom of the pure elements
 PURE_ENERGY = {
@@ -61,7 +61,8 @@ def composition_features(
     deviation) and mode (smallest value among the most abundant members). A member
     without a property value makes that property's statistics null.
     """
-    rows = _merged(bag, id_col).join(props.select("member", *properties), "member", "left")
+    known = materialise(props.select("member", *properties))
+    rows = _merged(bag, id_col).join(small_side(known, 32 + 8 * len(properties)), "member", "left")
     total = F.sum("amount")
     per_id = rows.groupBy(id_col).agg(
         total.alias("_total"), F.max("amount").alias("_top"),
@@ -114,7 +115,7 @@ def reference_subtracted(
         references = references_from_pure(values, bag, value, id_col, position)
     elif references is None:
         references = pure_energies(values)
-    found = fractions(bag, id_col).join(references, "member", "left")
+    found = fractions(bag, id_col).join(small_side(materialise(references)), "member", "left")
     missing = F.raise_error(F.concat(F.lit("no reference for member "), F.col("member")))
     known = F.when(F.col("reference").isNull(), missing.cast("double")).otherwise(F.col("reference"))
     base = found.groupBy(id_col).agg(F.sum(F.col("frac") * known).alias("_base"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.columns import poisson_nll, squared_error
+from winnow.session import materialise, small_side
 
 
 def score_columns(pred: str | Column = "prediction", y: str | Column = "y") -> dict[str, Column]:
@@ -73,8 +74,8 @@ def target_stats(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFram
     keys = list(by)
     present = df.filter(F.col(target).isNotNull())
     if keys:
-        means = present.groupBy(*keys).agg(F.avg(target).alias("_mean"))
-        centred = present.join(means, keys)
+        means = materialise(present.groupBy(*keys).agg(F.avg(target).alias("_mean")))
+        centred = present.join(small_side(means, 32 * (len(keys) + 1)), keys)
     else:
         mean = present.agg(F.avg(target)).first()[0]
         centred = present.withColumn("_mean", F.lit(mean))

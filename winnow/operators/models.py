@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from winnow.functions.columns import log10_target, pow10
 from winnow.operators.metrics import score_models
-from winnow.session import materialise
+from winnow.session import materialise, small_side
 
 
 class Fitted(Protocol):
@@ -120,28 +120,44 @@ class GroupMean:
             )
         )
         overall = means.agg(F.round(F.sum("_sum") / F.sum("_n"), self.digits)).first()[0]
-        return FittedGroupMean(self.col, means.select(self.col, "_group_mean"), overall)
+        return FittedGroupMean(self.col, small_side(means.select(self.col, "_group_mean")), overall)
+
+
+#: far below any feature, so that a split can part rows without a value from all others
+MISSING = -1e300
+
+
+def vectors(df: DataFrame, features: Sequence[str], missing: float | None) -> DataFrame:
+    """Add the feature vector ``_features``."""
+    if missing is None:
+        return VectorAssembler(inputCols=list(features), outputCol="_features").transform(df)
+    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(missing)), F.lit(missing)) for c in features]
+    return df.withColumn("_features", array_to_vector(F.array(*filled)))
 
 
 @dataclass(frozen=True)
 class FittedMl:
-    assembler: VectorAssembler
+    features: tuple[str, ...]
     model: object
+    missing: float | None = None
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        return vectors(df, self.features, self.missing)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.model.transform(self.assembler.transform(df))
+        scored = self.model.transform(self._vectors(df))
         return scored.select(*df.columns, F.col("prediction").cast("double").alias("prediction"))
 
     def leaves(self, df: DataFrame) -> DataFrame:
         """Add ``leaves``: the row's leaf number in every tree."""
         model = self.model.copy()
         model.setLeafCol("_leaf")
-        scored = model.transform(self.assembler.transform(df))
+        scored = model.transform(self._vectors(df))
         return scored.select(*df.columns, F.transform(vector_to_array("_leaf"), lambda v: v.cast("int")).alias("leaves"))
 
     def per_tree(self, df: DataFrame) -> DataFrame:
         """Add ``preds``: every tree's own prediction. A narrow chain of transforms."""
-        wide = self.assembler.transform(df)
+        wide = self._vectors(df)
         names = []
         for i, tree in enumerate(self.model.trees):
             member = tree.copy()
@@ -154,19 +170,24 @@ class FittedMl:
 
 @dataclass(frozen=True)
 class MlModel:
-    """A ``pyspark.ml`` estimator over named feature columns."""
+    """A ``pyspark.ml`` estimator over named feature columns.
+
+    ``missing`` stands in for null and NaN features; trees can part it from all values.
+    Without it a missing feature is an error. Rows without a target take no part in a fit.
+    """
 
     estimator: Estimator
     features: tuple[str, ...]
     y: str = "y"
+    missing: float | None = None
 
     def fit(self, df: DataFrame) -> FittedMl:
-        assembler = VectorAssembler(inputCols=list(self.features), outputCol="_features")
         estimator = self.estimator.copy()
         estimator.setFeaturesCol("_features")
         estimator.setLabelCol(self.y)
-        rows = assembler.transform(df.select(*self.features, F.col(self.y).cast("double").alias(self.y)))
-        return FittedMl(assembler, estimator.fit(rows.select("_features", self.y)))
+        rows = df.select(*self.features, F.col(self.y).cast("double").alias(self.y)).dropna(subset=[self.y])
+        rows = vectors(rows, self.features, self.missing)
+        return FittedMl(self.features, estimator.fit(rows.select("_features", self.y)), self.missing)
 
 
 @dataclass(frozen=True)
@@ -243,9 +264,9 @@ RF_TREES, RF_FEATURES = 100, "onethird"
 BOOST_ROUNDS, BOOST_STEP, BOOST_ROWS, BOOST_FEATURES = 1000, 0.25, 0.85, "0.3"
 
 
-def rf(features, seed=0, y="y", trees=RF_TREES, depth=30):
+def rf(features, seed=0, y="y", trees=RF_TREES, depth=30, bootstrap=True):
     return MlModel(
-        RandomForestRegressor(numTrees=trees, featureSubsetStrategy=RF_FEATURES, maxDepth=depth, seed=seed),
+        RandomForestRegressor(numTrees=trees, featureSubsetStrategy=RF_FEATURES, maxDepth=depth, bootstrap=bootstrap, seed=seed),
         tuple(features), y,
     )
 
@@ -255,20 +276,20 @@ def xgb(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
     return MlModel(
         GBTRegressor(maxIter=rounds, stepSize=BOOST_STEP, subsamplingRate=BOOST_ROWS,
                      featureSubsetStrategy=BOOST_FEATURES, maxDepth=depth, seed=seed),
-        tuple(features), y,
+        tuple(features), y, MISSING,
     )
 
 
 def xgb_1tree(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
     """Boosted trees without any sampling; its leaves feed the affinity variance."""
-    return MlModel(GBTRegressor(maxIter=rounds, stepSize=BOOST_STEP, maxDepth=depth, seed=seed), tuple(features), y)
+    return MlModel(GBTRegressor(maxIter=rounds, stepSize=BOOST_STEP, maxDepth=depth, seed=seed), tuple(features), y, MISSING)
 
 
 def xgb_cla(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
     return MlModel(
         GBTClassifier(maxIter=rounds, stepSize=BOOST_STEP, subsamplingRate=BOOST_ROWS,
                       featureSubsetStrategy=BOOST_FEATURES, maxDepth=depth, seed=seed),
-        tuple(features), y,
+        tuple(features), y, MISSING,
     )
 
 

@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -41,6 +42,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: a table may be hinted for broadcast while rows times its row width stay below this
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int = 64, rows: int | None = None) -> DataFrame:
+    """``df`` hinted for broadcast if its rows, counted here unless given, are few enough, else as it is.
+
+    So a large table meets a handful of group values, members or leaves without being
+    shuffled on them. Count a materialised table, or what leads to it runs twice.
+    """
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
