@@ -78,7 +78,7 @@ def test_score_files_by_exact_name(spark, tmp_path):
 def test_partition_is_rewritten_alone(spark, tmp_path):
     path = str(tmp_path / "curve")
     for i, v in ((0, 1.0), (1, 2.0), (1, 5.0)):
-        W.write_curve(spark.createDataFrame([(v,)], "mae double"), path, "r", i)
+        W.write_iteration(spark.createDataFrame([(v,)], "mae double"), path, "r", i)
     assert sorted((r["iter"], r["mae"]) for r in spark.read.parquet(path).collect()) == [(0, 1.0), (1, 5.0)]
 
 

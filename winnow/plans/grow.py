@@ -14,7 +14,7 @@ from winnow.operators.metrics import score_models
 from winnow.operators.rank import batch_rule, cuts_for, ensemble_interval, first_k, hash_key
 from winnow.operators.split import frac_sample, interval_number, quantile_seeds, seed_sample
 from winnow.session import hold, materialise
-from winnow.sources.state import NOT_CHOSEN, RunState
+from winnow.sources.state import NOT_CHOSEN, RunState, write_iteration
 
 ERR_DIGITS = 6
 
@@ -140,6 +140,8 @@ def grow_by_uncertainty(
     max_rounds: int | None = None,
     run_dir: str | None = None,
     resume: bool = True,
+    curve_path: str | None = None,
+    run_id: str = "run",
     id_col: str = "id",
     y: str = "y",
 ) -> GrowResult:
@@ -148,6 +150,7 @@ def grow_by_uncertainty(
     ``uncertainty(fitted, rest, train, round)`` returns the rest rows with a column
     ``err``; the models already fitted for scoring are passed in, not fitted again. Rows
     whose ``err`` is null are not chosen, so a round may choose fewer than asked for.
+    With ``curve_path`` each round's rows of the curve are written there under ``run_id``.
     """
     n = pool.count()
     base = hold(pool, id_col, n)
@@ -180,6 +183,10 @@ def grow_by_uncertainty(
                 none = base.select(id_col, F.lit(0.0).alias("err")).limit(0)
                 history.append(state.commit(r + 1, none, trained[r], NOT_CHOSEN, scores))
             trained.append(trained[r] + max(history[-1]["n_chosen"], 0))
+            if curve_path is not None:
+                size = pool.sparkSession.createDataFrame([(r, trained[r])], "iter int, train_size long")
+                now = state.scores(r + 2).filter(F.col("iter") == r + 1).withColumn("iter", F.col("iter") - 1)
+                write_iteration(_curve(now, size, n, "test").drop("iter"), curve_path, run_id, r)
         finally:
             known.unpersist()
     base.unpersist()

@@ -17,18 +17,21 @@ from winnow.plans.grow import (
 )
 from winnow.plans.prune import prune
 from winnow.session import materialise
+from winnow.sources.features import write_score_files
 
 
 def random_baseline(
     models: Mapping[str, object], pool: DataFrame, test: DataFrame, seeds: Sequence[int],
     fractions: Sequence[float] = TRAIN_FRACTIONS, order: Sequence[str] | None = None, id_col: str = "id", y: str = "y",
+    save_to: str | None = None,
 ) -> DataFrame:
     """For every seed and training fraction: scores on the test rows and on the unused rest.
 
     Columns: model, seed, train_size (the fraction), n_train, maes, rmse, r2, maes_val,
     rmse_val, r2_val. The training sets of one seed are nested, so a seed needs one
     draw and one scoring pass however many fractions it has. With ``order`` nothing is
-    drawn: the first int(f*n) rows in that order train.
+    drawn: the first int(f*n) rows in that order train. With ``save_to`` the scores of each
+    model and seed are written there as score files as soon as the seed is done.
     """
     out = None
     for seed in seeds:
@@ -69,6 +72,9 @@ def random_baseline(
         )
         rows = materialise(rows)
         stepped.unpersist()
+        if save_to is not None:
+            for name in models:
+                write_score_files(rows.filter(F.col("model") == name), save_to, name, seed)
         out = rows if out is None else out.unionByName(rows)
     return out
 

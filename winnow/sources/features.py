@@ -38,9 +38,9 @@ def read_predefined_split(spark: SparkSession, path: str, id_type: str = "string
 
 
 def _files_by_id(spark: SparkSession, glob: str, name: str) -> DataFrame:
-    """One row per ``POSCAR.{fid}`` file: fid, text."""
+    """One row per ``POSCAR.{fid}`` file, or folder with one written file: fid, text."""
     return spark.read.text(glob, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^POSCAR\.(.+)$", 1).alias("fid"), F.col("value").alias(name)
+        F.regexp_extract(F.col("_metadata.file_path"), r"/POSCAR\.([^/]+)(?:/[^/]+)?$", 1).alias("fid"), F.col("value").alias(name)
     )
 
 
@@ -98,8 +98,14 @@ SCORE_COLUMNS = "train_size double, maes double, rmse double, r2 double, maes_va
 
 
 def read_score_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """Per-seed score files ``{prefix}_{seed}.csv``; the seed must be a number, so that a
-    model name that merely begins alike is not read."""
+    """Per-seed score files ``{prefix}_{seed}.csv``, or folders of that name as Spark writes them; the
+    seed must be a number, so that a model name that merely begins alike is not read."""
     rows = spark.read.option("header", True).schema(SCORE_COLUMNS).csv(f"{folder}/{prefix}_*.csv")
-    seed = F.regexp_extract(F.col("_metadata.file_name"), rf"^{re.escape(prefix)}_(\d+)\.csv$", 1)
+    seed = F.regexp_extract(F.col("_metadata.file_path"), rf"/{re.escape(prefix)}_(\d+)\.csv(?:/[^/]+)?$", 1)
     return rows.select("*", seed.alias("seed")).filter(F.col("seed") != "").withColumn("seed", F.col("seed").cast("int"))
+
+
+def write_score_files(scores: DataFrame, folder: str, prefix: str, seed: int) -> None:
+    """Scores of one seed, one row per training size, where :func:`read_score_files` finds them."""
+    columns = [c.split()[0] for c in SCORE_COLUMNS.split(", ")]
+    scores.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{prefix}_{seed}.csv")

@@ -140,9 +140,6 @@ def write_iteration(rows: DataFrame, path: str, run_id: str, iteration: int) ->
     rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}/iter={iteration}")
 
 
-write_curve = write_selection = write_iteration
-
-
 def write_history(scores: DataFrame, path: str) -> None:
     """Metric history as JSON lines, appended."""
     scores.write.mode("append").json(path)
