@@ -90,6 +90,20 @@ def influence_loo(spark, folder):
     return out.select("id", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
+TWO = f"""WITH {F1}, s AS (SELECT count(*) AS n, avg(qty) AS mx, avg(avg_p_size) AS mz, avg(y) AS my, count(*) * covar_pop(qty, qty) AS xx,
+  count(*) * covar_pop(qty, avg_p_size) AS xz, count(*) * covar_pop(avg_p_size, avg_p_size) AS zz, count(*) * covar_pop(qty, y) AS xy,
+  count(*) * covar_pop(avg_p_size, y) AS zy FROM f1),
+b AS (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM s),
+e AS MATERIALIZED (SELECT id, n, qty - mx AS dx, avg_p_size - mz AS dz, my + b1 * (qty - mx) + b2 * (avg_p_size - mz) - y AS e, xx, xz, zz, det FROM f1, b),
+h AS MATERIALIZED (SELECT *, CAST(1 AS DOUBLE) / n + (dx * dx * zz - 2 * dx * dz * xz + dz * dz * xx) / det AS h FROM e)"""
+
+
+@query(f"{TWO} SELECT id, round(abs(h * e / (1 - h)), 4) AS self_abs, round(abs(e / (1 - h)) * sqrt(h / n), 4) AS rms_abs FROM h")
+def influence_loo_two_features(spark, folder):
+    out = I.linear_influence(order_features(spark, folder).persist(), ["qty", "avg_p_size"])
+    return out.select("id", F.round("self_abs", 4).alias("self_abs"), F.round("rms_abs", 4).alias("rms_abs"))
+
+
 def order_pairs(f1):
     """Each order with itself and with the order numbered next."""
     return f1.select(F.col("id").alias("removed_id"), "id").unionByName(
@@ -122,6 +136,14 @@ def influence_pairs_rm_self(spark, folder):
     return out.withColumns({"abs_influ": F.round("abs_influ", 3), "pct_influ": F.round("pct_influ", 6)})
 
 
+@query(f"""{TWO}, {PAIR_ROWS} SELECT removed_id, pr.id, round(abs((CAST(1 AS DOUBLE) / i.n + (i.dx * k.dx * i.zz - (i.dx * k.dz + i.dz * k.dx) * i.xz
+  + i.dz * k.dz * i.xx) / i.det) * i.e / (1 - i.h)), 4) AS abs_influ FROM pr JOIN h i ON i.id = removed_id JOIN h k ON k.id = pr.id""")
+def influence_pairs_two_features(spark, folder):
+    f1 = order_features(spark, folder).persist()
+    out = I.linear_influence_of_pairs(f1, order_pairs(f1), ["qty", "avg_p_size"])
+    return out.withColumn("abs_influ", F.round("abs_influ", 4))
+
+
 @query()
 def project_2d(spark, folder):
     z, _ = project(embedding_columns(spark, folder), DIMS)

@@ -198,8 +198,8 @@ def grow_max_err_curve(spark, folder):
     return G.grow_by_error(Ols1("n_lines"), pool, test, batch_sizes=[300] * 3).curve
 
 
-@query(f"""{POOL}, {drawn('r', 'pool', 0)}, st AS (SELECT greatest(1, CAST(floor(CAST(0.05 AS DOUBLE) * (SELECT count(*) FROM pool)) AS BIGINT)) AS s),
-z AS MATERIALIZED (SELECT CAST(i - 1 AS INTEGER) AS iter, least(i * s, (SELECT count(*) FROM pool)) AS train_size FROM st, range(1, 25) g(i)
+@query(f"""{POOL}, {drawn('r', 'pool', 0)}, st AS (SELECT greatest(1, CAST(floor(CAST(0.01 AS DOUBLE) * (SELECT count(*) FROM pool)) AS BIGINT)) AS s),
+z AS MATERIALIZED (SELECT CAST(i - 1 AS INTEGER) AS iter, least(i * s, (SELECT count(*) FROM pool)) AS train_size FROM st, range(1, 120) g(i)
   WHERE (i - 1) * s < (SELECT count(*) FROM pool) AND i * s < (SELECT count(*) FROM pool)),
 ma AS (SELECT iter, train_size, round(regr_slope(y, n_lines), 6) AS b, round(regr_intercept(y, n_lines), 6) AS a FROM z JOIN r ON rk <= train_size GROUP BY ALL),
 mb AS (SELECT iter, train_size, round(regr_slope(y, qty), 6) AS b, round(regr_intercept(y, qty), 6) AS a FROM z JOIN r ON rk <= train_size GROUP BY ALL),
@@ -208,7 +208,7 @@ p AS (SELECT 'one' AS model, iter, train_size, y, a + b * n_lines AS pred FROM m
 SELECT iter, model, round(train_size / (SELECT CAST(count(*) AS DOUBLE) FROM pool), 3) AS train_ratio, {CURVE}, train_size FROM p GROUP BY iter, model, train_size""")
 def grow_random(spark, folder):
     pool, test = split_pool(spark, folder)
-    return G.grow_random({"one": Ols1("n_lines"), "two": Ols1("qty")}, pool, test, step_frac=0.05).curve
+    return G.grow_random({"one": Ols1("n_lines"), "two": Ols1("qty")}, pool, test).curve
 
 
 def committee_sql(rounds: int, frac: float, result: str) -> str:

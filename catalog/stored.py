@@ -46,7 +46,7 @@ def score_history(spark, folder):
     return rounded_scores(found)
 
 
-GRID = [{"criterion": "random", "step_frac": 0.05}, {"criterion": "committee", "step_frac": 0.05, "max_rounds": 2}]
+GRID = [{"criterion": "random", "step_frac": 0.01}, {"criterion": "committee", "step_frac": 0.05, "max_rounds": 2}]
 
 
 @query(f"SELECT 'random' AS criterion, * FROM ({ORACLES['grow_random']}) UNION ALL SELECT 'committee' AS criterion, * FROM ({ORACLES['grow_committee']})")

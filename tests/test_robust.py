@@ -13,6 +13,7 @@ from winnow.operators import columns as C
 from winnow.operators import composition as D
 from winnow.operators import metrics, models, rank, split
 from winnow.operators.affinity import weighted_variance
+from winnow.operators.influence import linear_influence, linear_influence_of_pairs
 from winnow.sources import features as R
 
 
@@ -122,3 +123,20 @@ def test_small_sides_leave_the_large_one_where_it_is(spark, rows):
             assert "BroadcastHashJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_influence_of_several_features_equals_refits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=40)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(40)], "id long, a double, b double, c double, y double")
+    full = np.column_stack([np.ones(40), x])
+    fit = lambda keep: full @ np.linalg.lstsq(full[keep], y[keep], rcond=None)[0]
+    every = np.arange(40)
+    change = np.array([fit(every != i) - fit(every >= 0) for i in range(40)])
+    for r in linear_influence(df, ["a", "b", "c"]).collect():
+        assert math.isclose(r["self_abs"], abs(change[r["id"], r["id"]]), rel_tol=1e-8)
+        assert math.isclose(r["rms_abs"], math.sqrt((change[r["id"]] ** 2).mean()), rel_tol=1e-8)
+    pairs = spark.createDataFrame([(i, j) for i in range(0, 40, 7) for j in range(0, 40, 3)], "removed_id long, id long")
+    for r in linear_influence_of_pairs(df, pairs, ["a", "b", "c"]).collect():
+        assert math.isclose(r["abs_influ"], abs(change[r["removed_id"], r["id"]]), rel_tol=1e-8)

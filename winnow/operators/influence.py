@@ -1,4 +1,4 @@
-"""Deletion diagnostics of a one-variable least-squares model, without refits.
+"""Deletion diagnostics of least-squares models, without refits.
 
 Leaving rows out changes five sums, so the model without any given row follows from
 one pass. The full table of effects (every removed row on every observed row) grows
@@ -8,8 +8,10 @@ every removed row, but never written out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,3 +148,60 @@ def influence_of_pairs(
         F.abs(changed - reference).alias("abs_influ"),
         percent_change(changed, reference).alias("pct_influ"),
     )
+
+
+def linear_influence(df: DataFrame, features: Sequence[str], y: str = "y", id_col: str = "id") -> DataFrame:
+    """Effect of removing each row from a least-squares model of several features, without refits.
+
+    Columns: id, self_abs (change of its own prediction), rms_abs (root of the mean squared
+    change over all observed rows, itself included). One pass gives the Gram matrix about the
+    means (features, not rows, decide its size); a removal is a rank-one update of it, so both
+    follow from the row's leverage h and error e: the change at z is z' G^-1 x e / (1 - h).
+    """
+    leverage, error, n = _leverage(df, features, y)
+    change = F.try_divide(error, 1 - leverage)
+    return df.select(
+        id_col, F.abs(leverage * change).alias("self_abs"), (F.abs(change) * F.sqrt(leverage / F.lit(n))).alias("rms_abs")
+    )
+
+
+def linear_influence_of_pairs(df: DataFrame, pairs: DataFrame, features: Sequence[str], y: str = "y", id_col: str = "id") -> DataFrame:
+    """Change of the prediction at ``id`` when ``removed_id`` is left out, for the given pairs: removed_id, id, abs_influ."""
+    names = list(features)
+    leverage, error, _ = _leverage(df, names, y)
+    inverse, means, n = _gram(df, names, y)[:3]
+    centred = [F.col(c) - F.lit(means[c]) for c in names]
+    pull = [sum((F.lit(float(inverse[i][j])) * centred[j] for j in range(len(names))), F.lit(0.0)) for i in range(len(names))]
+    removed = df.select(F.col(id_col).alias("removed_id"), F.array(*pull).alias("_u"), F.try_divide(error, 1 - leverage).alias("_c"))
+    seen = df.select(F.col(id_col).alias("id"), F.array(*centred).alias("_z"))
+    rows = pairs.select("removed_id", "id").join(removed, "removed_id").join(seen, "id")
+    dot = F.aggregate(F.zip_with("_u", "_z", lambda a, b: a * b), F.lit(1.0 / n), lambda a, b: a + b)
+    return rows.select("removed_id", "id", F.abs(dot * F.col("_c")).alias("abs_influ"))
+
+
+def _gram(df: DataFrame, names: Sequence[str], y: str):
+    """Inverse of the centred Gram matrix, means, row count and coefficients."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in [*names[i:], y]]
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate([*names, y])],
+        *[F.covar_pop(a, b).alias(f"c_{i}") for i, (a, b) in enumerate(pairs)],
+    ).first()
+    n = float(row["n"])
+    sums = {p: row[f"c_{i}"] * n for i, p in enumerate(pairs)}
+    gram = np.array([[sums[(a, b)] if (a, b) in sums else sums[(b, a)] for b in names] for a in names])
+    inverse = np.linalg.inv(gram)
+    return inverse, {c: row[f"m_{i}"] for i, c in enumerate([*names, y])}, n, inverse @ np.array([sums[(a, y)] for a in names])
+
+
+def _leverage(df: DataFrame, features: Sequence[str], y: str) -> tuple[Column, Column, float]:
+    """Leverage and error of each row under the model of all rows, and the row count."""
+    names = list(features)
+    inverse, means, n, slopes = _gram(df, names, y)
+    centred = [F.col(c) - F.lit(means[c]) for c in names]
+    square = F.lit(1.0 / n)
+    fitted = F.lit(means[y])
+    for i, a in enumerate(centred):
+        fitted = fitted + F.lit(float(slopes[i])) * a
+        for j, b in enumerate(centred):
+            square = square + F.lit(float(inverse[i][j])) * a * b
+    return square, fitted - F.col(y), n

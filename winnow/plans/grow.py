@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -65,11 +65,10 @@ def grow_random(
     cuts, sizes = cuts_for(pool, seed, lambda rows: step_sizes(rows, step_frac, stop_frac, score_full), id_col, n)
     stepped = pool.withColumn("_step", interval_number(hash_key(seed, id_col), cuts))
     stepped = stepped.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = {}
-    for name, model in models.items():
-        for i, f in enumerate(fit_prefixes(model, stepped, "_step", len(sizes))):
-            fitted[f"{i}:{name}"] = f
-    scores = materialise(score_models(test.withColumn("split", F.lit("test")), fitted, y))
+    scores, frame = None, test.withColumn("split", F.lit("test"))
+    for batch in fitted_prefixes(models, stepped, "_step", len(sizes)):
+        now = materialise(score_models(frame, {f"{i}:{name}": f for (name, i), f in batch.items()}, y))
+        scores = now if scores is None else scores.unionByName(now)
     stepped.unpersist()
     parts = F.split("model", ":", 2)
     scores = scores.withColumn("iter", parts[0].cast("int")).withColumn("model", parts[1])
@@ -80,11 +79,20 @@ def grow_random(
     return GrowResult(_curve(scores, frame, n, "test"), members)
 
 
-def fit_prefixes(model, df: DataFrame, step: str, n_steps: int) -> list:
-    """The model fitted on ``step <= j`` for each j; one pass where the model can do it."""
-    if hasattr(model, "fit_prefixes"):
-        return model.fit_prefixes(df, step, n_steps)
-    return [model.fit(df.filter(F.col(step) <= j).drop(step)) for j in range(n_steps)]
+def fitted_prefixes(models: Mapping[str, object], df: DataFrame, step: str, n_steps: int) -> Iterator[dict]:
+    """Every model fitted on ``step <= j`` for each j, as batches ``{(name, j): fitted}`` to be scored together.
+
+    Models that fit all prefixes in one pass are small and come as one batch. Others come
+    one by one, so that one at a time is held and scored, however many rounds there are.
+    """
+    closed = {name: model for name, model in models.items() if hasattr(model, "fit_prefixes")}
+    together = {(name, j): f for name, model in closed.items() for j, f in enumerate(model.fit_prefixes(df, step, n_steps))}
+    if together:
+        yield together
+    for name, model in models.items():
+        if name not in closed:
+            for j in range(n_steps):
+                yield {(name, j): model.fit(df.filter(F.col(step) <= j).drop(step))}
 
 
 def committee(fitted: Mapping[str, object], rest: DataFrame, train: DataFrame, _round: int) -> DataFrame:

@@ -13,13 +13,37 @@ from winnow.operators.metrics import regression_scores, score_columns, stacked_p
 from winnow.operators.rank import global_rank
 from winnow.operators.split import TRAIN_FRACTIONS, load_pruned, nested_sizes
 from winnow.plans.grow import (
-    fit_prefixes, grow_by_error, grow_committee, grow_leaf_affinity, grow_random, grow_rf_uncertainty,
+    fitted_prefixes, grow_by_error, grow_committee, grow_leaf_affinity, grow_random, grow_rf_uncertainty,
 )
 from winnow.plans.prune import prune
 from winnow.session import materialise
 from winnow.sources.features import write_score_files
 
 
+def _baseline_scores(frame: DataFrame, batch: Mapping, fractions: Sequence[float], sizes: Sequence[int], seed: int, y: str) -> DataFrame:
+    """Scores of the fitted models ``{(name, fraction number): fitted}`` on test and unused rows, in one pass."""
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("model"), F.lit(j).alias("j"), F.lit(float(fractions[j])).alias("train_size"),
+                 F.lit(sizes[j]).cast("long").alias("n_train"))
+        for name, j in batch
+    ])
+    scored = regression_scores(
+        stacked_predictions(frame, list(batch.values()), ["step", y])
+        .withColumn("_cell", F.get(cells, "_m"))
+        .withColumn("_side", F.when(F.col("step").isNull(), "test").when(F.col("step") > F.col("_cell.j"), "val"))
+        .filter(F.col("_side").isNotNull()),
+        "prediction", y, ["_m", "_side"],
+    )
+    sides = []
+    for suffix, side in (("", "test"), ("_val", "val")):
+        for metric, column in (("mae", "maes"), ("rmse", "rmse"), ("r2", "r2")):
+            sides.append(F.max(F.when(F.col("_side") == side, F.col(metric))).alias(column + suffix))
+    return scored.groupBy("_m").agg(*sides).withColumn("_cell", F.get(cells, "_m")).select(
+        "_cell.model", F.lit(seed).alias("seed"), "_cell.train_size", "_cell.n_train",
+        "maes", "rmse", "r2", "maes_val", "rmse_val", "r2_val",
+    )
+
+
 def random_baseline(
     models: Mapping[str, object], pool: DataFrame, test: DataFrame, seeds: Sequence[int],
     fractions: Sequence[float] = TRAIN_FRACTIONS, order: Sequence[str] | None = None, id_col: str = "id", y: str = "y",
@@ -43,34 +67,12 @@ def random_baseline(
             step = F.size(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s < F.col("_rank")))
             stepped = global_rank(pool, order, "_rank").withColumn("step", step).drop("_rank")
         stepped = stepped.persist(StorageLevel.MEMORY_AND_DISK)
-        fitted = {
-            (name, j): f
-            for name, model in models.items()
-            for j, f in enumerate(fit_prefixes(model, stepped, "step", len(fractions)))
-        }
         # test rows count for every size, pool rows only for sizes that left them out
         frame = test.withColumn("step", F.lit(None).cast("int")).select(*stepped.columns).unionByName(stepped)
-        cells = F.array(*[
-            F.struct(F.lit(name).alias("model"), F.lit(j).alias("j"), F.lit(float(fractions[j])).alias("train_size"),
-                     F.lit(sizes[j]).cast("long").alias("n_train"))
-            for name, j in fitted
-        ])
-        scored = regression_scores(
-            stacked_predictions(frame, list(fitted.values()), ["step", y])
-            .withColumn("_cell", F.get(cells, "_m"))
-            .withColumn("_side", F.when(F.col("step").isNull(), "test").when(F.col("step") > F.col("_cell.j"), "val"))
-            .filter(F.col("_side").isNotNull()),
-            "prediction", y, ["_m", "_side"],
-        )
-        sides = []
-        for suffix, side in (("", "test"), ("_val", "val")):
-            for metric, column in (("mae", "maes"), ("rmse", "rmse"), ("r2", "r2")):
-                sides.append(F.max(F.when(F.col("_side") == side, F.col(metric))).alias(column + suffix))
-        rows = scored.groupBy("_m").agg(*sides).withColumn("_cell", F.get(cells, "_m")).select(
-            "_cell.model", F.lit(seed).alias("seed"), "_cell.train_size", "_cell.n_train",
-            "maes", "rmse", "r2", "maes_val", "rmse_val", "r2_val",
-        )
-        rows = materialise(rows)
+        rows = None
+        for batch in fitted_prefixes(models, stepped, "step", len(fractions)):
+            now = materialise(_baseline_scores(frame, batch, fractions, sizes, seed, y))
+            rows = now if rows is None else rows.unionByName(now)
         stepped.unpersist()
         if save_to is not None:
             for name in models:

@@ -45,6 +45,10 @@ def described(value) -> str:
     if callable(value) and hasattr(value, "__qualname__"):
         cells = [c.cell_contents for c in value.__closure__ or ()]
         return f"{value.__qualname__}({', '.join(described(c) for c in cells if not callable(c))})"
+    if hasattr(value, "extractParamMap"):  # an estimator
+        return type(value).__name__ + described({p.name: v for p, v in value.extractParamMap().items()})
+    if hasattr(value, "__dataclass_fields__"):
+        return type(value).__name__ + described({k: getattr(value, k) for k in value.__dataclass_fields__})
     plain = {k: v for k, v in vars(value).items() if isinstance(v, (bool, int, float, str, list, tuple))} if hasattr(value, "__dict__") else {}
     return f"{type(value).__name__}{described(plain)}"
 
