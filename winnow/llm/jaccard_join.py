@@ -85,9 +85,11 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int, percent: int, whole: b
 
 
 def shared(tokens: DataFrame, name: str) -> DataFrame:
-    """Tokens ``h`` of more than one row of (id, h), with the number ``df`` of rows; joins on it can be split."""
-    found = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), name)
-    return small_side(found, found.count(), _PAIR_BYTES)
+    """Tokens ``h`` of more than one row of (id, h), with the number ``df`` of rows.
+
+    They grow with the corpus, so joins on them shuffle at every size; as a written table, a hot token can be split.
+    """
+    return written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), name)
 
 
 def survivors(sets: DataFrame, prefix: str, percent: int) -> DataFrame:
