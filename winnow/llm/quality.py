@@ -110,7 +110,8 @@ def vote(latent: np.ndarray, model: Model, voters: int = VOTERS, block: int = 25
 def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, key: str, text: str, label: str, fit_rows: int) -> DataFrame:
     """``text`` and ``label`` of at most about ``fit_rows`` labelled rows, drawn by hash of the id.
 
-    A label that is null or contradicted by another row of the same id is not learned from.
+    A label that is null or contradicted by another row of the same id is not learned from;
+    of several texts of one id the first in order is.
     """
     votes = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).where("k is not null and y is not null")
     votes = votes.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
@@ -119,7 +120,7 @@ def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, key: str, text
     chosen = rows.where(F.col("draw") < min(1.0, fit_rows / max(n, 1)) * (1 << 20)).select("k", "y")
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     # about fit_rows rows of two numbers, so the hint is within its bound at any size
-    return texts.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", "text", "y")
+    return texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("text").alias("text")).select("k", "text", "y")
 
 
 def fit(rows: DataFrame, buckets: int = BUCKETS, dimensions: int = DIMENSIONS) -> Model:
