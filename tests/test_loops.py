@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators.models import GroupMean, Ols1
 from winnow.plans import grow as G
+from winnow.plans import prune as P
 from winnow.plans import runs as R
 from winnow.plans.prune import prune
 
@@ -205,3 +206,20 @@ def test_a_fresh_run_in_an_old_folder(data, tmp_path):
     assert sorted(map(tuple, again.proposed.collect())) == sorted(map(tuple, whole.proposed.collect()))
     with pytest.raises(ValueError):
         prune(Ols1("x"), pool, test, **{**settings, "threshold": 0.2}, max_iter=4, run_dir=folder)
+
+
+def test_a_long_run_makes_its_table_smaller(data, monkeypatch):
+    """Scores and choices are those of a run that keeps all rows in hand."""
+    pool, test = data
+    settings = dict(threshold=1.0, train_size=0.4, min_remaining=5, max_iter=6)
+    sizes, real = [], P.hold
+    monkeypatch.setattr(P, "hold", lambda df, key, rows: sizes.append(rows) or real(df, key, rows))
+    short = prune(Ols1("x"), pool, test, **settings)
+    assert min(sizes) <= pool.count() // 2
+    monkeypatch.setattr(P, "hold", lambda df, key, rows: real(df, key, rows))
+    whole = []
+    n = pool.count()
+    for r in short.scores.filter("split = 'removed'").orderBy("iter").collect():
+        whole.append(r["n"])
+    gone = {r["iter"]: r["count"] for r in short.proposed.groupBy("iter").count().collect()}
+    assert whole == [sum(gone[j] for j in range(i)) for i in range(1, len(gone))] and sum(gone.values()) > n // 2

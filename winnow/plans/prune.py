@@ -79,7 +79,8 @@ def prune(
     The pool is partitioned and sorted by id once. An iteration brings the ids removed
     so far into the same order (only these move), so its passes merge the two without a
     shuffle, and everything chosen is a comparison with a few numbers: no id list
-    reaches the driver.
+    reaches the driver. When half of the table in hand is gone, the rest is held anew, so
+    late iterations of a long run cost what is left; removed rows are only scored.
     """
     if join_model and (model_test is None or threshold2 is None):
         raise ValueError("join_model needs model_test and threshold2")
@@ -100,12 +101,23 @@ def prune(
     def with_fixed(df: DataFrame) -> DataFrame:
         return df if fixed_train is None else df.unionByName(fixed_train.select(*df.columns))
 
+    # rows removed before the table in hand was last made smaller, and the size of that table
+    archive, n_base, held = None, n_pool, [base]
     for i in range(start, max_iter):
-        gone_ids = hold(state.members(i).select(id_col, F.lit(True).alias("_removed")), id_col, n_pool) if i else None
+        gone_ids = hold(state.members(i).select(id_col, F.lit(True).alias("_removed")), id_col, n_base) if i else None
         try:
             tagged = base.join(gone_ids, id_col, "left") if i else base.withColumn("_removed", F.lit(None).cast("boolean"))
             remaining = tagged.filter(F.col("_removed").isNull()).drop("_removed")
             n_remaining = n_pool - removed_so_far
+            if n_remaining <= n_base // 2:
+                left = tagged.filter("_removed").drop("_removed").persist(StorageLevel.MEMORY_AND_DISK)
+                smaller = hold(remaining, id_col, n_remaining)
+                left.count(), smaller.count()  # both stand before the table they come from is released
+                held += [left, smaller]
+                archive = left if archive is None else archive.unionByName(left)
+                base.unpersist()
+                base, n_base = smaller, n_remaining
+                remaining, tagged = base, base.withColumn("_removed", F.lit(None).cast("boolean"))
             (cut,) = hash_cuts(remaining, i, [train_rows(train_size, n_remaining)], id_col, n_remaining)
             in_train = hash_key(i, id_col) <= cut
             train, fresh = remaining.filter(in_train), remaining.filter(~in_train)
@@ -143,7 +155,8 @@ def prune(
                 models["m2"] = model_test.fit(with_fixed(remaining))
             frame = test.withColumn("split", F.lit("test"))
             if i:
-                gone = tagged.filter(F.col("_removed")).drop("_removed").withColumn("split", F.lit("removed"))
+                gone = tagged.filter(F.col("_removed")).drop("_removed")
+                gone = (gone if archive is None else gone.unionByName(archive)).withColumn("split", F.lit("removed"))
                 frame = frame.select(*gone.columns).unionByName(gone)
             history.append(state.commit(i, chosen, n_remaining, n_chosen, score_models(frame, models, y)))
             removed_so_far += n_chosen
@@ -151,7 +164,8 @@ def prune(
             if gone_ids is not None:
                 gone_ids.unpersist()
 
-    base.unpersist()
+    for table in held:
+        table.unpersist()
     test.unpersist()
     n_iter = len(history)
     proposed = state.members(n_iter)
