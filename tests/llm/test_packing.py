@@ -91,7 +91,7 @@ def test_words_give_the_ids_of_whole_texts():
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = [r[1] or "" for r in corpus()] + [
         "It's they'll 12.5km\tÉCOLE x y\u0085z á ́b ΑΣ ΑΣ. <|endoftext|> x<|startoftext|>y \x1c\x1f é\n\n中文字 \U0001F600\U0001F600 İI",
-        "", " \n", "'s 't", "a'S B'RE", "﻿x", "ſt ﬁ Ǆ",
+        "", " \n", "'s 't", "a'S B'RE", "﻿x", "ſt ﬁ Ǆ", "a\x01b \x01 c", "\x01\x02",
     ]
     coder = word_bpe()
     for _ in range(2):

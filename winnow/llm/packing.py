@@ -11,9 +11,12 @@ share windows until all is packed. What is left there is cut into powers of two.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +30,79 @@ from winnow.llm.text import chunks
 #: tokens of a sequence, id after each document
 LENGTH, END = 4096, 2
 #: text bytes of a partition, partitions that share a second round, queues at most (sources beyond are hashed together)
-PART_BYTES, FAN_IN, QUEUES = 32 << 20, 8, 1024
+PART_BYTES, FAN_IN, QUEUES = 16 << 20, 16, 1024
 #: target share of dry sources at which a partition hands over its rest
 TOLERANCE = 0.1
-#: words whose ids a task remembers
-REMEMBERED = 400_000
+#: words whose ids a worker remembers
+REMEMBERED = 700_000
+#: a control character that stands between words while they are encoded, and a number that is no id
+_BETWEEN, _NO_ID = "\x01", 0xFFFFFFFF
 
 _PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ALL = f"{_PIECE}, part int, queue int, earned double, ids binary"
 
 
+class Numbered(dict):
+    """Numbers words in the order in which they are first looked up; ``new`` holds those not learned yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+#: a full stop or comma that ends a word is a word of its own to the tokenizer
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\v\f\r]|$)")
+
+
 class WordIds:
-    """Token ids of texts, word by word: the tokenizer splits at white space, so words can be remembered."""
+    """Token ids of texts, word by word. The tokenizer drops case, parts at white space and parts
+    letters from other signs, so words can be remembered in lower case and without the mark after them."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = Numbered()
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, new: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode(errors="replace") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        count = np.array([len(x) for x in ids], np.int64)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.uint32, int(count.sum()))])
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+    def _ids(self, words: list[str]) -> list[int]:
+        return self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+
+    def learn(self) -> None:
+        """New words are encoded many at a time, a control character between them; its id shows where one ends."""
+        (mark,) = self._ids([_BETWEEN])
+        new, self.code.new = [w.decode(errors="replace") for w in self.code.new], []
+        for i in range(0, len(new), 2000):
+            words = new[i : i + 2000]
+            if any(_BETWEEN in w for w in words):
+                parts = [[*self._ids([w]), _NO_ID] for w in words]
+                flat = np.array([t for p in parts for t in p], np.uint32)
+                end = flat == _NO_ID
+            else:
+                flat = np.array(self._ids([x for w in words for x in (w, _BETWEEN)]), np.uint32)
+                end = flat == mark
+            ends = np.flatnonzero(end) - np.arange(len(words))  # after the marks are taken out
+            count = np.diff(ends, prepend=0)
+            self.first = np.concatenate([self.first, len(self.flat) + ends - count])
+            self.count = np.concatenate([self.count, count])
+            self.flat = np.concatenate([self.flat, flat[~end]])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        parts = [t.split() for t in texts]  # at ASCII white space only
-        every = [w for p in parts for w in p]
+        parts = [_MARK.sub(rb" \1", t.lower()).split() for t in texts]  # bytes: ASCII letters and white space only
+        every = list(chain.from_iterable(parts))
         if len(self.code) > REMEMBERED:
             self.forget()
-        if new := list(set(every).difference(self.code)):
-            self.learn(new)
         codes = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
+        if self.code.new:
+            self.learn()
         count = self.count[codes]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(self.first[codes] - (ends - count), count) + np.arange(int(count.sum()))]
@@ -161,7 +197,7 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
     """Every token of every document in exactly one piece: ``key``, ``start``, ``length``, ``ids_crc32``,
     ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    ``encoder()`` is called once per task and gives an object whose ``encode`` turns a list of texts
+    ``encoder()`` is called once per task, may hand out one object per worker, and gives an object whose ``encode`` turns a list of texts
     in UTF-8 into id arrays. ``targets``: share of each source, by default its share of all text
     bytes; null is a source of its own. A null or empty text is its end id alone. Rows of one
     id are packed each on its own.
@@ -205,8 +241,8 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
 
     done = written(dealt.mapInArrow(first_round, _ALL), "packed")
     groups = max(1, -(-parts // FAN_IN))
-    rest = done.where(F.col("part").isNotNull()).withColumn("_to", F.pmod(F.xxhash64("part"), F.lit(groups)))
-    rest = rest.repartition(groups, "_to").sortWithinPartitions("_to", "part", "queue", "id", "start", "ids_crc32", "ids").drop("_to")
+    rest = done.where(F.col("part").isNotNull()).withColumn("_to", F.floor(F.col("part") / FAN_IN))
+    rest = rest.repartitionByRange(groups, "_to").sortWithinPartitions("part", "queue", "id", "start", "doc_tokens", "ids").drop("_to")
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(shares, length, ((1 << 30) + TaskContext.get().partitionId()) << 32)

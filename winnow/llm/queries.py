@@ -6,6 +6,7 @@ Each takes (spark, folder) and applies its operator, with production parameters,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,8 +113,9 @@ def op7_unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return unit_dedup.repeated_units(table(spark, folder, "documents"))
 
 
+@lru_cache(maxsize=1)
 def word_bpe():
-    """The public tokenizer that sequences are packed with; made once per task."""
+    """The public tokenizer that sequences are packed with; a worker keeps it, and the words it knows, for its tasks."""
     import public_tokenizers
 
     return packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
