@@ -7,7 +7,7 @@ from tests.oracle import compare, connect
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: training sets of one or two rows have no unique fit at the smallest scale
-LARGER = {"baseline_scores", "curve_mean_std", "prune_stop", "train_size_grid"}
+LARGER = {"baseline_scores", "score_files", "curve_mean_std", "prune_stop", "train_size_grid"}
 
 
 @pytest.fixture(scope="module")
