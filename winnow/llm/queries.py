@@ -80,6 +80,23 @@ def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, folder, "documents"), k=3, percent=90)
 
 
+ORACLES["op5_ngram_jaccard"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+runs as materialized (
+  select distinct doc_id, s from (
+    select doc_id, array_to_string(w[p : p + 2], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as p from words where len(w) >= 3)
+    union all select doc_id, array_to_string(w, ' ') from words where len(w) in (1, 2))),
+sizes as materialized (select doc_id, count(*) as n from runs group by 1),
+common as materialized (select a.doc_id as a, b.doc_id as b, count(*) as c from runs a join runs b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as materialized (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+reached(doc_id, other) as (
+  select doc_id, doc_id from documents union select reached.doc_id, links.b from reached join links on links.a = reached.other)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id from reached r left join sizes using (doc_id) group by r.doc_id
+"""
+
+
 @query
 def op6_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, folder, "documents"))
