@@ -75,6 +75,12 @@ def test_fingerprints_stay_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_bounds_below(spark):
+    bounds = [3 * i for i in range(50)]
+    got = spark.range(-5, 160).select("id", fingerprints._bounds_below(bounds, F.col("id")).alias("n")).collect()
+    assert all(r["n"] == sum(b < r["id"] for b in bounds) for r in got)
+
+
 def test_syncmers_do_not_depend_on_context():
     rng = random.Random(4)
     inner = words(rng, 60, 10**6)

@@ -8,6 +8,8 @@ likeness is the share of the least hashes of two fingerprints together that both
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +73,19 @@ def likeness(a: Column, b: Column) -> Column:
     return _bound(hashes(a), lambda ha: _bound(hashes(b), lambda hb: of(ha, hb)))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each row with ``next_<c>`` of the row that follows by ``key`` (ties by the first of ``columns``; after the last: the first).
+def _bounds_below(bounds: list, value: Column) -> Column:
+    """How many of the ascending ``bounds`` lie below ``value``: first among every s-th of them, then in between."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    every = F.array(*map(F.lit, bounds))
+    before = F.size(F.filter(F.array(*map(F.lit, bounds[step - 1 :: step])), lambda b: b < value)) * step
+    return before + F.size(F.filter(F.slice(every, before + 1, step), lambda b: b < value))
+
+
+def with_next(docs: DataFrame, key: str, column: str, derived: dict[str, Column]) -> DataFrame:
+    """Each row, with ``derived`` columns, and ``next_<c>`` of ``column`` and of these from the row that follows
+    by ``key`` (ties by a hash of ``column``; after the last: the first).
 
     Rows are dealt into ranges of the key; the first row of each range is also sent to the end
     of the range before it. The driver sees the bounds and first keys of the ranges only.
@@ -82,18 +95,19 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     steps = [i / ranges for i in range(1, ranges)]
     bounds = docs.agg(F.percentile_approx(key, steps, 100 * ranges).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    tie = F.xxhash64(columns[0])
-    dealt = docs.withColumn("_range", F.when(F.col(key).isNull(), 0).otherwise(place)).withColumn("_tie", tie)
+    place = _bounds_below(bounds, F.col(key))
+    columns = [column, *derived]
+    dealt = docs.withColumn("_range", F.when(F.col(key).isNull(), 0).otherwise(place)).withColumn("_tie", F.xxhash64(column))
     firsts = dealt.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"), F.col("_tie").alias("tie"))).alias("f"))
-    heads = sorted((r["_range"], r["f"]["key"], r["f"]["tie"]) for r in firsts.select("_range", "f").collect()) if docs.columns else []
+    heads = sorted(((r["_range"], r["f"]["key"], r["f"]["tie"]) for r in firsts.collect()), key=lambda h: h[0])
     if not heads:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return docs.withColumns(derived).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     before = [heads[i - 1][0] for i in range(len(heads))]
     sent = spark.createDataFrame([(k, t, b) for (_, k, t), b in zip(heads, before)], f"_key {docs.schema[key].dataType.simpleString()}, _t long, _to int")
     extra = dealt.join(F.broadcast(sent), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_tie") == F.col("_t"))).withColumn("_range", F.col("_to"))
     extra = extra.dropDuplicates(["_range", "_tie"]).select(*docs.columns, "_range", "_tie", F.lit(1).alias("_extra"))
-    every = dealt.select("*", F.lit(0).alias("_extra")).union(extra)
+    # derived after the few heads were found, so nothing is derived twice
+    every = dealt.select("*", F.lit(0).alias("_extra")).withColumns(derived).union(extra.withColumns(derived))
     order = Window.partitionBy("_range").orderBy("_extra", F.col(key).asc_nulls_first(), "_tie")
     return every.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("_extra = 0").drop("_range", "_tie", "_extra")
 
@@ -111,11 +125,11 @@ def edit_study(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     ``near_edited`` and ``near_next`` (to the next document's fingerprint). Null texts are empty;
     null ids come first; rows of one id follow each other by a hash of their texts.
     """
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_own", anchors(F.col("_text")))
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     n = F.length("_text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.col("_text").substr(F.lit(1), n - quarter), F.col("next__text").substr(F.lit(1), quarter))
-    both = with_next(rows, key, ["_text", "_own"]).select(key, n.cast("long").alias("n_chars"), "_own", "next__own", edited.alias("_edited"))
+    both = with_next(rows, key, "_text", {"_own": anchors(F.col("_text"))}).select(key, n.cast("long").alias("n_chars"), "_own", "next__own", edited.alias("_edited"))
     both = both.select("*", anchors(F.col("_edited")).alias("_changed"))
     return both.select(
         key, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("_own")).alias("fingerprint"), as_string(F.col("_changed")).alias("edited_fingerprint"),
