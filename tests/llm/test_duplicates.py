@@ -233,6 +233,18 @@ def test_repeated_strings_awkward(spark):
     assert suffix_dedup.repeats_removed(docs.where("false")).count() == 0
 
 
+def test_rows_alike_lose_what_one_of_them_loses(spark):
+    rows = small_alphabet(5, 60)
+    again = [rows[3], rows[40], rows[40], rows[-1], rows[-2]]  # the last but one has a null id
+    once = {r[0]: r for r in removed(rows, 12)}
+    own = (9500, "z" + "".join(random.Random(8).choices("cdefghijklmnop", k=200)), "en", "a")
+    rows, again = rows + [own], again + [own]
+    expected = [*once.values(), *(once[r[0]] for r in again[:-1])] + removed([own], 12) * 2
+    got = [tuple(r)[:5] for r in suffix_dedup.repeats_removed(frame(spark, rows + again, clashing=False), least=12, anchor=4).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert [r[2] for r in got if r[0] == 9500] == [0, 0]
+
+
 def test_prefix_intervals():
     import numpy as np
 

@@ -74,11 +74,18 @@ def owned(chunk: Chunk, least: int = LEAST, anchor: int = ANCHOR) -> tuple[np.nd
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id`` (null: last), ``k`` (tells rows of one id apart by a hash of the text, else 0) and ``text`` (null: empty)."""
+    """``id`` (null: last), ``k`` (tells rows of one id apart by a hash of the text, else 0), ``text`` (null: empty) and
+    ``several`` (null unless the id has several rows)."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     several = written(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("several")), "several")
     rows = rows.join(small_side(several, several.count(), 24), "id", "left")
-    return rows.select("id", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("k"), "text")
+    return rows.select("id", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("k"), "text", "several")
+
+
+def _each_once(rows: DataFrame) -> DataFrame:
+    """One row for each (id, k), so that no row repeats itself; only rows whose id has several are shuffled."""
+    several = written(rows.where("several").dropDuplicates(["id", "k"]).select("id", "k", "text"), "several-once")
+    return rows.where("several is null").select("id", "k", "text").union(several)
 
 
 _RUN = "h long, c long, id long, k long, pos long"
@@ -333,10 +340,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """The keyed rows and, for each (id, k) with any, ``spans``: its maximal runs of bytes covered by a string of
     ``least`` bytes that also starts earlier (smaller id, or the same row and an earlier start)."""
     rows = _keyed(docs, key, text)
-    found = written(_resolve(_runs(rows, least, anchor), least), "runs")
+    once = _each_once(rows)
+    found = written(_resolve(_runs(once, least, anchor), least), "runs")
     wanted = found.where("contexts").select("h", "id", "k", "a")
     crowded = written(wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXTS).select("h"), "crowded")
-    contexts = written(_contexts(rows, wanted, wanted.count(), least), "contexts")
+    contexts = written(_contexts(once, wanted, wanted.count(), least), "contexts")
     spans = found.where("not contexts").select("id", "k", "a", "b")
     if n := crowded.count():
         crowd = small_side(crowded, n, 16)
@@ -358,7 +366,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), pa.array([m.tolist() for m in merged], pa.list_(pa.int64()))], ["id", "k", "spans"])
 
     grouped = spans.groupBy("id", "k").agg(F.collect_list(F.struct("a", "b")).alias("s"))
-    return rows, written(grouped.mapInArrow(merge, "id long, k long, spans array<long>"), "spans")
+    return rows.drop("several"), written(grouped.mapInArrow(merge, "id long, k long, spans array<long>"), "spans")
 
 
 def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
