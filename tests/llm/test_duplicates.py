@@ -99,6 +99,24 @@ def test_unit_dedup_awkward(spark):
     assert unit_dedup.without_repeats(docs).count() == docs.count()
 
 
+def test_repeated_lines_and_paragraphs_of_short_sentences(spark):
+    line = "Ascirr para osóciónta. No las ciónbo os!"
+    first = "one two three\nfour five\nsix seven"
+    rows = [
+        (1, f"{line}\nown words that stand here only once\n\n{first}", "en", "a"),
+        (2, f"other words that stand here only once\n  {line.replace("Asc", "ASC")}", "en", "a"),
+        (3, f"yet other words that stand here only once.\n \n{first}\n\nNo las.", "en", "a"),
+        (4, "Start. Yet other words that stand here only once. End.\nfour five", "en", "a"),
+    ]
+    docs = frame(spark, rows)
+    got = sorted((r["doc_id"], rows[r["doc_id"] - 1][1][r["start"] : r["end"]], r["kept_doc_id"], r["kept_start"]) for r in unit_dedup.repeated_units(docs).collect())
+    assert got == [
+        (2, line.replace("Asc", "ASC"), 1, 0), (3, first, 1, rows[0][1].index(first)), (4, "Yet other words that stand here only once.", 3, 0),
+    ]
+    kept = {r["doc_id"]: r["text"] for r in unit_dedup.without_repeats(docs).collect()}
+    assert kept[1] == rows[0][1] and line.replace("Asc", "ASC") not in kept[2] and first not in kept[3] and kept[4] == "Start.  End.\nfour five"
+
+
 def groups(rows, k, percent):
     def tokens(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
