@@ -60,6 +60,19 @@ def test_edit_study(spark):
         assert np.isclose(r["near_edited"], sketch_likeness(a, b)) and np.isclose(r["near_next"], sketch_likeness(a, c))
 
 
+def test_a_passage_shared_by_long_texts_is_matched(spark):
+    rng = random.Random(11)
+    passage = words(rng, 50, 10**6)
+    a, b = (f"{words(rng, n, 10**6)} {passage} {words(rng, 2000, 10**6)}" for n in (1500, 700))
+    got = {r["doc_id"]: r for r in fingerprints.edit_study(frame(spark, [(1, a, "en", "a"), (2, b, "en", "a"), (3, "two words", "en", "a")])).collect()}
+    x, y = closed_syncmers(a), closed_syncmers(b)
+    assert len(x) > 1000 and got[1]["fingerprint"].count(" ") == len(x) - 1
+    common = sorted(x[h] for h in set(x) & set(y) if y[h] - x[h] == 700 - 1500)
+    assert got[1]["stretch_next"] == common[-1] - common[0] + 1 >= 40
+    assert np.isclose(got[1]["shared_next"], len(set(x) & set(y)) / len(set(x) | set(y)))
+    assert got[3]["stretch_next"] == 0 and got[2]["stretch_next"] == 0 and got[2]["shared_next"] == 0
+
+
 def test_fingerprints_awkward(spark):
     docs = frame(spark, corpus())
     found = fingerprints.edit_study(docs).collect()

@@ -2,8 +2,8 @@
 
 A run of four words is an anchor if the least of its three inner word pairs (by hash) is the
 first or the last. Whether a run is one depends on nothing around it, so a passage keeps its
-anchors wherever it stands. The fingerprint is the anchors of least hash with their positions;
-likeness is the share of the least hashes of two fingerprints together that both have.
+anchors wherever it stands. The fingerprint is all anchors with their positions. Two fingerprints
+are matched by the anchors that both have and by the longest stretch of them that is shifted as one.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: anchors kept in a fingerprint; words of an anchor
-ANCHORS, WORDS = 64, 4
+#: anchors kept in a fingerprint (None: all); words of an anchor
+ANCHORS, WORDS = None, 4
 #: bits of an anchor's number below its hash that hold its position
 _PLACE = 1 << 24
 
@@ -25,7 +25,7 @@ def _bound(value: Column, use) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """Sorted longs (hash * 2^24 + word position) of the anchors of least hash, each hash once.
+    """Sorted longs (hash * 2^24 + word position) of all anchors, each hash once, where it is first.
 
     A text of one to three words has itself as its anchor, a text without words has none.
     """
@@ -40,15 +40,14 @@ def anchors(text: Column) -> Column:
         found = F.transform(
             runs, lambda a, i: F.when((F.get(p, i + 1) >= a) | (F.get(p, i + 1) >= F.get(p, i + 2)), number(F.xxhash64(a, F.get(p, i + 2)), i.cast("long")))
         )
-        return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
+        return F.sort_array(F.filter(found, lambda x: x.isNotNull()))
 
-    def least(s: Column) -> Column:
-        first = F.filter(s, lambda x, i: (i == 0) | (F.floor(x / _PLACE) != F.floor(F.get(s, i - 1) / _PLACE)))
-        return F.slice(first, 1, ANCHORS)
+    def once(s: Column) -> Column:
+        return F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 24) != F.shiftright(F.get(s, i - 1), 24)))
 
     def of_words(h: Column) -> Column:
         pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
-        long_text = _bound(_bound(pairs, from_pairs), least)
+        long_text = _bound(_bound(pairs, from_pairs), once)
         short_text = F.filter(F.array(number(F.xxhash64(F.array_join(h.cast("array<string>"), " ")), F.lit(0).cast("long"))), lambda _: F.size(h) > 0)
         return F.when(F.size(h) >= WORDS, long_text).otherwise(short_text)
 
@@ -61,9 +60,9 @@ def as_string(numbers: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: of the least hashes of both together, the share that both have. Two without anchors are alike."""
+    """0 to 1: of the least hashes of both together, as many as the longer has, the share that both have. Two without anchors are alike."""
     def of(ha: Column, hb: Column) -> Column:
-        least = F.slice(F.array_sort(F.array_union(ha, hb)), 1, F.greatest(F.size(ha), F.size(hb)))
+        least = F.slice(F.sort_array(F.array_union(ha, hb)), 1, F.greatest(F.size(ha), F.size(hb)))
         common = F.array_intersect(F.array_intersect(ha, hb), least)
         return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(F.size(common) / F.size(least))
 
@@ -73,6 +72,34 @@ def likeness(a: Column, b: Column) -> Column:
     return _bound(hashes(a), lambda ha: _bound(hashes(b), lambda hb: of(ha, hb)))
 
 
+def matched(a: Column, b: Column) -> Column:
+    """Struct of ``shared`` (anchors of both over anchors of either; 1 if neither has any) and ``stretch``: word runs
+    from the first to the last anchor of the longest stretch of ``a`` that ``b`` has at one shift.
+
+    Within a stretch each anchor begins at most ``WORDS`` words after the one before.
+    """
+    place = _PLACE - 1
+
+    def side(x: Column, flag: int) -> Column:
+        return F.transform(x, lambda v: F.shiftleft(F.shiftright(v, 24), 25) + flag * _PLACE + v.bitwiseAND(place))
+
+    def meet(both: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            other = F.get(both, i + 1)
+            shift = other.bitwiseAND(place) - x.bitwiseAND(place) + _PLACE
+            return F.when(F.shiftright(x, 25) == F.shiftright(other, 25), F.shiftleft(shift, 24) + x.bitwiseAND(place))
+
+        return F.sort_array(F.filter(F.transform(both, one), lambda x: x.isNotNull()))
+
+    def measured(met: Column) -> Column:
+        heads = F.filter(F.transform(met, lambda x, i: F.when((i == 0) | (x - F.get(met, i - 1) > WORDS), i)), lambda i: i.isNotNull())
+        longest = _bound(heads, lambda h: F.array_max(F.transform(h, lambda s, j: F.get(met, F.coalesce(F.get(h, j + 1), F.size(met)) - 1) - F.get(met, s) + 1)))
+        either = F.size(a) + F.size(b) - F.size(met)
+        return F.struct(F.when(either == 0, F.lit(1.0)).otherwise(F.size(met) / either).alias("shared"), F.coalesce(longest, F.lit(0).cast("long")).alias("stretch"))
+
+    return _bound(_bound(F.sort_array(F.concat(side(a, 0), side(b, 1))), meet), measured)
+
+
 def _bounds_below(bounds: list, value: Column) -> Column:
     """How many of the ascending ``bounds`` lie below ``value``: first among every s-th of them, then in between."""
     if not bounds:
@@ -121,17 +148,20 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def edit_study(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """How fingerprints follow an edit: the last quarter of each text is replaced by the head of the next document.
 
-    Returns ``key``, ``n_chars``, ``edited_sha256``, both fingerprints, and their likeness
-    ``near_edited`` and ``near_next`` (to the next document's fingerprint). Null texts are empty;
+    Returns ``key``, ``n_chars``, ``edited_sha256``, both fingerprints, their likeness ``near_edited`` and ``near_next``
+    (to the next document's fingerprint), and ``shared`` and ``stretch`` of both (see ``matched``). Null texts are empty;
     null ids come first; rows of one id follow each other by a hash of their texts.
     """
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     n = F.length("_text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.col("_text").substr(F.lit(1), n - quarter), F.col("next__text").substr(F.lit(1), quarter))
-    both = with_next(rows, key, "_text", {"_own": anchors(F.col("_text"))}).select(key, n.cast("long").alias("n_chars"), "_own", "next__own", edited.alias("_edited"))
-    both = both.select("*", anchors(F.col("_edited")).alias("_changed"))
+    both = with_next(rows, key, "_text", {}).select(key, n.cast("long").alias("n_chars"), "_text", "next__text", edited.alias("_edited"))
+    # all anchors of a text are as long as the text, so they are derived after the shuffle
+    both = both.select(key, "n_chars", "_edited", anchors(F.col("_text")).alias("_own"), anchors(F.col("next__text")).alias("_next"), anchors(F.col("_edited")).alias("_changed"))
+    both = both.select("*", matched(F.col("_own"), F.col("_changed")).alias("_m"), matched(F.col("_own"), F.col("_next")).alias("_n"))
     return both.select(
         key, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("_own")).alias("fingerprint"), as_string(F.col("_changed")).alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_changed")).alias("near_edited"), likeness(F.col("_own"), F.col("next__own")).alias("near_next"),
+        likeness(F.col("_own"), F.col("_changed")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"),
+        F.col("_m.shared").alias("shared_edited"), F.col("_m.stretch").alias("stretch_edited"), F.col("_n.shared").alias("shared_next"), F.col("_n.stretch").alias("stretch_next"),
     )
