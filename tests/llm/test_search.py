@@ -172,6 +172,15 @@ def test_licenses_found_and_measured(spark):
         licenses.build_index({"x": "two words"})
 
 
+def test_drifting_and_short_notices_are_found(spark):
+    parts = licenses.TEMPLATES["GPL-3.0"].split(" ")
+    third = -(-len(parts) // 3)
+    drift = " ".join(x for i in range(0, len(parts), third) for x in [*parts[i : i + third], *("q1 q2 q3 q4 q5 q6".split(" "))])
+    rows = [(1, drift, "en", "a"), (2, "Released under an MIT License.", "en", "a"), (3, "Released under an odd License.", "en", "a")]
+    got = {(r["doc_id"], r["template"]): r["coverage"] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {(1, "GPL-3.0"): 1.0, (2, "MIT-notice"): 0.8}
+
+
 def test_banded_alignment_is_the_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(60):

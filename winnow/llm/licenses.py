@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from math import ceil
 from typing import NamedTuple
 
 import numpy as np
@@ -54,13 +55,12 @@ TEMPLATES = {
 
 
 class Index(NamedTuple):
-    """Inverted index of the templates: ``codes`` (sorted) of fingerprints, and their postings."""
+    """Inverted index of the templates: for each length of gram, the sorted codes of fingerprints and their postings."""
 
     names: list[str]
     vocabulary: np.ndarray  # sorted word hashes
     words: list[np.ndarray]  # vocabulary positions of each template's words, from 1
-    codes: np.ndarray
-    postings: list[list[tuple[int, int]]]  # (template, position) of each code
+    tables: list[tuple[int, np.ndarray, list[list[tuple[int, int]]]]]  # words of a gram, codes, (template, position) of each code
 
 
 def winnowed(codes: np.ndarray, window: int) -> list[int]:
@@ -71,8 +71,12 @@ def winnowed(codes: np.ndarray, window: int) -> list[int]:
     return sorted({i + window - 1 - int(np.argmin(codes[i : i + window][::-1])) for i in range(n - window + 1)})
 
 
-def build_index(templates: dict[str, str], gram: int = GRAM, window: int = WINDOW) -> Index:
-    """Templates of fewer than ``gram`` words can't be fingerprinted and are refused."""
+def build_index(templates: dict[str, str], gram: int = GRAM, window: int = WINDOW, coverage: float = COVERAGE) -> Index:
+    """Templates of fewer than ``gram`` words can't be fingerprinted and are refused.
+
+    A template too short for two winnowing windows has all its grams as fingerprints, and they are as short as the
+    longest run of words that is sure to be left when as many words are replaced as ``coverage`` allows.
+    """
     names = sorted(templates)
     hashes = []
     for name in names:
@@ -83,12 +87,16 @@ def build_index(templates: dict[str, str], gram: int = GRAM, window: int = WINDO
             raise ValueError(f"template {name} has fewer than {gram} words")
     vocabulary = np.unique(np.concatenate(hashes))
     ids = [np.searchsorted(vocabulary, h) + 1 for h in hashes]
-    postings = defaultdict(list)
+    postings = defaultdict(lambda: defaultdict(list))
     for t, w in enumerate(ids):
-        codes = gram_codes(w, gram, len(vocabulary))
-        for p in winnowed(scatter(codes), window):
-            postings[int(codes[p])].append((t, p))
-    return Index(names, vocabulary, ids, np.array(sorted(postings)), [postings[c] for c in sorted(postings)])
+        size, every = gram, len(w) - gram + 1 < 2 * window
+        if every:
+            kept = ceil(coverage * len(w) - 1e-9)
+            size = max(1, min(gram, -(-kept // (len(w) - kept + 1))))
+        codes = gram_codes(w, size, len(vocabulary))
+        for p in range(len(codes)) if every else winnowed(scatter(codes), window):
+            postings[size][int(codes[p])].append((t, p))
+    return Index(names, vocabulary, ids, [(size, np.array(sorted(of)), [of[c] for c in sorted(of)]) for size, of in sorted(postings.items())])
 
 
 def gram_codes(ids: np.ndarray, gram: int, size: int) -> np.ndarray:
@@ -134,32 +142,39 @@ def banded(template: np.ndarray, doc: np.ndarray, shift: int, band: int) -> tupl
     return matched, first, last
 
 
-def matches(ids: np.ndarray, index: Index, gram: int = GRAM, band: int = BAND, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
-    """(template, matched words, first word, last word) of every stretch of one document, not overlapping per template."""
-    codes = gram_codes(ids, gram, len(index.vocabulary))
-    at = np.flatnonzero(codes)
-    place = np.searchsorted(index.codes, codes[at])
-    place[place == len(index.codes)] = 0
-    hit = index.codes[place] == codes[at]
+def matches(ids: np.ndarray, index: Index, band: int = BAND, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
+    """(template, matched words, first word, last word) of every stretch of one document, not overlapping per template.
+
+    Every shift that a seed suggests is aligned once per stretch; only a stretch matched in full stands for the shifts near it.
+    """
     seeds = defaultdict(list)
-    for p, k in zip(at[hit], place[hit]):
-        for t, q in index.postings[k]:
-            seeds[t].append((int(p), int(p) - q))
+    for gram, known, postings in index.tables:
+        codes = gram_codes(ids, gram, len(index.vocabulary))
+        at = np.flatnonzero(codes)
+        place = np.searchsorted(known, codes[at])
+        place[place == len(known)] = 0
+        hit = known[place] == codes[at]
+        for p, k in zip(at[hit], place[hit]):
+            for t, q in postings[k]:
+                seeds[t].append((int(p), int(p) - q))
     out = []
     for t, found in seeds.items():
         template = index.words[t]
         slip = min(band, max(1, len(template) // 4))  # copies of a short notice may stand close together
-        tried = (-len(template), 0)  # shift, end of the stretch that was aligned at it
+        whole = (-len(template), 0)  # shift, end of the last stretch that was matched in full
+        tried = set()
         spans = []
         for p, shift in sorted(found):
-            if p < tried[1] and abs(shift - tried[0]) <= slip:
+            if shift in tried or p < whole[1] and abs(shift - whole[0]) <= slip:
                 continue
-            tried = (shift, shift + len(template))
+            tried.add(shift)
             low = max(0, shift - slip)
             window = ids[low : shift + len(template) + slip + 1]
             matched, first, last = banded(template, window, shift - low, slip)
             if matched >= coverage * len(template):
                 spans.append((t, matched, low + first, low + last))
+            if matched == len(template):
+                whole = (shift, low + last + 1)
         ends: list[tuple[int, int]] = []  # last and first word of the spans taken, in order
         for m in sorted(set(spans), key=lambda m: (-m[1], m[2])):
             i = bisect_left(ends, (m[2], 0))
@@ -176,7 +191,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "te
     Words are runs of letters and digits, ASCII letters in lower case. Null and empty texts give
     no row. Templates are a bounded parameter, so their index travels with the tasks.
     """
-    index = docs.sparkSession.sparkContext.broadcast(build_index(templates))
+    index = docs.sparkSession.sparkContext.broadcast(build_index(templates, coverage=coverage))
     source = docs.select(F.col(keep).alias("_id"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +206,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "te
             np.cumsum((chunk.data & 0xC0) != 0x80, out=heads[1:])
             rows = []
             known = np.concatenate([[0], np.cumsum(ids > 0)])
-            some = known[w.first[1:]] - known[w.first[:-1]] >= GRAM
+            some = known[w.first[1:]] - known[w.first[:-1]] >= min(size for size, *_ in ix.tables)
             for i in np.flatnonzero(some):
                 lo, hi = w.first[i], w.first[i + 1]
                 base = heads[chunk.offsets[i]]
