@@ -87,6 +87,24 @@ def test_a_dry_source_hands_over_and_is_owed():
     assert packer.left() == 0
 
 
+def test_a_small_dry_source_hands_over_too():
+    packer = packing.Packer({0: 0.9, 1: 0.05, 2: 0.05}, 100, 0)
+    for q, n in ((0, 9000), (1, 500), (2, 30)):
+        packer.add(q, packing.Item(q, 0, n, np.zeros(n, np.uint32)))
+    packer.run(everything=False)
+    assert packer.sequence == 7 and packer.earned[2] == 5
+
+
+def test_targets_hold_when_sources_share_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    rows = [(i, words(__import__("random").Random(i), 50), "en", "abcdefgh"[i % 8]) for i in range(320)]
+    pieces = packing.pack(frame(spark, rows), Bytes, targets={"a": 0.75, "b": 0.25}, length=128).where("sequence_id < 40").collect()
+    share = defaultdict(int)
+    for p in pieces:
+        share["abcdefgh"[p["doc_id"] % 8]] += p["length"] / (40 * 128)
+    assert abs(share["a"] - 0.75) < 0.1 and abs(share["b"] - 0.25) < 0.1
+
+
 def test_words_give_the_ids_of_whole_texts():
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = [r[1] or "" for r in corpus()] + [

@@ -4,8 +4,7 @@ Documents are dealt to partitions by hash, so each partition sees the mixture of
 partition every source has a queue. A window of ``length`` tokens is filled by deficit round-robin:
 each source earns its target share of the window, is served up to what it has earned, and
 keeps the rest as its deficit for the next window; what other sources cannot use goes to the
-longest queues. When sources that hold more than ``TOLERANCE`` of the target have run dry, the
-rest of the partition and its deficits are carried to a second round, where several partitions
+longest queues. As soon as a source with a target has run dry and is owed a token, the rest of the partition and its deficits are carried to a second round, where several partitions
 share windows until all is packed. What is left there is cut into powers of two.
 """
 
@@ -24,22 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.frames import written
+from winnow.llm.frames import small_side, written
 from winnow.llm.text import chunks
 
 #: tokens of a sequence, id after each document
 LENGTH, END = 4096, 2
-#: text bytes of a partition, partitions that share a second round, queues at most (sources beyond are hashed together)
+#: text bytes of a partition, partitions that share a second round, queues at most (sources beyond share them, each by its weight)
 PART_BYTES, FAN_IN, QUEUES = 16 << 20, 16, 1024
-#: target share of dry sources at which a partition hands over its rest
-TOLERANCE = 0.1
 #: words whose ids a worker remembers
 REMEMBERED = 700_000
 #: a control character that stands between words while they are encoded, and a number that is no id
 _BETWEEN, _NO_ID = "\x01", 0xFFFFFFFF
 
 _PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ALL = f"{_PIECE}, part int, queue int, earned double, ids binary"
+_ALL = f"{_PIECE}, part int, queue int, earned double, ids binary, member long, weight double"
 
 
 class Numbered(dict):
@@ -111,12 +108,12 @@ class WordIds:
 
 
 class Item:
-    """A document or the rest of one in a queue."""
+    """A document or the rest of one in a queue; ``member`` is its source, ``weight`` the source's share."""
 
-    __slots__ = ("doc", "start", "total", "ids")
+    __slots__ = ("doc", "start", "total", "ids", "member", "weight")
 
-    def __init__(self, doc, start: int, total: int, ids: np.ndarray):
-        self.doc, self.start, self.total, self.ids = doc, start, total, ids
+    def __init__(self, doc, start: int, total: int, ids: np.ndarray, member: int = 0, weight: float = 1.0):
+        self.doc, self.start, self.total, self.ids, self.member, self.weight = doc, start, total, ids, member, weight
 
 
 class Packer:
@@ -131,6 +128,17 @@ class Packer:
         self.queues.setdefault(queue, deque()).append(item)
         self.backlog[queue] = self.backlog.get(queue, 0) + len(item.ids)
 
+    def interleave(self) -> None:
+        """Sources that share a queue take turns by weight, document by document; those without a target come last."""
+        for q, items in self.queues.items():
+            served: dict[int, int] = {}
+            due = []
+            for item in items:
+                served[item.member] = served.get(item.member, 0) + len(item.ids)
+                due.append(served[item.member] / item.weight if item.weight else float("inf"))
+            if len(served) > 1:
+                self.queues[q] = deque(item for _, item in sorted(zip(due, items), key=lambda x: x[0]))
+
     def take(self, queue: int, tokens: int, offset: int) -> int:
         """Move ``tokens`` of a queue into the current sequence from ``offset``; the new offset."""
         items = self.queues[queue]
@@ -165,14 +173,15 @@ class Packer:
             self.earned[q] = self.earned.get(q, 0.0) - n
         self.sequence += 1
 
-    def dry(self) -> float:
-        return sum(share for q, share in self.targets.items() if not self.backlog.get(q))
+    def owes(self) -> bool:
+        """Whether a queue with a target has nothing left of sources with one and is owed a token."""
+        return any(share > 0 and self.earned[q] >= 1 and (not self.backlog.get(q) or not self.queues[q][0].weight) for q, share in self.targets.items())
 
     def left(self) -> int:
         return sum(self.backlog.values())
 
     def run(self, everything: bool) -> None:
-        while self.left() >= self.length and (everything or self.dry() <= TOLERANCE):
+        while self.left() >= self.length and (everything or not self.owes()):
             self.window(self.length)
         while everything and (rest := self.left()):
             self.window(1 << (rest.bit_length() - 1))
@@ -190,7 +199,7 @@ def _with_schema(batch: pa.RecordBatch, fields: list[tuple[str, pa.DataType]]) -
     return pa.RecordBatch.from_arrays([batch.column(n) if n in have else pa.nulls(batch.num_rows, t) for n, t in fields], [n for n, _ in fields])
 
 
-_FIELDS = [("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int32()), ("queue", pa.int32()), ("earned", pa.float64()), ("ids", pa.binary())]
+_FIELDS = [("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int32()), ("queue", pa.int32()), ("earned", pa.float64()), ("ids", pa.binary()), ("member", pa.int64()), ("weight", pa.float64())]
 
 
 def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -204,22 +213,32 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(source).cast("string").alias("source"))
-    kinds = rows.select(F.approx_count_distinct("source").alias("n")).first()["n"] + 1
-    # one row per source while they are few, else sources share QUEUES queues; the driver gets no more
-    name = F.col("source") if kinds <= QUEUES else F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string")
-    rows = rows.withColumn("source", name)
-    sizes = {r["source"]: r["b"] for r in rows.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()}
-    order = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
-    wanted = sizes if targets is None or kinds > QUEUES else {s: targets.get(s, 0.0) for s in sizes}
-    total = sum(wanted.values()) or 1.0
-    shares = {order[s]: b / total for s, b in wanted.items()}
-    parts = max(1, -(-sum(sizes.values()) // PART_BYTES))
+    sizes = written(rows.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("b")), "sources")
+    kinds = sizes.count()
+    if targets is None:
+        sizes = sizes.withColumn("weight", F.col("b").cast("double"))
+    else:
+        wish = spark.createDataFrame([(s, float(x)) for s, x in targets.items()], "wish string, weight double")
+        sizes = sizes.join(wish, F.col("source").eqNullSafe(F.col("wish")), "left").select("source", "b", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    if kinds <= QUEUES:  # a queue for each
+        named = sorted((r["source"] for r in sizes.select("source").collect()), key=lambda s: (s is None, s))
+        queues = spark.createDataFrame([(s, i) for i, s in enumerate(named)], "named string, queue int")
+        sizes = sizes.join(queues, F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    else:
+        sizes = sizes.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("int"))
+    # the driver gets one row per queue
+    sums = sizes.groupBy("queue").agg(F.sum("b").alias("b"), F.sum("weight").alias("weight")).collect()
+    total = sum(r["weight"] for r in sums) or 1.0
+    shares = {r["queue"]: r["weight"] / total for r in sorted(sums, key=lambda r: r["queue"])}
+    parts = max(1, -(-sum(r["b"] for r in sums) // PART_BYTES))
+    known = written(sizes.select(F.col("source").alias("known"), F.xxhash64("source").alias("member"), "queue", "weight"), "weights")
+    rows = rows.join(small_side(known, kinds, 100), F.col("source").eqNullSafe(F.col("known"))).select("id", "text", "member", "queue", "weight")
     dealt = rows.repartition(parts, F.xxhash64("id", "text")).sortWithinPartitions("id", "text")
 
     def carry(packer: Packer, part: int) -> Iterator[pa.RecordBatch]:
         for q, items in packer.queues.items():
             for item in items:
-                one = {"id": item.doc, "start": item.start, "doc_tokens": item.total, "part": part, "queue": q, "ids": item.ids.astype("<u4").tobytes()}
+                one = {"id": item.doc, "start": item.start, "doc_tokens": item.total, "part": part, "queue": q, "ids": item.ids.astype("<u4").tobytes(), "member": item.member, "weight": item.weight}
                 yield pa.RecordBatch.from_pylist([one], pa.schema([(n, t) for n, t in _FIELDS if n in one]))
         earned = [{"part": part, "queue": q, "earned": e} for q, e in packer.earned.items()]
         if earned:
@@ -230,9 +249,10 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
         packer = Packer(shares, length, part << 32)
         for chunk in chunks(batches):
             ids = coder.encode([chunk.text(i) for i in range(chunk.rows.num_rows)])
-            for doc, src, x in zip(chunk.rows.column("id").to_pylist(), chunk.rows.column("source").to_pylist(), ids):
+            for doc, member, q, weight, x in zip(*(chunk.rows.column(c).to_pylist() for c in ("id", "member", "queue", "weight")), ids):
                 x = np.append(x, np.uint32(end))
-                packer.add(order[src], Item(doc, 0, len(x), x))
+                packer.add(q, Item(doc, 0, len(x), x, member, weight))
+        packer.interleave()
         packer.run(everything=False)
         for batch in packer.batches():
             yield _with_schema(batch, _FIELDS)
@@ -247,11 +267,12 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(shares, length, ((1 << 30) + TaskContext.get().partitionId()) << 32)
         for batch in batches:
-            for r in batch.select(["id", "start", "doc_tokens", "queue", "earned", "ids"]).to_pylist():
+            for r in batch.select(["id", "start", "doc_tokens", "queue", "earned", "ids", "member", "weight"]).to_pylist():
                 if r["ids"] is None:
                     packer.earned[r["queue"]] = packer.earned.get(r["queue"], 0.0) + r["earned"]
                 else:
-                    packer.add(r["queue"], Item(r["id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4")))
+                    packer.add(r["queue"], Item(r["id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4"), r["member"], r["weight"]))
+        packer.interleave()
         packer.run(everything=True)
         yield from packer.batches()
 
