@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontaminate, fingerprints, jaccard_join, langid, licenses, line_dedup, packing, quality, suffix_dedup, unit_dedup
+from winnow.llm import conversation_trie, decontaminate, fingerprints, html_text, jaccard_join, langid, licenses, line_dedup, packing, quality, suffix_dedup, unit_dedup, whitening
 from winnow.llm.frames import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,54 @@ def op10_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_suffix_intervals(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.repeats_removed(table(spark, folder, "documents"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_exact_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    paths = conversation_trie.paths_of(table(spark, folder, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return conversation_trie.trie(conversation_trie.grafted(paths, F.col("conv_id") - F.col("conv_id") % 20, heads, most=3))
+
+
+ORACLES["op13_conversation_trie"] = r"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, '')) as p,
+         struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) as t
+  from conversations where conv_id is not null),
+sizes as (
+  select conv_id, max(p) as n,
+         xor(list_reduce([4294967295] || list_transform(range(1, length(cast(conv_id as varchar)) + 1), lambda i: cast(ord(cast(conv_id as varchar)[i]) as bigint)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 4 as h
+  from turns group by conv_id),
+rebuilt as (
+  select s.conv_id, t.p as o, 0 as own, t.t from sizes s join turns t on t.conv_id = s.conv_id - s.conv_id % 20 and t.p <= s.h
+  union all
+  select s.conv_id, t.p, 1, t.t from sizes s join turns t on t.conv_id = s.conv_id and t.p > s.h),
+paths as (select s.conv_id, coalesce(list(r.t order by r.own, r.o) filter (where r.t is not null), []) as path from sizes s left join rebuilt r using (conv_id) group by s.conv_id),
+prefixes as (select conv_id, path, d, path[1 : d] as pre from (select conv_id, path, unnest(range(0, len(path) + 1)) as d from paths)),
+nodes as materialized (
+  select d, pre, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where len(path) = d), '')) as ends,
+         case when d = 0 then 0 else len(regexp_extract_all(pre[d].text, '[^ 	-
+]+')) end as words
+  from prefixes group by d, pre),
+linked as (
+  select n.*, u.conv_id as up, (select count(*) from nodes c where c.d = n.d + 1 and c.pre[1 : n.d] = n.pre) as kids
+  from nodes n left join nodes u on u.d = n.d - 1 and u.pre = n.pre[1 : n.d - 1]),
+below as (
+  select a.d, a.conv_id, sum(case when b.kids = 0 then 1 else 0 end) as leaves, sum((b.n_convs - 1) * b.words) as saved
+  from linked a join linked b on b.d >= a.d and b.pre[1 : a.d] = a.pre group by 1, 2)
+select n.conv_id, n.d as depth, n.up as parent_conv_id, n.n_convs, n.kids as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, n.ends as ends_sha256
+from linked n join below b on b.d = n.d and b.conv_id = n.conv_id
+"""
