@@ -7,6 +7,7 @@ long the batch is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -96,8 +97,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: every ASCII byte but letters and digits
 NOT_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: ASCII letters in lower case, other bytes as they are
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Words(NamedTuple):
@@ -123,8 +125,48 @@ def words(chunk: Chunk, breaks: np.ndarray = _SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, chunk.offsets))
 
 
-def word_hashes(chunk: Chunk, w: Words, lower: bool = True) -> np.ndarray:
-    return span_hash(prefix_hash(_LOWER[chunk.data] if lower else chunk.data), w.start, w.end)
+_FULL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: spans of more bytes are hashed one by one
+LONG = 256
+
+
+class Bytes8:
+    """The eight bytes from any position of ``data`` as one little-endian number, zeros beyond the end."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros((len(data) // 8 + 2) * 8, np.uint8)
+        padded[: len(data)] = data
+        self.whole = padded.view("<u8")
+
+    def at(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Those of the first ``size`` bytes (at most eight)."""
+        block, shift = place >> 3, ((place & 7) << 3).astype(np.uint64)
+        high = (self.whole[block + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return ((self.whole[block] >> shift) | high) & _FULL[np.minimum(size, 8)]
+
+
+def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of data[start:end], eight bytes after the other through a mixer, so that no pattern of bytes cancels out.
+
+    Different spans of one size up to eight bytes have different hashes.
+    """
+    size = end - start
+    bytes8 = Bytes8(data)
+    h = mix(size.astype(np.uint64) + np.uint64(seed << 32))
+    live = np.arange(len(size))
+    for j in range(0, LONG, 8):
+        live = live[size[live] > j] if j else np.flatnonzero(size > 0)
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ bytes8.at(start[live] + j, size[live] - j))
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
+def word_hashes(chunk: Chunk, w: Words, lower: bool = True, seed: int = 0) -> np.ndarray:
+    return hashed_spans(LOWER[chunk.data] if lower else chunk.data, w.start, w.end, seed)
 
 
 _STEP = [np.uint64((0xD1342543DE82EF95 * (2 * k + 3)) & _M64 | 1) for k in range(64)]
@@ -192,10 +234,10 @@ def codepoints(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of values[offsets[i]:offsets[i+1]], zero for empty rows."""
-    total = np.zeros(len(values) + 1)
-    np.cumsum(values, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums of values[offsets[i]:offsets[i+1]], zero for empty rows; each row is summed on its own."""
+    out = np.add.reduceat(np.append(values, 0.0), offsets[:-1])
+    out[offsets[1:] == offsets[:-1]] = 0.0
+    return out
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
