@@ -166,6 +166,55 @@ def test_jaccard_chain_of_near_copies(spark):
     assert sorted((tuple(r) for r in got), key=str) == groups(rows, 3, 90)
 
 
+def thue_morse(n, a, b):
+    """Two complementary sequences that hashes by powers modulo 2^64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+def test_jaccard_of_several_texts_of_one_id(spark):
+    """Each text of an id keeps its links, also where the texts have equally many shingles, or are copies of others' texts."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (2, b), (5, near(a)), (5, near(b)), (8, c), (9, c), (9, d), (11, near(d)), (12, "alone here now then"), (9, None)]
+    got = jaccard_join.similar_groups(frame(spark, [(i, t, "en", "a") for i, t in rows]), k=3, percent=80).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (5, 1), (8, 8), (9, 8), (11, 8), (12, 12)}
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 9) == [0, 58, 58]
+
+
+def test_jaccard_of_complementary_words(spark):
+    one, two = map("".join, thue_morse(1024, "a", "b"))
+    rows = [(1, one, "en", "a"), (2, two, "en", "a"), (3, f"{one} x", "en", "a"), (4, f"{two} x", "en", "a"), (5, "x" + one, "en", "a"), (6, one, "en", "a")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(frame(spark, rows), k=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1}
+
+
+def test_units_of_complementary_words(spark):
+    one, two = map(" ".join, thue_morse(1024, "ab", "ba"))
+    rows = [(1, one, "en", "a"), (2, two, "en", "a"), (3, f"{one}\n\n{two}", "en", "a")]
+    got = unit_dedup.repeated_units(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["start"], r["kept_doc_id"]) for r in got) == [(3, 0, 1), (3, len(one) + 2, 2)]
+
+
+def test_spans_have_distinct_hashes():
+    import numpy as np
+
+    from winnow.llm.text import hashed_spans
+
+    rng = random.Random(4)
+    spans = {bytes(rng.choice(b"ab\x00") for _ in range(rng.choice([0, 1, 3, 7, 8, 9, 16, 30, 255, 256, 257, 900]))) for _ in range(3000)}
+    seen = {}
+    spans = sorted(spans)
+    for shift in (0, 1, 5):
+        data = np.frombuffer(b"z" * shift + b"".join(spans), np.uint8)
+        ends = shift + np.cumsum([len(s) for s in spans])
+        h = hashed_spans(data, ends - [len(s) for s in spans], ends)
+        assert len(set(h.tolist())) == len(spans)
+        assert seen.setdefault("h", h.tolist()) == h.tolist()  # the same wherever they stand
+        assert not set(hashed_spans(data, ends - [len(s) for s in spans], ends, seed=1).tolist()) & set(h.tolist())
+
+
 def test_first_of_each_group(spark):
     rows = corpus(4)
     docs = frame(spark, rows)

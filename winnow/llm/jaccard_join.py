@@ -52,8 +52,8 @@ def _prefix(n: Column, percent: int) -> Column:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, k: int, percent: int, whole: bool) -> DataFrame:
-    """``id``, ``n`` (distinct shingles) and, if ``whole``, all ``tokens``; else two sums that identify
-    the set and its prefixes ``p1``, ``p2`` under the two hash orders."""
+    """``id``, ``n`` (distinct shingles), two sums ``s1``, ``s2`` that identify the set and, if ``whole``, all its ``tokens``,
+    else its prefixes ``p1``, ``p2`` under the two hash orders."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,27 +63,54 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int, percent: int, whole: b
             h, row = distinct(*shingles(word_hashes(chunk, w), w.first, k, short_whole=True))
             n = np.bincount(row, minlength=rows)
             ids, size = chunk.rows.column("id"), pa.array(n, pa.int64())
-            if whole:
-                yield pa.RecordBatch.from_arrays([ids, size, list_array(h.view(np.int64), n, pa.int64())], ["id", "n", "tokens"])
-                continue
             h2 = mix(h ^ _SECOND)
             total = np.zeros((2, len(h) + 1), np.uint64)
             total[0, 1:], total[1, 1:] = np.cumsum(h), np.cumsum(h2)
             ends = np.cumsum(n)
-            s1, s2 = (t[ends] - t[ends - n] for t in total)
+            s1, s2 = (pa.array((t[ends] - t[ends - n]).view(np.int64)) for t in total)
+            if whole:
+                yield pa.RecordBatch.from_arrays([ids, size, s1, s2, list_array(h.view(np.int64), n, pa.int64())], ["id", "n", "s1", "s2", "tokens"])
+                continue
             take = np.minimum(n - needed(n, percent) + slack(n), n)
             inside = np.arange(len(h)) - np.repeat(ends - n, n) < np.repeat(take, n)
             order = np.lexsort((h2, row))
             yield pa.RecordBatch.from_arrays(
-                [ids, size, pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), list_array(h[inside].view(np.int64), take, pa.int64()), list_array(h[order][inside].view(np.int64), take, pa.int64())],
+                [ids, size, s1, s2, list_array(h[inside].view(np.int64), take, pa.int64()), list_array(h[order][inside].view(np.int64), take, pa.int64())],
                 ["id", "n", "s1", "s2", "p1", "p2"],
             )
 
     if whole:
-        return source.mapInArrow(run, "id long, n long, tokens array<long>")
+        return source.mapInArrow(run, "id long, n long, s1 long, s2 long, tokens array<long>")
     return source.mapInArrow(run, "id long, n long, s1 long, s2 long, p1 array<long>, p2 array<long>")
 
 
+#: what a text of a row is known by
+SET = ["id", "n", "s1", "s2"]
+
+
+def further_texts(real: DataFrame) -> DataFrame | None:
+    """Numbers ``uid`` above all ids for the sets of an id with several different ones, but for its least set; None if there are none.
+
+    So every set is a document of its own, and an id's sets are linked to each other at the end.
+    """
+    least = real.groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("least"), F.max(F.struct("n", "s1", "s2")).alias("most"))
+    several = written(least.where("least <> most").select("id", "least"), "several")
+    if several.isEmpty():
+        return None
+    (top,) = real.agg(F.max("id")).first()
+    if top >= 1 << 61:
+        raise ValueError(f"ids with several texts need room above the largest id, which is {top}")
+    more = real.select(*SET).distinct().join(several, "id").where(F.struct("n", "s1", "s2") != F.col("least"))
+    return written(more.select(*SET, (F.lit(max(top, 0) + 1) + F.monotonically_increasing_id()).alias("uid")), "further")
+
+
+def numbered(sets: DataFrame, further: DataFrame | None) -> DataFrame:
+    """``sets`` with ``uid``: the id, or the number of a further text."""
+    if further is None:
+        return sets.withColumn("uid", F.col("id"))
+    return sets.join(small_side(further, further.count(), 96), SET, "left").withColumn("uid", F.coalesce("uid", "id"))
+
+
 def shared(tokens: DataFrame, name: str) -> DataFrame:
     """Tokens ``h`` of more than one row of (id, h), with the number ``df`` of rows.
 
@@ -129,7 +156,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     there are no links; a null id has none and a null component. Rows of one id are one document
     with several texts: each row has its own size, links of all of them count.
     """
-    sets = written(sets_of(docs, key, text, k, percent, whole=False), "sets")
+    found = written(sets_of(docs, key, text, k, percent, whole=False), "sets")
+    further = further_texts(found.where("n > 0 and id is not null"))
+    # from here on, id is the number of a set
+    sets = numbered(found, further).withColumn("doc", F.col("id")).withColumn("id", F.when(F.col("n") > 0, F.col("uid")).otherwise(F.col("id"))).drop("uid")
     real = sets.where("n > 0 and id is not null")
     copies = written(real.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copies")
     member = real.select("id", "n", "s1", "s2").join(small_side(copies, copies.count(), 64), ["n", "s1", "s2"])
@@ -139,8 +169,12 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     left = heads.join(survivors(heads, "p1", percent), "id", "left_semi")
     last = survivors(left, "p2", percent)
-    chosen = docs.select(F.col(key).cast("long").alias(key), text).join(last.withColumnRenamed("id", key), key, "left_semi")
-    tokens = written(sets_of(chosen, key, text, k, percent, whole=True).dropDuplicates(["id", "n"]), "tokens")
+    wanted = last if further is None else last.select("id").union(further.join(last, further["uid"] == last["id"], "left_semi").select("id"))
+    chosen = docs.select(F.col(key).cast("long").alias(key), text).join(wanted.select(F.col("id").alias(key)), key, "left_semi")
+    tokens = numbered(sets_of(chosen, key, text, k, percent, whole=True), further).select(F.col("uid").alias("id"), "n", "tokens")
+    if further is not None:
+        tokens = tokens.join(last, "id", "left_semi")
+    tokens = written(tokens.dropDuplicates(["id"]), "tokens")
     loose = tokens.select("id", "n", F.explode("tokens").alias("h"))
     rare = shared(loose, "df")
     met = loose.join(rare, "h")
@@ -170,16 +204,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     across = across.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = verified(written(across, "across"), full, percent)
 
-    # rows of one id in several classes hold these together
-    several = member.select("id", "rep").union(heads.join(member.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("rep")))
-    several = several.groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    bound = several.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
     stars = grouped.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    final = components(stars.union(more).union(bound)).select(F.col("node").alias("rep"), "component")
-
-    out = sets.select("id", "n", "s1", "s2").join(member.dropDuplicates(["id", "n", "s1", "s2"]), ["id", "n", "s1", "s2"], "left")
-    out = out.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(final, "rep", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    links = stars.union(more)
+    if further is not None:  # the texts of one id hold together, and each with its class
+        own = further.select(F.col("id").alias("a"), F.col("uid").alias("b"))
+        ends = own.select(F.col("a").alias("id")).union(own.select(F.col("b").alias("id"))).distinct()
+        links = links.union(own).union(member.join(ends, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    final = components(links).select(F.col("node").alias("rep"), "component")
+
+    out = sets.select("doc", *SET).join(member.dropDuplicates(SET), SET, "left")
+    out = out.select("doc", "n", F.coalesce("rep", "id").alias("rep")).join(final, "rep", "left")
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def first_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

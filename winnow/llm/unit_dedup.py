@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.frames import small_side, written
-from winnow.llm.text import NOT_WORD, chunks, mix, powers, word_hashes, words
+from winnow.llm.text import NOT_WORD, chunks, mix, word_hashes, words
 
 #: units of fewer words are never removed: short ones repeat by chance
 MIN_WORDS = 6
 
 _LAST = (1 << 63) - 1
-_SECOND = np.uint64(0x2545F4914F6CDD1D)
 #: levels from coarse to fine; bit i of ``levels`` is set where a span is a unit of level i
 LEVELS = ("paragraph", "line", "sentence")
 _COLUMNS = "id long, k long, start long, end long, byte_start long, byte_end long, d1 long, d2 long, levels long, paragraph long, line long"
@@ -67,17 +66,15 @@ def units_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
             # from the coarsest, each span once
             place = np.concatenate([f * (m + 1) + z for f, z in spans_of])
             bit = np.repeat([1 << i for i in range(len(LEVELS))], [len(f) for f, _ in spans_of])
-            place, inverse = np.unique(place, return_inverse=True)
+            place, one, inverse = np.unique(place, return_index=True, return_inverse=True)
             levels = np.zeros(len(place), np.int64)
             np.add.at(levels, inverse, bit)
             first, last = place // (m + 1), place % (m + 1)
-            up, down = powers(max(20, m.bit_length()))
-            h = word_hashes(chunk, w)
             digests = []
-            for seed in (np.uint64(0), _SECOND):
-                total = np.zeros(m + 1, np.uint64)
-                np.cumsum(mix(h ^ seed) * up[:m], out=total[1:])
-                digests.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+            for seed in (0, 1):  # two hashes of every word, each mixed with the word's place in the unit
+                h = word_hashes(chunk, w, seed=seed)
+                sums = [np.add.reduceat(mix(h ^ mix(np.arange(m) - np.repeat(f, z - f))), f) for f, z in spans_of]
+                digests.append(mix(np.concatenate(sums)[one] + (last - first).astype(np.uint64)))
             keep = last - first >= min_words
             # a unit reaches to the white space after its last word
             gaps = np.append(np.flatnonzero(space), len(data))
