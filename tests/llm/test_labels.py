@@ -46,8 +46,11 @@ def test_language_awkward(spark):
     und = {r["doc_id"] for r in found if r["lang_pred"] == "und"}
     assert {900, 901, 902, 904, None} <= und | {None} and 903 not in und
     empty = docs.where("false")
+    for none in (empty, docs.withColumn("lang", F.lit(None).cast("string"))):
+        got = langid.predict(docs, langid.fit(none)).collect()
+        assert len(got) == docs.count() and {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
     with pytest.raises(ValueError):
-        langid.fit(empty)
+        langid.fit(docs, buckets=1 << 23)
     assert langid.predict(empty, langid.fit(docs)).count() == 0
 
 

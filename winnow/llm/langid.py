@@ -14,7 +14,7 @@ from winnow.llm.text import Chunk, chunks, codepoints, letters, per_row
 
 #: n-gram lengths, hash buckets, smoothing, and the bound of labelled rows per language to learn from
 ORDERS, BUCKETS, ALPHA, FIT_ROWS = (1, 2, 3), 1 << 15, 0.1, 5_000
-#: the log-probability matrix is broadcast; buckets are halved until it fits this
+#: the log-probability matrix is broadcast; more languages than fit this are an error
 MATRIX_BYTES = 64 << 20
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
@@ -54,16 +54,17 @@ def grams(chunk: Chunk, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: Column | None = None, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
     """Learn from at most about ``fit_rows`` rows of each language, drawn by hash of ``sample_key``.
 
-    Rows with a null text or language are not learned from. Raises if no row is left.
+    Rows with a null text or language are not learned from; without any other the model knows no language. Raises if there are
+    more languages than ``MATRIX_BYTES`` holds (256 at the default number of buckets).
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(sample_key if sample_key is not None else F.col(text)).alias("draw"))
     rows = rows.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        raise ValueError("no labelled row to learn languages from")
+        return Model([], np.zeros(0), np.zeros((0, buckets)))
     langs = sorted(sizes)
-    while len(langs) * buckets * 8 > MATRIX_BYTES and buckets > 1024:
-        buckets //= 2
+    if len(langs) * buckets * 8 > MATRIX_BYTES:
+        raise ValueError(f"{len(langs)} languages of {buckets} buckets are more than {MATRIX_BYTES} bytes")
     share = F.element_at(F.create_map(*[F.lit(x) for p in langs for x in (p, min(1.0, fit_rows / sizes[p]))]), F.col("lang"))
     drawn = rows.where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text").repartition(16)
 
@@ -90,7 +91,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_key: Col
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score``, the posterior probability of that language.
 
-    A text that is null or has no letter gets ``und`` and 0. Ties go to the language that sorts first.
+    A text that is null or has no letter gets ``und`` and 0, as does every text if the model knows no language. Ties go
+    to the language that sorts first. A row's score does not depend on other rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -100,6 +102,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         langs, prior, logp = shared.value
         names = np.array([*langs, "und"], object)
         for chunk in chunks(batches, "_text"):
+            if not langs:
+                none = pa.array(["und"] * chunk.rows.num_rows)
+                yield pa.RecordBatch.from_arrays([*(chunk.rows.column(c) for c in keep), none, pa.array(np.zeros(len(none)))], [*keep, "lang_pred", "score"])
+                continue
             total = np.tile(prior, (chunk.rows.num_rows, 1))
             for bucket, offsets in grams(chunk, logp.shape[1]):
                 for i, row in enumerate(logp):
