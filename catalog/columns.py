@@ -90,6 +90,21 @@ def influence_loo(spark, folder):
     return out.select("id", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
+# the same of log10(y): predictions are powers of ten
+LOG_LOO = LOO.replace(f"WITH {F1}", f"WITH {F1}, g1 AS MATERIALIZED (SELECT * REPLACE (log10(y) AS y) FROM f1)").replace("sxy FROM f1)", "sxy FROM g1)").replace("sxy FROM f1, z)", "sxy FROM g1, z)")
+
+
+@query(f"""{LOG_LOO}, xs AS MATERIALIZED (SELECT qty AS xj, count(*) AS c FROM g1 GROUP BY 1),
+d AS (SELECT id, abs(10 ** (a + b * x) - 10 ** (a0 + b0 * x)) AS self_abs, abs(10 ** (a + b * x - a0 - b0 * x) - 1) AS self_pct,
+  abs(10 ** (a + b * xj) - 10 ** (a0 + b0 * xj)) AS dj, abs(10 ** (a + b * xj - a0 - b0 * xj) - 1) AS pj, c FROM m, r, xs)
+SELECT id, round(any_value(self_abs), 3) AS self_abs, round(any_value(self_pct), 6) AS self_pct,
+  round(sum(dj * c) / sum(c), 3) AS mean_abs, round(sum(pj * c) / sum(c), 6) AS mean_pct FROM d GROUP BY id""")
+def influence_loo_log(spark, folder):
+    out = I.deletion_influence_log(order_features(spark, folder).persist(), "qty")
+    digits = {"self_abs": 3, "self_pct": 6, "mean_abs": 3, "mean_pct": 6}
+    return out.select("id", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
 TWO = f"""WITH {F1}, s AS (SELECT count(*) AS n, avg(qty) AS mx, avg(avg_p_size) AS mz, avg(y) AS my, count(*) * covar_pop(qty, qty) AS xx,
   count(*) * covar_pop(qty, avg_p_size) AS xz, count(*) * covar_pop(avg_p_size, avg_p_size) AS zz, count(*) * covar_pop(qty, y) AS xy,
   count(*) * covar_pop(avg_p_size, y) AS zy FROM f1),

@@ -8,6 +8,7 @@ from catalog.sqltext import SCORES, drawn, fit, predict
 from catalog.tables import F1, F2, F5, class_scores, document_features, order_features
 from winnow.operators import classify as C
 from winnow.operators import metrics as M
+from winnow.operators.crossval import cv_leave_one_out as leave_one_out
 from winnow.operators.models import GroupMean, Ols1, fit_scores
 from winnow.operators.split import TRAIN_FRACTIONS, random_split
 from winnow.plans.runs import random_baseline
@@ -124,6 +125,17 @@ def cv_scores(spark, folder):
     return out.withColumns({"rmse": F.round("rmse", 3), "mae": F.round("mae", 3), "mape": F.round("mape", 6), "r2": F.round("r2", 6)})
 
 
+@query(f"""WITH {F1}, z AS MATERIALIZED (SELECT count(*) AS n, avg(n_lines) AS mx, avg(y) AS my, var_pop(n_lines) * count(*) AS sxx, covar_pop(n_lines, y) * count(*) AS sxy FROM f1),
+e AS MATERIALIZED (SELECT y, my + sxy / sxx * (n_lines - mx) - y AS e, CAST(1 AS DOUBLE) / n + (n_lines - mx) ** 2 / sxx AS h, n FROM f1, z),
+t AS (SELECT sum(e * e) AS sse FROM e)
+SELECT 'test' AS part, round(avg(abs(e / (1 - h))), 4) AS rmse, round(avg(abs(e / (1 - h))), 4) AS mae, round(avg(abs(e / (1 - h)) / abs(y)), 6) AS mape, CAST(NULL AS DOUBLE) AS r2 FROM e
+UNION ALL SELECT 'train', round(avg(sqrt((sse - e * e / (1 - h)) / (n - 1))), 4), NULL, NULL, NULL FROM e, t""")
+def cv_leave_one_out(spark, folder):
+    out = leave_one_out(Ols1("n_lines"), order_features(spark, folder).persist())
+    return out.select("part", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mape", 6).alias("mape"), "r2")
+
+
+
 @query(f"""{SPLIT}, {fit('m', 'tr', 'ols', 'n_lines')}, p AS (SELECT y / 1000 AS y, greatest(a + b * n_lines, 1) / 1000 AS pred FROM te CROSS JOIN m)
 SELECT round(avg((pred - y) ** 2), 4) AS mse, round(avg(abs(pred - y)), 4) AS l1,
   round(avg(pred - y * ln(pred + 1e-8) + CASE WHEN y > 1 THEN y * ln(y) - y + 0.5 * ln(2 * pi() * y) ELSE 0 END), 4) AS poisson FROM p""")

@@ -4,10 +4,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from catalog.cleaning import rounded_scores
+from catalog.columns import PAIR_ROWS, order_pairs
 from catalog.registry import query
 from catalog.scoring import SPLIT, split_orders, split_pool
 from catalog.sqltext import SCORES, drawn
 from catalog.tables import F1, order_features
+from winnow.operators import influence as I
 from winnow.operators import models as M
 from winnow.operators.project import project_2d
 from winnow.operators.rank import ensemble_interval
@@ -52,6 +54,72 @@ GAPPED = SPLIT.replace("tr AS", "sg AS MATERIALIZED (SELECT * REPLACE (CASE WHEN
     "FROM s WHERE split = 'train'", "FROM sg WHERE split = 'train'").replace("FROM s WHERE split = 'test'", "FROM sg WHERE split = 'test'")
 
 
+def penalised(name: str, src: str, x: str = "n_lines") -> str:
+    """CTE ``name(t, lo, hi)``: the best split by gradients g and hessians h under the named models' penalties, and both weights."""
+    shrunk = "sign({0}) * greatest(abs({0}) - 0.1, 0)".format
+    return f"""{name}_v AS MATERIALIZED (SELECT {x} AS x, sum(g) AS g, sum(h) AS h FROM {src} GROUP BY 1),
+{name}_c AS (SELECT a.x AS t, sum(b.g) FILTER (WHERE b.x <= a.x) AS gl, sum(b.h) FILTER (WHERE b.x <= a.x) AS hl,
+  sum(b.g) FILTER (WHERE b.x > a.x) AS gr, sum(b.h) FILTER (WHERE b.x > a.x) AS hr FROM {name}_v a, {name}_v b GROUP BY 1),
+{name} AS MATERIALIZED (SELECT t, 0.25 * -({shrunk('gl')}) / (hl + 0.01) AS lo, 0.25 * -({shrunk('gr')}) / (hr + 0.01) AS hi FROM {name}_c
+  WHERE hl >= 1 AND hr >= 1 ORDER BY ({shrunk('gl')}) ** 2 / (hl + 0.01) + ({shrunk('gr')}) ** 2 / (hr + 0.01) DESC, t LIMIT 1)"""
+
+
+#: the named models without draws, so that SQL can repeat them
+UNDRAWN = {"rows": 1.0, "columns": (1.0, 1.0), "depth": 1, "rounds": 2}
+
+
+@query(f"""{SPLIT}, a AS MATERIALIZED (SELECT *, 0.5 - y AS g, 1 AS h FROM tr), {penalised('m', 'a')},
+b AS MATERIALIZED (SELECT *, 0.5 + {value('m')} - y AS g, 1 AS h FROM tr), {penalised('k', 'b')}
+SELECT split, count(*) AS n, {SCORES} FROM (SELECT *, 0.5 + {value('m')} + {value('k')} AS pred FROM te) GROUP BY split""")
+def scores_penalised_stump(spark, folder):
+    """The named boosted regressor: two rounds of four parallel trees with both penalties."""
+    return rounded_scores(M.fit_scores(M.model_by_name("xgb", ["n_lines"], **UNDRAWN), split_orders(spark, folder)))
+
+
+RARE = "CASE WHEN qty > 130 AND avg_p_size > 20 THEN 1 ELSE 0 END"
+
+
+@query(f"""{SPLIT}, c AS MATERIALIZED (SELECT * REPLACE ({RARE} AS y) FROM tr), a AS MATERIALIZED (SELECT *, 0.5 - y AS g, 0.25 AS h FROM c), {penalised('m', 'a')},
+p AS MATERIALIZED (SELECT *, 1 / (1 + exp(-({value('m')}))) AS p FROM c), b AS MATERIALIZED (SELECT *, p - y AS g, p * (1 - p) AS h FROM p), {penalised('k', 'b')}
+SELECT id, CASE WHEN {value('m')} + {value('k')} > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS prediction FROM te""")
+def classes_penalised_stump(spark, folder):
+    """The named boosted classifier."""
+    rows = split_orders(spark, folder).withColumn("y", F.expr(RARE))
+    fitted = M.model_by_name("xgb_cla", ["n_lines"], **UNDRAWN).fit(rows.filter("split = 'train'"))
+    return fitted.transform(rows.filter("split = 'test'")).select("id", "prediction")
+
+
+LEAF_MEANS = f"""WITH {F1}, {stump('m', 'f1')}, lf AS MATERIALIZED (SELECT id, y, n_lines <= (SELECT t FROM m) AS l0, CAST(floor(qty / 50) AS INTEGER) AS l1 FROM f1),
+z AS (SELECT count(*) AS n, avg(y) AS my FROM f1), s0 AS (SELECT l0, count(*) AS n, sum(y) AS s FROM lf GROUP BY 1), s1 AS (SELECT l1, count(*) AS n, sum(y) AS s FROM lf GROUP BY 1),
+v AS MATERIALIZED (SELECT id, y, lf.l0, lf.l1, s0.n AS n0, s0.s / s0.n AS m0, s1.n AS n1, s1.s / s1.n AS m1, z.n,
+  CASE WHEN s0.n > 1 THEN (s0.s / s0.n - y) / (s0.n - 1) ELSE (z.n * my - y) / (z.n - 1) - y END AS d0,
+  CASE WHEN s1.n > 1 THEN (s1.s / s1.n - y) / (s1.n - 1) ELSE (z.n * my - y) / (z.n - 1) - y END AS d1
+  FROM lf JOIN s0 ON s0.l0 = lf.l0 JOIN s1 ON s1.l1 = lf.l1, z)"""
+
+
+def leaf_rows(spark, folder):
+    """Orders with their leaf in a fitted stump and in a given tree over the quantity."""
+    rows = order_features(spark, folder)
+    leaves = forest_stump().fit(rows).leaves(rows)
+    return leaves.select("id", "y", F.concat("leaves", F.array(F.floor(F.col("qty") / 50).cast("int"))).alias("leaves")).persist()
+
+
+@query(LEAF_MEANS + """SELECT id, round(abs(d0 + d1) / 2, 3) AS self_abs, round(abs((d0 + d1) / (m0 + m1)), 6) AS self_pct,
+  round((d0 * n0 + d1 * n1) / 2 / n, 3) AS mean_change FROM v""")
+def influence_of_leaves(spark, folder):
+    out = I.leaf_deletion_influence(leaf_rows(spark, folder))
+    return out.select("id", F.round("self_abs", 3).alias("self_abs"), F.round("self_pct", 6).alias("self_pct"), F.round("mean_change", 3).alias("mean_change"))
+
+
+@query(LEAF_MEANS + f""", {PAIR_ROWS}, w AS (SELECT removed_id, pr.id, (CASE WHEN i.l0 = j.l0 THEN i.d0 ELSE 0 END + CASE WHEN i.l1 = j.l1 THEN i.d1 ELSE 0 END) / 2 AS d,
+  (j.m0 + j.m1) / 2 AS ref FROM pr JOIN v i ON i.id = removed_id JOIN v j ON j.id = pr.id)
+SELECT removed_id, id, round(abs(d), 3) AS abs_influ, round(abs(d / ref), 6) AS pct_influ FROM w""")
+def influence_of_leaves_pairs(spark, folder):
+    rows = leaf_rows(spark, folder)
+    out = I.leaf_influence_of_pairs(rows, order_pairs(rows))
+    return out.withColumns({"abs_influ": F.round("abs_influ", 3), "pct_influ": F.round("pct_influ", 6)})
+
+
 @query(f"""{GAPPED}, {stump('m', 'tr')} SELECT split, count(*) AS n, {SCORES} FROM (SELECT *, {value('m')} AS pred FROM te) GROUP BY split""")
 def scores_boosted_with_gaps(spark, folder):
     """A missing feature stands below all values."""

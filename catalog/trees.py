@@ -109,11 +109,11 @@ def affinity_variance(spark, folder):
 
 @query(LEAF_SQL + f""", pr AS (SELECT v.id, t.y, t.id AS tid, {" + ".join(f"CAST(v.l{i} = t.l{i} AS BIGINT)" for i in range(len(LEAVES)))} AS aff
   FROM lf v JOIN lf t ON v.is_val AND NOT t.is_val),
-b AS (SELECT id, unnest(max(aff * 100000000 - tid, 20)) AS key FROM pr GROUP BY id),
+b AS (SELECT id, unnest(max(aff * 100000000 - tid, 100)) AS key FROM pr GROUP BY id),
 k AS (SELECT b.id, CAST(ceil(key / CAST(100000000 AS DOUBLE)) AS BIGINT) AS aff, key FROM b),
 j AS (SELECT k.id, aff, y FROM k JOIN lf t ON t.id = aff * 100000000 - key)
 SELECT id, round(avg(y), 4) AS mean, round(var_pop(y) / 1000000, 3) AS variance, CAST(sum(aff) AS BIGINT) AS weight FROM j GROUP BY id""")
 def affinity_topk(spark, folder):
     val, train = leaf_tables(spark, folder)
-    out = topk_variance(val, train, 20)
+    out = topk_variance(val, train, 100)
     return out.select("id", F.round("mean", 4).alias("mean"), F.round(F.col("variance") / 1000000, 3).alias("variance"), "weight")

@@ -36,14 +36,36 @@ def test_weighted_affinity(leaf_tables, trees):
         assert abs(got[i]["variance"] - np.var(ys)) < 1e-9 and abs(got[i]["mean"] - np.mean(ys)) < 1e-9
 
 
-@pytest.mark.parametrize("block", [7, 20_000])
-def test_topk_affinity_in_blocks(leaf_tables, block):
-    val, train, v, t = leaf_tables
-    got = {r["id"]: r for r in A.topk_variance(v, t, 9, block_rows=block).collect()}
+@pytest.mark.parametrize("trees", [None, [4, 1]])
+@pytest.mark.parametrize("k", [1, 9, 70, 500])
+def test_topk_affinity(leaf_tables, spark, trees, k):
+    """Ties, rows alike in all leaves, a leaf that most rows share, leaves of one side only, rows without any shared leaf."""
+    val, train, _, _ = leaf_tables
+    hot = [(1000 + i, [0, i % 2, 0, 0, 0], float(i)) for i in range(60)]
+    train = train + hot + [(2000, [8, 8, 8, 8, 8], 3.0)]
+    val = val + [(50, [9, 9, 9, 9, 9]), (51, [0, 0, 0, 0, 0]), (52, [0, 0, 0, 0, 0]), (53, [8, 0, 7, 8, 8])]
+    v, t = spark.createDataFrame(val, "id long, leaves array<int>").repartition(3), spark.createDataFrame(train, "id long, leaves array<int>, y double").repartition(3)
+    pick = trees or range(5)
+    got = {}
+    for r in A.nearest_by_leaves(v, t, k, trees).collect():
+        got.setdefault(r["id"], []).append((-r["affinity"], r["tid"], r["y"]))
+        assert r["candidates"] <= len({tuple(x[1]) for x in train})
+    summary = {r["id"]: r for r in A.topk_variance(v, t, k, trees).collect()}
     for i, leaves in val:
-        best = sorted((-sum(a == b for a, b in zip(leaves, tl)), j, y) for j, tl, y in train)[:9]
-        assert abs(got[i]["variance"] - np.var([b[2] for b in best])) < 1e-9
-        assert got[i]["weight"] == -sum(b[0] for b in best)
+        best = sorted((-sum(leaves[p] == tl[p] for p in pick), j, y) for j, tl, y in train)[:k]
+        assert sorted(got[i]) == best
+        assert abs(summary[i]["variance"] - np.var([b[2] for b in best])) < 1e-9
+        assert summary[i]["weight"] == -sum(b[0] for b in best)
+
+
+def test_topk_affinity_ends_early(spark):
+    """Rows with as many like ones as are asked for meet only those of their rarest leaf."""
+    train = [(g * 100 + i, [g, g % 5, 0, 0], float(i)) for g in range(40) for i in range(10)]
+    val = [(10_000 + g, [g, g % 5, 0, 0]) for g in range(40)]
+    v, t = spark.createDataFrame(val, "id long, leaves array<int>"), spark.createDataFrame(train, "id long, leaves array<int>, y double")
+    got = A.nearest_by_leaves(v, t, 10).collect()
+    assert len(got) == 400 and {r["affinity"] for r in got} == {4} and {r["candidates"] for r in got} == {1}
+    assert A.nearest_by_leaves(v, t.where("false"), 10).count() == 0
 
 
 def fit(x, y):

@@ -4,15 +4,12 @@ the target over a row's most similar training rows."""
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.session import materialise, small_side
+from winnow.session import materialise
 
 
 def choose_trees(n_trees: int, frac: float, seed: int) -> list[int]:
@@ -26,102 +23,136 @@ def _leaf_rows(df: DataFrame, trees: Sequence[int] | None) -> DataFrame:
     return out.filter(F.col("tree").isin(list(trees))) if trees is not None else out
 
 
+#: leaf sums are looked up by place where their numbers span at most this many places in all, 32 bytes each
+LEAF_PLACES = 500_000
+
+
+def leaf_sums(train: DataFrame, y: str, trees: Sequence[int] | None = None) -> DataFrame:
+    """``n``, ``s`` and ``ss``: rows, sum and sum of squares of ``y`` per (tree, leaf)."""
+    return _leaf_rows(train.select("leaves", y), trees).groupBy("tree", "leaf").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss")
+    )
+
+
+def with_leaf_sums(df: DataFrame, train: DataFrame, y: str, trees: Sequence[int] | None = None) -> DataFrame:
+    """Add ``stats`` to ``df``: the ``leaf_sums`` of ``train`` for the row's leaf in every tree, null where no row of ``train`` is.
+
+    Trees number their leaves from 0, so the sums are one small table of arrays, sent to every task, and a row reads its
+    own by place. Leaves numbered too far apart for that (``LEAF_PLACES``) are joined instead.
+    """
+    sums = materialise(leaf_sums(train, y, trees))
+    spans = {r["tree"]: (r["low"], r["high"]) for r in sums.groupBy("tree").agg(F.min("leaf").alias("low"), F.max("leaf").alias("high")).collect()}
+    picked = list(trees) if trees is not None else list(range(max(spans, default=-1) + 1))
+    if sum(high - low + 1 for low, high in spans.values()) <= LEAF_PLACES:
+        table: dict[int, list] = {t: [None] * (high - low + 1) for t, (low, high) in spans.items()}
+        for r in sums.collect():
+            table[r["tree"]][r["leaf"] - spans[r["tree"]][0]] = (r["n"], r["s"], r["ss"])
+        rows = [([table.get(t, []) for t in picked], [spans[t][0] if t in spans else 0 for t in picked], picked)]
+        one = df.sparkSession.createDataFrame(rows, "_table array<array<struct<n:double,s:double,ss:double>>>, _low array<int>, _trees array<int>")
+        place = F.sequence(F.lit(0), F.lit(len(picked) - 1)) if picked else F.array().cast("array<int>")
+        stats = F.transform(place, lambda i: F.get(F.get("_table", i), F.get("leaves", F.get("_trees", i)) - F.get("_low", i)))
+        return df.join(F.broadcast(one)).select(*df.columns, stats.alias("stats"))
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    keyed = materialise(keyed)
+    places = F.posexplode(F.transform(F.array(*[F.lit(t) for t in picked]), lambda t: F.get("leaves", t)))
+    apart = keyed.select("_row", places.alias("_i", "leaf")).withColumn("tree", F.get(F.array(*[F.lit(t) for t in picked]), "_i"))
+    met = apart.join(sums, ["tree", "leaf"], "left").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_i", F.when(F.col("n").isNotNull(), F.struct("n", "s", "ss")).alias("v")))).alias("_all"))
+    return keyed.join(met, "_row").select(*df.columns, F.transform("_all", lambda e: e["v"]).alias("stats"))
+
+
 def weighted_variance(
     val: DataFrame, train: DataFrame, trees: Sequence[int] | None = None, id_col: str = "id", y: str = "y"
 ) -> DataFrame:
     """Mean and variance of the target over all training rows, weighted by affinity.
 
-    Linear: training rows shrink to (n, sum, sum of squares) per (tree, leaf), which
-    every validation row looks up once per tree: a leaf holding a third of all training rows
-    is one row. The leaves are few (a bounded number per tree), so they are broadcast once
-    counted, and the lookups of a row are summed where the row is. Columns: id, mean, variance, weight.
+    Linear: training rows shrink to (n, sum, sum of squares) per (tree, leaf), so a leaf holding a third of all training
+    rows is one row; a validation row adds up those of its leaves, without any shuffle. Columns: id, mean, variance, weight.
     """
     centre = train.agg(F.avg(y)).first()[0] or 0.0  # against cancellation
-    c = F.col(y) - F.lit(centre)
-    stats = _leaf_rows(train.select("leaves", y), trees).groupBy("tree", "leaf").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(c).alias("s"), F.sum(c * c).alias("ss")
-    )
-    joined = _leaf_rows(val.select(id_col, "leaves"), trees).join(small_side(materialise(stats)), ["tree", "leaf"])
-    sums = joined.groupBy(id_col).agg(F.sum("n").alias("weight"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    mean = F.col("s") / F.col("weight")
-    found = sums.select(
+    centred = train.select("leaves", (F.col(y) - F.lit(centre)).alias("t"))
+    rows = with_leaf_sums(val.select(id_col, "leaves"), centred, "t", trees)
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "s", "ss")])
+    add = lambda a, s: F.struct(*[(a[c] + F.coalesce(s[c], F.lit(0.0))).alias(c) for c in ("n", "s", "ss")])
+    rows = rows.select(id_col, F.aggregate("stats", none, add).alias("_sum"))
+    weight = F.when(F.col("_sum.n") > 0, F.col("_sum.n"))
+    mean = F.col("_sum.s") / weight
+    return rows.select(
         id_col,
         (mean + F.lit(centre)).alias("mean"),
-        F.greatest(F.col("ss") / F.col("weight") - mean * mean, F.lit(0.0)).alias("variance"),
-        "weight",
+        F.when(weight > 0, F.greatest(F.col("_sum.ss") / weight - mean * mean, F.lit(0.0))).alias("variance"),
+        weight.cast("long").alias("weight"),
     )
-    return val.select(id_col).join(found, id_col, "left")
 
 
-def topk_variance(
-    val: DataFrame,
-    train: DataFrame,
-    k: int,
-    trees: Sequence[int] | None = None,
-    id_col: str = "id",
-    y: str = "y",
-    block_rows: int = 20_000,
+def nearest_by_leaves(
+    val: DataFrame, train: DataFrame, k: int, trees: Sequence[int] | None = None, id_col: str = "id", y: str = "y"
 ) -> DataFrame:
-    """Mean and population variance of the target over the ``k`` most similar training rows.
-
-    Every validation row must be compared with every training row, so the work is
-    n_val * n_train * trees by definition; use ``weighted_variance`` where that is too
-    much. Both sides are cut into blocks of about ``block_rows``; one task compares one
-    pair of blocks and emits the k best per validation row, and a second step merges
-    the blocks. Memory per task is bounded and nothing is capped. Ties go to the
-    smaller training id.
+    """The ``k`` training rows that share the most leaves with each validation row, ties to the smaller training id.
+
+    Columns: id, affinity, tid, y, candidates (classes of training rows compared with the row). Rows alike in all
+    leaves are one class on either side, of which the k rows of smallest id matter. A class looks its leaves up in
+    postings, those with the fewest classes first. After its m rarest leaves, a row not met yet shares at most
+    trees - m leaves, so the search ends where the k-th best is above that; only what is still open goes on to
+    more leaves. A leaf that holds a third of all rows is looked up last, mostly never.
     """
-    picked = list(trees) if trees is not None else None
-    if picked is not None:
-        chosen = F.array(*[F.get("leaves", F.lit(t)) for t in picked])
-        val, train = val.withColumn("leaves", chosen), train.withColumn("leaves", chosen)
-    n_val, n_train = max(val.count(), 1), max(train.count(), 1)
-    v_blocks, t_blocks = math.ceil(n_val / block_rows), math.ceil(n_train / block_rows)
-    slots = max(1, val.sparkSession.sparkContext.defaultParallelism // t_blocks)
-    v_blocks = max(v_blocks, min(slots, math.ceil(n_val / 256)))
-
-    def block(col, n):
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-    left = val.select(F.col(id_col).alias("id"), "leaves", block(id_col, v_blocks).alias("vb")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))
-    )
-    right = train.select(
-        F.col(id_col).alias("tid"), "leaves", F.col(y).alias("y"), block(id_col, t_blocks).alias("tb")
-    ).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-
-    def best(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or t.empty:
-            return pd.DataFrame({"id": [], "affinity": [], "tid": [], "y": []})
-        t = t.sort_values("tid", kind="stable")
-        tl, ty, tid = np.stack(t["leaves"].to_numpy()), t["y"].to_numpy(), t["tid"].to_numpy()
-        vl, vid = np.stack(v["leaves"].to_numpy()), v["id"].to_numpy()
-        m, take = len(t), min(k, len(t))
-        earlier_first = np.arange(m - 1, -1, -1, dtype=np.int64)
-        ids, affs, tids, ys = [], [], [], []
-        for start in range(0, len(vl), 256):
-            part = vl[start : start + 256]
-            shared = np.zeros((len(part), m), dtype=np.int64)
-            for tree in range(tl.shape[1]):
-                shared += part[:, tree, None] == tl[None, :, tree]
-            top = np.argpartition(-(shared * m + earlier_first), take - 1, axis=1)[:, :take]
-            ids.append(np.repeat(vid[start : start + 256], take))
-            affs.append(np.take_along_axis(shared, top, 1).ravel())
-            tids.append(tid[top].ravel())
-            ys.append(ty[top].ravel())
-        return pd.DataFrame(
-            {"id": np.concatenate(ids), "affinity": np.concatenate(affs),
-             "tid": np.concatenate(tids), "y": np.concatenate(ys)}
-        )
-
-    id_type = val.schema[id_col].dataType.simpleString()
-    hits = (
-        left.groupBy("vb", "tb").cogroup(right.groupBy("vb", "tb"))
-        .applyInPandas(best, f"id {id_type}, affinity long, tid {id_type}, y double")
-    )
-    if t_blocks > 1:
-        nearest = Window.partitionBy("id").orderBy(F.desc("affinity"), "tid")
-        hits = hits.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k)
+    spark = val.sparkSession
+    def picked(df: DataFrame) -> DataFrame:
+        if trees is None:
+            return df
+        return df.withColumn("leaves", F.array(*[F.get("leaves", F.lit(t)) for t in trees]))
+
+    val, train = picked(val.select(F.col(id_col).alias("id"), "leaves")), picked(train.select(F.col(id_col).alias("tid"), F.col(y).cast("double").alias("y"), "leaves"))
+    (n_trees,) = train.agg(F.max(F.size("leaves"))).first()
+    out = "id {0}, affinity long, tid {1}, y double, candidates long".format(val.schema["id"].dataType.simpleString(), train.schema["tid"].dataType.simpleString())
+    if not n_trees:
+        return spark.createDataFrame([], out)
+    classes = materialise(train.select("leaves").distinct().withColumn("c", F.monotonically_increasing_id()))
+    rank = Window.partitionBy("leaves").orderBy("tid")
+    members = train.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
+    members = materialise(members.join(classes, "leaves").select("c", "tid", "y"))
+    postings = materialise(classes.select("c", F.posexplode("leaves").alias("tree", "leaf")))
+    sizes = postings.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
+    asked = val.select("leaves").distinct().withColumn("v", F.monotonically_increasing_id())
+    asked = materialise(asked)
+    looked = asked.select("v", F.posexplode("leaves").alias("tree", "leaf")).join(sizes, ["tree", "leaf"], "left")
+    looked = looked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "tree", "leaf"))).alias("rarest"))
+    looked = materialise(looked.join(asked, "v"))
+    # what shares no leaf can only be one of the k rows of smallest id
+    first = train.orderBy("tid").limit(k).join(classes, "leaves").select("c").distinct()
+
+    best = Window.partitionBy("v").orderBy(F.desc("affinity"), "tid")
+    todo, done, m = looked, None, min(n_trees, max(1, -(-n_trees // 4)))
+    while True:
+        lists = todo.select("v", F.explode(F.slice("rarest", 1, m)).alias("p")).select("v", "p.tree", "p.leaf")
+        met = lists.join(postings, ["tree", "leaf"]).select("v", "c")
+        if m == n_trees:
+            met = met.union(todo.select("v").join(F.broadcast(first)))
+        met = met.distinct().join(classes.withColumnRenamed("leaves", "_t"), "c").join(todo.select("v", "leaves"), "v")
+        same = F.aggregate(F.zip_with("leaves", "_t", lambda a, b: (a == b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        scored = materialise(met.select("v", "c", same.alias("affinity")))
+        compared = scored.groupBy("v").agg(F.count(F.lit(1)).alias("candidates"))
+        top = scored.join(members, "c").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+        top = materialise(top.select("v", "affinity", "tid", "y").join(compared, "v"))
+        if m == n_trees:
+            found = top
+        else:
+            settled = top.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("affinity").alias("least"))
+            settled = settled.where((F.col("n") == k) & (F.col("least") > n_trees - m)).select("v")
+            found = top.join(settled, "v", "left_semi")
+            todo = materialise(todo.join(settled, "v", "left_anti"))
+        done = found if done is None else done.union(found)
+        if m == n_trees or todo.isEmpty():
+            break
+        m = min(n_trees, 2 * m)
+    return val.join(asked, "leaves").select("id", "v").join(done, "v").select("id", "affinity", "tid", "y", "candidates")
+
+
+def topk_variance(
+    val: DataFrame, train: DataFrame, k: int, trees: Sequence[int] | None = None, id_col: str = "id", y: str = "y"
+) -> DataFrame:
+    """Mean and population variance of the target over the ``k`` most similar training rows (``nearest_by_leaves``),
+    ``weight``, their affinities added up, and ``candidates``, the classes of training rows that were compared."""
+    hits = nearest_by_leaves(val, train, k, trees, id_col, y)
     return hits.groupBy(F.col("id").alias(id_col)).agg(
-        F.avg("y").alias("mean"), F.var_pop("y").alias("variance"), F.sum("affinity").alias("weight")
+        F.avg("y").alias("mean"), F.var_pop("y").alias("variance"), F.sum("affinity").alias("weight"), F.max("candidates").alias("candidates")
     )

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.columns import log10_target, pow10
+from winnow.operators.boosting import PenalisedBoost
 from winnow.operators.metrics import score_models
 from winnow.session import materialise, small_side
 
@@ -261,7 +261,8 @@ def batch_predict(predict: Callable, features: Sequence[str], df: DataFrame) ->
 
 # fixed values: settings of the named models
 RF_TREES, RF_FEATURES = 100, "onethird"
-BOOST_ROUNDS, BOOST_STEP, BOOST_ROWS, BOOST_FEATURES = 1000, 0.25, 0.85, "0.3"
+BOOST_ROUNDS, BOOST_STEP = 1000, 0.25
+BOOST_SETTINGS = {"step": BOOST_STEP, "penalty": 0.01, "alpha": 0.1, "rows": 0.85, "columns": (0.3, 0.5), "parallel": 4}
 
 
 def rf(features, seed=0, y="y", trees=RF_TREES, depth=30, bootstrap=True):
@@ -271,13 +272,9 @@ def rf(features, seed=0, y="y", trees=RF_TREES, depth=30, bootstrap=True):
     )
 
 
-def xgb(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
-    """Boosted trees with row and column sampling (no penalty terms or parallel trees in MLlib)."""
-    return MlModel(
-        GBTRegressor(maxIter=rounds, stepSize=BOOST_STEP, subsamplingRate=BOOST_ROWS,
-                     featureSubsetStrategy=BOOST_FEATURES, maxDepth=depth, seed=seed),
-        tuple(features), y, MISSING,
-    )
+def xgb(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6, **settings):
+    """Boosted trees with penalties, row and column sampling and parallel trees."""
+    return PenalisedBoost(tuple(features), y, rounds=rounds, depth=depth, seed=seed, **(BOOST_SETTINGS | settings))
 
 
 def xgb_1tree(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
@@ -285,16 +282,13 @@ def xgb_1tree(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
     return MlModel(GBTRegressor(maxIter=rounds, stepSize=BOOST_STEP, maxDepth=depth, seed=seed), tuple(features), y, MISSING)
 
 
-def xgb_cla(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
-    return MlModel(
-        GBTClassifier(maxIter=rounds, stepSize=BOOST_STEP, subsamplingRate=BOOST_ROWS,
-                      featureSubsetStrategy=BOOST_FEATURES, maxDepth=depth, seed=seed),
-        tuple(features), y, MISSING,
-    )
+def xgb_cla(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6, **settings):
+    """The same for a target of 0 and 1; predicts the class."""
+    return PenalisedBoost(tuple(features), y, rounds=rounds, depth=depth, seed=seed, classify=True, **(BOOST_SETTINGS | settings))
 
 
-def xgb_bandgap(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6):
-    return TwoStage(xgb_cla(features, seed, "nonzero", rounds, depth), xgb(features, seed, y, rounds, depth), y)
+def xgb_bandgap(features, seed=0, y="y", rounds=BOOST_ROUNDS, depth=6, **settings):
+    return TwoStage(xgb_cla(features, seed, "nonzero", rounds, depth, **settings), xgb(features, seed, y, rounds, depth, **settings), y)
 
 
 def linear(features, seed=0, y="y"):
