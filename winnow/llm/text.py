@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: bytes of text handled at once inside a task
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C55  # odd, so invertible modulo 2^64
