@@ -70,6 +70,18 @@ def corr_spearman(spark, folder):
     return C.corr_pairs(order_features(spark, folder), ORDER_FEATURES, "spearman").withColumn("r", F.round("r", 6))
 
 
+def ranked_pair(a: str, b: str) -> str:
+    """Both columns ranked among the rows that have both."""
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / CAST(2 AS DOUBLE)".format
+    return f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(abs(corr(x, z)), 6) AS r
+FROM (SELECT {rank(a)} AS x, {rank(b)} AS z FROM ho WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
+@query(f"WITH {HOLED} " + " UNION ALL ".join(ranked_pair(a, b) for a, b in PAIRS))
+def corr_spearman_with_gaps(spark, folder):
+    return C.corr_pairs(holed(spark, folder), ORDER_FEATURES, "spearman").withColumn("r", F.round("r", 6))
+
+
 # least squares without one row, from sums about the means
 LOO = f"""WITH {F1}, z AS MATERIALIZED (SELECT count(*) AS n, avg(qty) AS mx, avg(y) AS my, var_pop(qty) * count(*) AS sxx,
   covar_pop(qty, y) * count(*) AS sxy FROM f1),

@@ -177,6 +177,47 @@ def test_grid(spark):
         R.run_criterion("nothing")
 
 
+def test_a_failing_run_ends_its_own_jobs_only(spark):
+    """Run 0 fails while a job of its own still runs; that job is cancelled, run 1's job goes on, run 2 does not begin."""
+    import threading
+    import time
+
+    from pyspark import inheritable_thread_target
+
+    seen, started = {}, []
+
+    def slow(seconds):
+        def wait(batches):
+            time.sleep(seconds)
+            yield from batches
+
+        return spark.range(1).mapInArrow(wait, "id long").count()
+
+    def aside():
+        try:
+            seen["aside"] = slow(60)
+        except Exception as err:  # noqa: BLE001
+            seen["aside"] = type(err).__name__
+
+    def start(number):
+        started.append(number)
+        if number == 0:
+            thread = threading.Thread(target=inheritable_thread_target(aside))
+            thread.start()
+            seen["thread"] = thread
+            time.sleep(3)
+            raise KeyError("run 0")
+        seen[number] = slow(8)
+
+    begin = time.time()
+    with pytest.raises(KeyError):
+        R.run_grid([{"number": i} for i in range(3)], start, parallel=2)
+    seen["thread"].join(30)
+    assert time.time() - begin < 40
+    assert seen["aside"] not in (None, 1) and seen[1] == 1 and sorted(started) == [0, 1]
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
 def test_missing_features_do_not_break_scores(data):
     pool, test = data
     holes = F.when(F.col("id") % 10 > 0, F.col("x"))

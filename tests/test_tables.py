@@ -141,6 +141,34 @@ def test_spearman(wide):
         assert abs(r["r"] - want.loc[r["col_a"], r["col_b"]]) < 1e-9
 
 
+def test_spearman_with_gaps(spark):
+    """Ties, columns with the same and with other gaps, a constant, an empty column, NaN as a gap; as many jobs for 4 columns as for 8."""
+    g = np.random.default_rng(6)
+    pdf = pd.DataFrame({c: g.normal(size=700) for c in "abcdefgh"})
+    pdf["b"] = (pdf["a"] + pdf["b"]).round(0)
+    pdf["c"] = g.integers(0, 3, 700).astype(float)
+    pdf["d"] = np.where(g.random(700) < 0.4, 1.0, pdf["d"])  # one value in four of ten rows
+    pdf["g"], pdf["h"] = 2.0, np.nan
+    pdf.loc[::3, ["a", "e"]] = np.nan
+    pdf.loc[1::4, "c"] = np.nan
+    pdf.loc[g.random(700) < 0.2, "f"] = np.nan
+    rows = [[float("nan") if pd.isna(v) and i % 2 else None if pd.isna(v) else float(v) for v in r] for i, r in enumerate(pdf.values)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pdf)).repartition(5)
+    want = pdf.corr("spearman").abs()
+    sc, used = spark.sparkContext, []
+    for i, cols in enumerate(("abcf", "abcdefgh")):
+        sc.setJobGroup(f"spearman-{i}", "")
+        got = {(r["col_a"], r["col_b"]): r["r"] for r in C.corr_pairs(df, list(cols), "spearman").collect()}
+        used.append(len(sc.statusTracker().getJobIdsForGroup(f"spearman-{i}")))
+        pairs = [(x, y) for x in cols for y in cols if x < y]
+        for x, y in pairs:
+            w, r = want.loc[x, y], got.get((x, y))
+            assert (r is None or math.isnan(r)) if math.isnan(w) else abs(r - w) < 1e-9, (x, y)
+        assert set(got) == set(pairs)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert used[1] <= used[0] + 2
+
+
 def test_drop_correlated_leaves_no_pair(wide):
     pdf, df = wide
     kept, dropped = C.drop_correlated(df, list("abcdek"), 0.6)

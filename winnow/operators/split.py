@@ -112,9 +112,14 @@ def kfold(df: DataFrame, k: int, seed: int, id_col: str = "id") -> DataFrame:
 
 
 def interval_number(key: Column, cuts: Sequence[str]) -> Column:
-    """How many of the ascending ``cuts`` lie below ``key``."""
-    over = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key) if cuts else F.array()
-    return F.size(over)
+    """How many of the ascending ``cuts`` lie below ``key``, by bisection: a few comparisons a row, however many cuts."""
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key > F.lit(cuts[mid]), between(mid + 1, high)).otherwise(between(low, mid))
+
+    return between(0, len(cuts))
 
 
 #: fixed values: training fractions of the random baseline

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, wait
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.operators.metrics import regression_scores, score_columns, stacked_predictions
@@ -110,12 +112,38 @@ def run_criterion(name: str, *args, **settings):
 
 
 def run_grid(runs: Sequence[Mapping], start: Callable, parallel: int = 2) -> list:
-    """Start independent runs side by side; Spark interleaves their jobs.
+    """Do independent runs side by side: ``start(**entry)`` for each entry of the short grid, results in its order.
 
-    ``runs`` is the short list of grid entries, ``start(**entry)`` does one run.
+    Every run has a job group and a scheduler pool of its own, which threads that it starts with
+    ``inheritable_thread_target`` share; with ``spark.scheduler.mode`` FAIR the pools take turns. When a run fails, the jobs
+    it left behind are cancelled, and only those; runs that go on finish, no new one begins, and the error is raised.
     """
     for entry in runs:
         if "criterion" in entry and entry["criterion"] not in CRITERIA:
             raise ValueError(f"unknown criterion: {entry['criterion']}")
+    sc, name = SparkSession.active().sparkContext, f"grid-{uuid.uuid4().hex}"
+    failed = threading.Event()
+
+    def one(number: int, entry: Mapping):
+        if failed.is_set():
+            return None
+        group = f"{name}-{number}"
+        sc.setJobGroup(group, f"run {number}: {dict(entry)}", interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", group)
+        try:
+            return start(**entry)
+        except BaseException:
+            failed.set()
+            sc.cancelJobGroup(group)
+            raise
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return list(pool.map(lambda entry: start(**entry), runs))
+        tasks = [pool.submit(inheritable_thread_target(one), i, entry) for i, entry in enumerate(runs)]
+        wait(tasks)
+    errors = [t.exception() for t in tasks if t.exception() is not None]
+    if errors:
+        raise errors[0]
+    return [t.result() for t in tasks]
