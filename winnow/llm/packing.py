@@ -156,11 +156,14 @@ class WordIds:
 
 
 def to_planes(ids: np.ndarray) -> bytes:
-    """Ids as four runs of bytes, the low bytes first: the high ones are mostly alike and cost little when compressed."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Ids as four runs of bytes, the low bytes first, compressed after their number: the high ones are mostly alike."""
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(ids).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def from_planes(planes: bytes) -> np.ndarray:
+def from_planes(packed: bytes) -> np.ndarray:
+    size = 4 * int.from_bytes(packed[:4], "little")
+    planes = pa.decompress(packed[4:], decompressed_size=size, codec="zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
@@ -280,7 +283,7 @@ class Packer:
         """What is left, some documents a batch, and a row of deficits."""
         def rows(items: list[tuple[int, Item]]) -> pa.RecordBatch:
             columns = {
-                "id": pa.array([x.doc for _, x in items], pa.int64()), "start": pa.array([x.start for _, x in items], pa.int64()), "doc_tokens": pa.array([x.total for _, x in items], pa.int64()),
+                "id": pa.array([x.doc for _, x in items], pa.int64()), "start": pa.array([x.start for _, x in items], pa.int64()), "doc_tokens": pa.array([x.total for _, x in items], pa.int64()), "length": pa.array([len(x.ids) for _, x in items], pa.int64()),
                 "queue": pa.array([q for q, _ in items], pa.int32()), "ids": pa.array([to_planes(x.ids) for _, x in items], pa.binary()), "member": pa.array([x.member for _, x in items], pa.int64()),
                 "weight": pa.array([x.weight for _, x in items], pa.float64()), "draw": pa.array([x.draw for _, x in items], pa.int64()),
             }
@@ -388,7 +391,7 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
         if everything:
             return out.withColumnRenamed("id", key)
         over = done.where("ids is not null")
-        sums = {r["queue"]: r["n"] for r in over.groupBy("queue").agg((F.sum(F.octet_length("ids")) / 4).cast("long").alias("n")).collect()}
+        sums = {r["queue"]: r["n"] for r in over.groupBy("queue").agg(F.sum("length").alias("n")).collect()}
         now = sum(sums.values())
         if not now:
             return out.withColumnRenamed("id", key)
