@@ -44,6 +44,27 @@ def _count_prefixes(keyed: DataFrame, digits: int, inside: Sequence[str]) -> dic
     return {r["p"]: r["count"] for r in scope.groupBy(F.substring("h", 1, digits).alias("p")).count().collect()}
 
 
+#: a bracket of this many standard deviations of a rank around its expected place
+_DEVIATIONS = 8.0
+
+
+def _hash_at(share: float) -> str:
+    """The hash below which ``share`` of all hashes lie, to 15 digits."""
+    return AFTER_ALL if share >= 1 else f"{int(max(share, 0.0) * 16**15):015x}"
+
+
+def _bracketed(keyed: DataFrame, k: int, total: int) -> str | None:
+    """The k-th of ``total`` hashes from one pass, which counts those below a bracket and brings those inside; None if it is not among them.
+
+    Hashes are uniform, so the k-th lies within a few deviations of k / total; the caller bounds how many that are.
+    """
+    spread = _DEVIATIONS * (k * (total - k) / total) ** 0.5 + 50
+    low, high = _hash_at((k - spread) / total), _hash_at((k + spread) / total)
+    inside = F.when((F.col("h") >= low) & (F.col("h") < high), F.col("h"))
+    below, found = keyed.where(F.col("h") < high).agg(F.count_if(F.col("h") < low), F.sort_array(F.collect_list(inside))).first()
+    return found[k - below - 1] if 0 < k - below <= len(found) else None
+
+
 def cuts_for(
     df: DataFrame, seed: int | str, sizes_of: Callable[[int], Sequence[int]], id_col: str = "id", total: int | None = None
 ) -> tuple[list[str], list[int]]:
@@ -63,6 +84,11 @@ def cuts_for(
     cuts: list[str | None] = ["" if k <= 0 else AFTER_ALL if k >= n else None for k in sizes]
     # open targets: index -> (prefix holding the cut, rank inside that prefix)
     targets = {i: ("", k) for i, k in enumerate(sizes) if cuts[i] is None}
+    if total is not None and len(targets) == 1 and SETTLE_HASHES < n and _DEVIATIONS * n**0.5 <= SETTLE_HASHES:
+        ((i, (_, k)),) = targets.items()
+        if (cut := _bracketed(keyed, k, n)) is not None:
+            cuts[i] = cut
+            return cuts, sizes
     while targets:
         ordered = sorted(counts)
         until = list(accumulate(counts[p] for p in ordered))

@@ -13,7 +13,7 @@ from winnow.operators.affinity import choose_trees, topk_variance, weighted_vari
 from winnow.operators.metrics import score_models
 from winnow.operators.rank import batch_rule, cuts_for, ensemble_interval, first_k, hash_key
 from winnow.operators.split import frac_sample, interval_number, quantile_seeds, seed_sample
-from winnow.session import hold, materialise
+from winnow.session import hold, materialise, observed
 from winnow.sources.state import NOT_CHOSEN, RunState, write_iteration
 
 ERR_DIGITS = 6
@@ -183,8 +183,8 @@ def grow_by_uncertainty(
             scores = score_models(test, fitted, y)
             batch = min(sizes[0], n - trained[r])
             if r + 1 < len(sizes) and batch > 0:
-                rated = materialise(uncertainty(fitted, rest, train, r).select(id_col, "err")).dropna(subset=["err"])
-                n_rated = rated.count()
+                rated, seen = observed(uncertainty(fitted, rest, train, r).select(id_col, "err").dropna(subset=["err"]), n=F.count(F.lit(1)))
+                n_rated = seen["n"]
                 chosen = rated.filter(first_k(rated, ["-err", id_col], batch, n_rated).column())
                 history.append(state.commit(r + 1, chosen, trained[r], min(batch, n_rated), scores))
             else:
@@ -237,6 +237,8 @@ def grow_by_error(
     val: DataFrame | str | None = None,
     run_dir: str | None = None,
     resume: bool = True,
+    curve_path: str | None = None,
+    run_id: str = "run",
     id_col: str = "id",
     y: str = "y",
 ) -> GrowResult:
@@ -245,20 +247,19 @@ def grow_by_error(
     Round r scores the test rows and all rows not chosen, and takes ``batch_sizes[r]``
     of a ``subsample`` drawn with seed r; entry 0 also sizes the start set. ``val`` is
     handed to models whose ``fit`` takes it (``"pool"``: the rows not chosen). Ends
-    when a batch would exceed the pool.
+    when a batch would exceed the pool. With ``curve_path`` each round's row of the test curve is written there under ``run_id``.
     """
     pick = batch_rule(criterion)
     n = pool.count()
     base = hold(pool, id_col, n)
     sizes = list(batch_sizes) if batch_sizes else [max(1, n // n_iter)] * (n_iter + 1)
     settings = {"model": model, "subsample": subsample, "batch": sizes[0], "criterion": criterion, "val": val if isinstance(val, str) else val is not None, "y": y}
-    state = RunState.open(pool, run_dir, id_col, resume, settings, {"pool": pool, "test": test})
+    state = RunState.open(pool, run_dir, id_col, resume, settings, {"pool": pool, "test": test} | ({"val": val} if isinstance(val, DataFrame) else {}))
     history = state.done() if resume else []
     test = test.withColumn("split", F.lit("test")).persist(StorageLevel.MEMORY_AND_DISK)
     if not history:
-        start = materialise(quantile_seeds(base, y, sizes[0], id_col).withColumn("err", F.lit(None).cast("double")))
-        n_start = start.count()
-        history = [state.commit(0, start, 0, n_start, None)]
+        start, seen = observed(quantile_seeds(base, y, sizes[0], id_col).withColumn("err", F.lit(None).cast("double")), n=F.count(F.lit(1)))
+        history = [state.commit(0, start, 0, seen["n"], None)]
     n_train = sum(max(h["n_chosen"], 0) for h in history)
     trained = [0]
     for h in history:
@@ -283,12 +284,16 @@ def grow_by_error(
                 chosen, n_chosen = base.select(id_col, F.lit(0.0).alias("err")).limit(0), NOT_CHOSEN
             else:
                 candidates = fitted.transform(frac_sample(rest, subsample, r, id_col))
-                rated = materialise(
-                    candidates.select(id_col, F.round(F.abs(F.col("prediction") - F.col(y)), ERR_DIGITS).alias("err"))
+                rated, seen = observed(
+                    candidates.select(id_col, F.round(F.abs(F.col("prediction") - F.col(y)), ERR_DIGITS).alias("err")), n=F.count("err")
                 )
-                n_chosen = min(sizes[r], rated.filter(F.col("err").isNotNull()).count())
+                n_chosen = min(sizes[r], seen["n"])
                 chosen = pick(rated, "err", n_chosen, id_col)
             state.commit(r + 1, chosen, n_train, n_chosen, scores)
+            if curve_path is not None:
+                size = pool.sparkSession.createDataFrame([(r, n_train)], "iter int, train_size long")
+                now = state.scores(r + 2).filter(F.col("iter") == r + 1).withColumn("iter", F.col("iter") - 1)
+                write_iteration(_curve(now, size, n, "test").drop("iter"), curve_path, run_id, r)
             n_train += max(n_chosen, 0)
             trained.append(n_train)
         finally:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from winnow.operators.metrics import prune_curve, score_columns, score_models
 from winnow.operators.rank import first_k, hash_cuts, hash_key, redundancy_ranking
 from winnow.operators.split import train_rows
-from winnow.session import hold, materialise
+from winnow.session import hold, observed
 from winnow.sources.state import RunState
 
 #: fixed values: iterations at most, and rows that must remain
@@ -135,15 +135,14 @@ def prune(
                 errors = second.transform(errors).withColumn("err2", error("prediction"))
                 is_small = is_small & (F.col("err2") < F.lit(threshold2))
                 keep, driving = [id_col, "err", "err2"], "err2"
-            errors = materialise(errors.select(*keep))
-            n_small = errors.filter(is_small).count()
-            choice, n_chosen = is_small, n_small
-            if n_small < min_drop:
-                choice = first_k(errors, [driving, id_col], min_drop).column()
+            errors, seen = observed(errors.select(*keep), n_small=F.count_if(is_small), n_err=F.count(driving))
+            choice, n_chosen = is_small, seen["n_small"]
+            if n_chosen < min_drop:
+                choice, n_chosen = first_k(errors, [driving, id_col], min_drop, seen["n_err"]).column(), min(min_drop, seen["n_err"])
             if drop_max_err:
-                choice = choice | first_k(errors, [f"-{driving}", id_col], drop_max_err).column()
+                choice = choice | first_k(errors, [f"-{driving}", id_col], drop_max_err, seen["n_err"]).column()
             chosen = errors.filter(choice).select(id_col, F.col(driving).alias("err"))
-            if n_small < min_drop or drop_max_err:
+            if drop_max_err:  # the two choices may overlap
                 n_chosen = chosen.count()
             # where no row has an error (a feature is missing everywhere) no iteration will choose any
             if n_chosen > n_remaining - min_remaining or (n_chosen == 0 and min_drop > 0):

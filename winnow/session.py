@@ -6,7 +6,7 @@ import math
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of the rows that the very same pass has seen, by name."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
+    return out, seen.get
+
+
 #: a table may be hinted for broadcast while rows times its row width stay below this
 BROADCAST_BYTES = 64 << 20
 
