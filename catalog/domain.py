@@ -9,6 +9,7 @@ from catalog.tables import (
 from winnow.functions.columns import wrap_unit_cell
 from winnow.operators import composition as C
 from winnow.operators import graph as G
+from winnow.operators.ternary import energy_above_hull_3
 
 FR = "fr AS MATERIALIZED (SELECT id, member, amount / sum(amount) OVER (PARTITION BY id) AS f FROM bag)"
 
@@ -111,6 +112,43 @@ def hull_binary(spark, folder):
     return out.select("id", "system", "x", F.round("e_hull", 4).alias("e_hull"), F.round("e_above_hull", 4).alias("e_above_hull"))
 
 
+# three-member orders: shares of the second and third member, in tenths
+SYS3 = f"""WITH {BAG_TYPE}, {FR}, {ENERGY},
+so AS MATERIALIZED (SELECT id, list(member ORDER BY member) AS m, list(f ORDER BY member) AS f FROM fr GROUP BY id HAVING count(*) IN (1, 3)),
+pt AS MATERIALIZED (SELECT id, array_to_string(m, '-') AS system, m, CAST(floor(f[2] * 10) AS BIGINT) AS x, CAST(floor(f[3] * 10) AS BIGINT) AS y, e FROM so JOIN energy USING (id) WHERE len(m) = 3),
+el AS MATERIALIZED (SELECT m[1] AS member, min(e) AS e FROM so JOIN energy USING (id) WHERE len(m) = 1 GROUP BY 1),
+sy AS (SELECT DISTINCT system, m FROM pt),
+al AS MATERIALIZED (SELECT system, x, y, min(e) AS e, row_number() OVER (PARTITION BY system ORDER BY x, y) AS k FROM (SELECT system, x, y, e FROM pt
+  UNION ALL SELECT system, 0, 0, e FROM sy JOIN el ON member = m[1] UNION ALL SELECT system, 10, 0, e FROM sy JOIN el ON member = m[2]
+  UNION ALL SELECT system, 0, 10, e FROM sy JOIN el ON member = m[3]) GROUP BY 1, 2, 3),
+tr AS MATERIALIZED (SELECT a.system, a.x AS xa, a.y AS ya, a.e AS ea, b.x AS xb, b.y AS yb, b.e AS eb, c.x AS xc, c.y AS yc, c.e AS ec,
+  (b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y) AS d FROM al a JOIN al b ON b.system = a.system AND b.k > a.k JOIN al c ON c.system = a.system AND c.k > b.k),
+ta AS (SELECT DISTINCT system, x, y FROM pt),
+sh AS (SELECT t.system, t.x, t.y, sign(d) * ((xb - t.x) * (yc - t.y) - (xc - t.x) * (yb - t.y)) AS da, sign(d) * ((xc - t.x) * (ya - t.y) - (xa - t.x) * (yc - t.y)) AS db,
+  sign(d) * ((xa - t.x) * (yb - t.y) - (xb - t.x) * (ya - t.y)) AS dc, abs(d) AS d, ea, eb, ec FROM ta t JOIN tr ON tr.system = t.system AND d <> 0),
+hu AS MATERIALIZED (SELECT system, x, y, min((da * ea + db * eb + dc * ec) / d) AS e_hull FROM sh WHERE da >= 0 AND db >= 0 AND dc >= 0 GROUP BY 1, 2, 3)"""
+
+
+def three_member_points(spark, folder):
+    shares = C.fractions(bag_by_type(spark, folder))
+    per_id = shares.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("member", "frac"))).alias("m")).join(order_energy(spark, folder), "id").persist()
+    three = per_id.filter(F.size("m") == 3).withColumn("system", F.array_join("m.member", "-"))
+    tenth = lambda i: F.floor(F.col("m")[i]["frac"] * 10) / 10
+    pts = three.select("id", "system", tenth(1).alias("x"), tenth(2).alias("y"), "e")
+    pure = per_id.filter(F.size("m") == 1).groupBy(F.col("m")[0]["member"].alias("member")).agg(F.min("e").alias("e"))
+    systems = three.select("system", F.col("m.member").alias("names")).distinct()
+    ends = systems.select("system", F.posexplode("names").alias("i", "member")).join(pure, "member")
+    return pts, ends.select("system", (F.col("i") == 1).cast("double").alias("x"), (F.col("i") == 2).cast("double").alias("y"), "e")
+
+
+@query(f"""{SYS3} SELECT id, pt.system, round(e_hull, 4) AS e_hull, round(greatest(e - e_hull, 0), 4) AS e_above_hull
+FROM pt JOIN hu ON hu.system = pt.system AND hu.x = pt.x AND hu.y = pt.y""")
+def hull_ternary(spark, folder):
+    pts, ends = three_member_points(spark, folder)
+    out = energy_above_hull_3(pts, ends)
+    return out.select("id", "system", F.round("e_hull", 4).alias("e_hull"), F.round("e_above_hull", 4).alias("e_above_hull"))
+
+
 @query(f"""{SYS}, s AS (SELECT id, sum(-f * ln(f)) AS s FROM fr GROUP BY id)
 SELECT id, round(above / (8.617333262e-5 * s) / 1000, 1) AS transition_t FROM ab JOIN s USING (id)""")
 def transition_score(spark, folder):
