@@ -184,6 +184,67 @@ def grown(result):
     return result.membership.select("id", "iter_added", F.round(F.col("err") / 1_000_000, 0).alias("err"))
 
 
+class FittedPair:
+    """Two fitted stumps as a forest: its trees and their mean."""
+
+    def __init__(self, trees):
+        self.trees = trees
+
+    def per_tree(self, df):
+        first, second = self.trees
+        both = second.transform(first.transform(df).withColumnRenamed("prediction", "_a"))
+        return both.select(*df.columns, F.array("_a", "prediction").alias("preds"))
+
+    def transform(self, df):
+        mean = (F.get("preds", F.lit(0)) + F.get("preds", F.lit(1))) / 2
+        return self.per_tree(df).withColumn("prediction", mean).drop("preds")
+
+
+class StumpPair:
+    """Trees of one split each, on the number of lines and on the quantity in fifties."""
+
+    def fit(self, df):
+        return FittedPair([M.rf([c], trees=1, bootstrap=False, **STUMP).fit(df) for c in ("n_lines", "fifties")])
+
+
+FIFTIES = "floor(qty / 50)"
+
+
+def with_fifties(df):
+    return df.withColumn("fifties", F.floor(F.col("qty") / 50).cast("double"))
+
+
+SPREAD = f"round(0.9 * abs(({value('{a}')}) - ({value('{b}', FIFTIES)})), 6)"
+
+
+@query(f"""{SPLIT}, {stump('m', 'tr')}, {stump('k', 'tr', x=FIFTIES)}, p AS (SELECT id, {value('m')} AS a, {value('k', FIFTIES)} AS b FROM te)
+SELECT id, round(least(a, b) + 0.05 * abs(a - b), 4) AS lower, round(greatest(a, b) - 0.05 * abs(a - b), 4) AS upper, round(0.9 * abs(a - b), 4) AS uncertainty FROM p""")
+def interval_of_two_trees(spark, folder):
+    rows = with_fifties(split_orders(spark, folder))
+    out = ensemble_interval(StumpPair().fit(rows.filter("split = 'train'")).per_tree(rows.filter("split = 'test'")))
+    return out.select("id", *[F.round(c, 4).alias(c) for c in ("lower", "upper", "uncertainty")])
+
+
+def grown_by_spread_sql(rounds: int = 3) -> str:
+    ctes = [POOL]
+    for i in range(rounds - 1):
+        ctes.append(f"tr{i} AS MATERIALIZED (SELECT * FROM pool WHERE id IN (SELECT id FROM mem{i}))")
+        ctes.append(f"rest{i} AS MATERIALIZED (SELECT * FROM pool WHERE id NOT IN (SELECT id FROM mem{i}))")
+        ctes += [stump(f"m{i}", f"tr{i}"), stump(f"k{i}", f"tr{i}", x=FIFTIES)]
+        spread = SPREAD.format(a=f"m{i}", b=f"k{i}")
+        ctes.append(f"""mem{i+1} AS MATERIALIZED (SELECT * FROM mem{i} UNION ALL (SELECT id, CAST({i+1} AS INTEGER) AS iter_added,
+  {spread} AS err FROM rest{i} ORDER BY 3 DESC, id LIMIT (SELECT s FROM k)))""")
+    return ",\n".join(ctes) + f"\nSELECT id, iter_added, round(err, 3) AS err FROM mem{rounds-1}"
+
+
+@query(grown_by_spread_sql())
+def grow_rf_uncertainty_two_trees(spark, folder):
+    """The rows go first on which two trees of different columns differ most."""
+    pool, test = split_pool(spark, folder)
+    result = G.grow_rf_uncertainty({"rf": StumpPair()}, with_fifties(pool), with_fifties(test), step_frac=0.05, max_rounds=3)
+    return result.membership.select("id", "iter_added", F.round("err", 3).alias("err"))
+
+
 @query(grown_sql("CAST(0 AS DOUBLE)", False))
 def grow_rf_uncertainty_one_tree(spark, folder):
     """One tree has no spread: the rows of smallest id are taken."""
