@@ -73,7 +73,7 @@ b AS MATERIALIZED (SELECT *, 0.5 + {value('m')} - y AS g, 1 AS h FROM tr), {pena
 SELECT split, count(*) AS n, {SCORES} FROM (SELECT *, 0.5 + {value('m')} + {value('k')} AS pred FROM te) GROUP BY split""")
 def scores_penalised_stump(spark, folder):
     """The named boosted regressor: two rounds of four parallel trees with both penalties."""
-    return rounded_scores(M.fit_scores(M.model_by_name("xgb", ["n_lines"], **UNDRAWN), split_orders(spark, folder)))
+    return rounded_scores(M.fit_scores(M.model_by_name("xgb", ["n_lines"], start=0.5, **UNDRAWN), split_orders(spark, folder)))
 
 
 RARE = "CASE WHEN qty > 130 AND avg_p_size > 20 THEN 1 ELSE 0 END"

@@ -64,7 +64,7 @@ def test_equals_plain_boosting(spark, classify):
     rows = [(i, *(None if np.isnan(v) and i % 2 else float(v) for v in r), float(t)) for i, (r, t) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows + [(999, 1.0, 1.0, 1.0, None)], "id long, a double, b double, c double, y double").repartition(3)
     p = {"alpha": 0.3, "penalty": 0.5, "least": 1.0, "step": 0.4}
-    model = B.PenalisedBoost(("a", "b", "c"), rounds=3, depth=2, step=0.4, penalty=0.5, alpha=0.3, parallel=2, rows=1.0, columns=(1.0, 1.0), classify=classify)
+    model = B.PenalisedBoost(("a", "b", "c"), rounds=3, depth=2, step=0.4, penalty=0.5, alpha=0.3, parallel=2, rows=1.0, columns=(1.0, 1.0), classify=classify, start=0.0 if classify else 0.5)
     out = model.fit(df).transform(df).orderBy("id").collect()
     want = boosted(x, y, 3, 2, classify, p)
     got = np.array([r["prediction"] for r in out[:-1]])
@@ -96,6 +96,9 @@ def test_constant_empty_and_missing(spark):
     df = spark.createDataFrame([(float(i), None, 3.0) for i in range(8)], "a double, b double, y double")
     fitted = M.model_by_name("xgb", ["a", "b"], rounds=4, rows=1.0, columns=(1.0, 1.0)).fit(df)
     got = {round(r["prediction"], 6) for r in fitted.transform(df).collect()}
+    assert got == {3.0}
+    low = M.model_by_name("xgb", ["a", "b"], rounds=4, rows=1.0, columns=(1.0, 1.0), start=0.5).fit(df)
+    got = {round(r["prediction"], 6) for r in low.transform(df).collect()}
     assert len(got) == 1 and 0.5 < got.pop() < 3.0
     empty = M.model_by_name("xgb", ["a", "b"], rounds=4).fit(df.where("false"))
-    assert {r["prediction"] for r in empty.transform(df).collect()} == {0.5}
+    assert {r["prediction"] for r in empty.transform(df).collect()} == {0.0}

@@ -47,11 +47,12 @@ def with_leaf_sums(df: DataFrame, train: DataFrame, y: str, trees: Sequence[int]
         table: dict[int, list] = {t: [None] * (high - low + 1) for t, (low, high) in spans.items()}
         for r in sums.collect():
             table[r["tree"]][r["leaf"] - spans[r["tree"]][0]] = (r["n"], r["s"], r["ss"])
-        rows = [([table.get(t, []) for t in picked], [spans[t][0] if t in spans else 0 for t in picked], picked)]
-        one = df.sparkSession.createDataFrame(rows, "_table array<array<struct<n:double,s:double,ss:double>>>, _low array<int>, _trees array<int>")
+        rows = [(0, [table.get(t, []) for t in picked], [spans[t][0] if t in spans else 0 for t in picked], picked)]
+        one = df.sparkSession.createDataFrame(rows, "_one long, _table array<array<struct<n:double,s:double,ss:double>>>, _low array<int>, _trees array<int>")
         place = F.sequence(F.lit(0), F.lit(len(picked) - 1)) if picked else F.array().cast("array<int>")
         stats = F.transform(place, lambda i: F.get(F.get("_table", i), F.get("leaves", F.get("_trees", i)) - F.get("_low", i)))
-        return df.join(F.broadcast(one)).select(*df.columns, stats.alias("stats"))
+        # every row has the key 0, so a hash table of one row serves all
+        return df.withColumn("_one", F.pmod(F.xxhash64("leaves"), F.lit(1))).join(F.broadcast(one), "_one").select(*df.columns, stats.alias("stats"))
     keyed = df.withColumn("_row", F.monotonically_increasing_id())
     keyed = materialise(keyed)
     places = F.posexplode(F.transform(F.array(*[F.lit(t) for t in picked]), lambda t: F.get("leaves", t)))

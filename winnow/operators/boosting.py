@@ -148,7 +148,7 @@ class PenalisedBoost:
     the share of rows drawn for a tree, ``columns`` the shares of features drawn for a tree and then for a level. Null and NaN
     features are missing and go to the side where they gain more. Features are cut at ``bins`` quantiles, so with fewer different values
     every split is tried. Rows without a target take no part; a row's draw depends on its features and target, so equal
-    rows share it. Levels without any split end a round early.
+    rows share it. Levels without any split end a round early. Margins begin at ``start``, by default the mean target, or 0 for a classifier.
     """
 
     features: tuple[str, ...]
@@ -165,6 +165,7 @@ class PenalisedBoost:
     bins: int = 256
     classify: bool = False
     seed: int = 0
+    start: float | None = None
 
     def _draw(self, tree: int, level: int) -> list[int]:
         """Features offered to a tree at a level: a hashed order, cut twice; at least one."""
@@ -185,7 +186,9 @@ class PenalisedBoost:
         target = F.nanvl(F.col(self.y).cast("double"), F.lit(None))
         rows = df.select(*[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(n) for f, n in zip(self.features, names)], target.alias("_y")).where("_y is not null")
         rows = rows.withColumn("_draw", F.xxhash64(F.lit(self.seed), *names, "_y"))
-        base = 0.0 if self.classify else 0.5
+        base = self.start
+        if base is None:
+            base = 0.0 if self.classify else rows.agg(F.avg("_y")).first()[0] or 0.0
         rows = materialise(rows.withColumn("_margin", F.lit(base)))
         cuts, trees, done = self._cuts(rows), [], 0
         for number in range(self.rounds):
