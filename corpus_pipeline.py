@@ -15,30 +15,33 @@ from winnow.llm.queries import word_bpe
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Rows that score at least ``quality.CUT``; null and empty texts score the share of good labels."""
+    """Rows that score at least ``quality.CUT``; null and empty texts score the share of good labels. Repeated rows share their fate."""
     rows = quality.labelled(docs, table(spark, folder, "labels"), F.lit(True), "doc_id", "text", "quality", quality.FIT_ROWS)
     scored = quality.score(docs.select(F.struct("*").alias("row"), "text"), quality.fit(rows), keep=("row",))
     return scored.where(F.col("score") >= quality.CUT).select("row.*")
 
 
 def line_spread(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All rows; lines that stand on many sites are kept where they stand first, ``n_chars`` follows the text."""
+    """All rows; lines that stand on many sites are kept where they stand first, ``n_chars`` follows the text. Null texts stay null; a null
+    source is a site, a null id comes last; repeated rows keep the same lines."""
     cut = line_dedup.remove_boilerplate(docs)
     return cut.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The row of smallest id of every group linked by five-word shingles at a similarity of 0.8."""
+    """The row of smallest id of every group linked by five-word shingles at a similarity of 0.8. Null and empty texts are linked with
+    nothing and stay, as do rows without an id; rows of one id stay or go together."""
     return jaccard_join.first_of_each_group(docs, k=5, percent=80)
 
 
 def containment_search(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Rows without any benchmark item, at a containment of 0.8 of its five-word shingles."""
+    """Rows without any benchmark item, at a containment of 0.8 of its five-word shingles. Null and empty texts hold none and stay;
+    a row is judged by its own text, so repeated rows share their fate."""
     return decontaminate.clean_of(docs, table(spark, folder, "benchmark"))
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, mixed like the corpus left."""
+    """Pieces of sequences of 4096 tokens, mixed like the corpus left. A null or empty text is its end id alone, repeated rows are packed each."""
     return packing.pack(docs, word_bpe)
 
 
