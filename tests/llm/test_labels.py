@@ -39,6 +39,43 @@ def test_language_by_hand(spark):
         assert math.isclose(got[i]["score"], 1 / np.exp(total - total.max()).sum(), rel_tol=1e-9)
 
 
+def plain_grams(text, buckets):
+    """Buckets of all character 1-, 2- and 3-grams that hold a letter, one at a time."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    out = []
+    for k in (1, 2, 3):
+        for i in range(len(letters) - k + 1):
+            gram = letters[i : i + k]
+            if gram.strip(" "):
+                h = k * 0x1000193
+                for c in gram:
+                    h = (h ^ ord(c)) * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                out.append((h * 0x9E3779B1 % 2**32) >> (33 - buckets.bit_length()))
+    return out
+
+
+def test_language_model_from_plain_counts(spark):
+    texts = [(t, la) for _, t, la, _ in corpus(5) if t is not None and la is not None and len(t) < 5000] + [("Zażółć gęślą jaźń", "pl"), ("ΑΣ 中文 x", "pl")]
+    docs = frame(spark, [(i, t, la, "s") for i, (t, la) in enumerate(texts)])
+    model = langid.fit(docs, buckets=512)
+    langs = sorted({la for _, la in texts})
+    counts = {la: [langid.ALPHA] * 512 for la in langs}
+    for t, la in texts:
+        for b in plain_grams(t, 512):
+            counts[la][b] += 1
+    assert model.langs == langs
+    for i, la in enumerate(langs):
+        assert np.allclose(model.logp[i], np.log(np.array(counts[la]) / sum(counts[la])))
+        assert math.isclose(model.prior[i], math.log(sum(x == la for _, x in texts) / len(texts)))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for i, (t, _) in enumerate(texts):
+        total = [model.prior[j] + sum(model.logp[j][b] for b in plain_grams(t, 512)) for j in range(len(langs))]
+        if any(c.isalpha() for c in t):
+            assert got[i]["lang_pred"] == langs[int(np.argmax(total))]
+            assert math.isclose(got[i]["score"], 1 / sum(math.exp(x - max(total)) for x in total), rel_tol=1e-6)
+
+
 def test_language_awkward(spark):
     docs = frame(spark, corpus())
     found = langid.predict(docs, langid.fit(docs)).collect()

@@ -84,3 +84,27 @@ def test_packing(stages):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected = [(i, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], np.uint32)) for i, t in pairs(docs)]
     check(pieces.collect(), expected, 4096)
+
+
+def test_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, empties, repeated rows and clashing columns pass every stage; an empty table gives no piece."""
+    from tests.llm.messy import corpus, frame
+
+    for name, rows in (("awkward", corpus(7)), ("empty", [])):
+        folder = str(tmp_path / name)
+        for other in ("labels", "benchmark"):
+            table(spark, SMALL, other).write.parquet(f"{folder}/{other}.parquet")
+        frame(spark, rows or corpus(7)).where("true" if rows else "false").write.parquet(f"{folder}/documents.parquet")
+        docs = table(spark, folder, "documents")
+        for stage, fn in corpus_pipeline.STAGES[:-1]:
+            after = written(fn(spark, docs, folder), "test")
+            assert after.columns == docs.columns and after.count() <= docs.count(), stage
+            docs = after
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+        assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in docs.collect()}
+        assert sum(p["start"] == 0 for p in pieces) >= docs.count()
+        if rows:
+            kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert docs.count() > 0 and None in kept
+        else:
+            assert pieces == []
