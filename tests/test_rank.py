@@ -87,3 +87,14 @@ def test_ranking_is_a_permutation_kept_first(spark):
 def test_unknown_criterion():
     with pytest.raises(ValueError):
         R.batch_rule("middle_err")
+
+
+@pytest.mark.parametrize("k", [1, 777, 25_000, 49_999])
+def test_one_pass_cut_of_a_large_draw(spark, k):
+    """A single cut of a table of known size is read from a bracket of hashes, and is that of the sorted hashes."""
+    df = spark.range(50_000).repartition(7)
+    hashes = sorted(hashlib.md5(f"3:{i}".encode()).hexdigest() for i in range(50_000))
+    keyed = df.select(R.hash_key(3).alias("h"))
+    assert R._bracketed(keyed, k, 50_000) == hashes[k - 1]
+    assert R.hash_cuts(df, 3, [k], "id", 50_000) == R.hash_cuts(df, 3, [k], "id") == [hashes[k - 1]]
+    assert R._bracketed(keyed.where(F.col("h") > "8"), k, 50_000) in (None, *hashes)
