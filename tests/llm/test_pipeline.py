@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force on a small table."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -108,3 +109,40 @@ def test_awkward_and_empty_tables(spark, tmp_path):
             assert docs.count() > 0 and None in kept
         else:
             assert pieces == []
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """What a stage writes meets bounded batches, however long its texts are; the session's setting stays."""
+    from winnow.llm import frames
+
+    setting = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"])
+
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    found = written(texts.mapInArrow(sizes, "bytes long, rows long"), "test").collect()
+    assert sum(r["rows"] for r in found) == 400
+    assert max(r["bytes"] for r in found) < 2 * frames.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == setting
+
+
+def test_quality_sends_the_text_alone(spark):
+    """One column of a row goes to Python, and rows with columns named like the stage's own come back as they were."""
+    rows = table(spark, SMALL, "documents").withColumn("score", F.lit(0.0)).withColumn("row", F.col("doc_id"))
+    kept = corpus_pipeline.quality_classifier(spark, rows, SMALL)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert kept.columns == rows.columns
+    assert kept.exceptAll(rows).isEmpty() and not kept.isEmpty()
+
+
+def test_packing_makes_its_small_tables_without_python_rows(spark, monkeypatch):
+    """A table from a list of rows passes through a second set of Python workers, which keep their memory beside the first."""
+    made = []
+    own = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: made.append(data) or own(self, data, *a, **b))
+    docs = table(spark, SMALL, "documents").limit(50)
+    a = corpus_pipeline.packing.pack(docs, corpus_pipeline.word_bpe, targets={"web": 0.5, "code": 0.5}).count()
+    assert a > 0 and len(made) == 2 and all(isinstance(x, pa.Table) for x in made)

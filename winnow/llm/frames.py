@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,28 @@ from winnow.session import checkpoint_dir
 
 #: a side may be broadcast when rows times its row width stay below this
 BROADCAST_BYTES = 64 << 20
+#: bytes of an Arrow batch between the JVM and a Python worker; each holds one or more copies of it per task
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of about ``BATCH_BYTES``, unless the session names a limit; else 10,000 texts, however long, go to a worker at once."""
+    ours = spark.conf.get(_BATCH, None) is None
+    if ours:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if ours:
+            spark.conf.unset(_BATCH)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it from there.
 
@@ -25,7 +43,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "snappy").parquet(path)
     return spark.read.parquet(path)
 
 

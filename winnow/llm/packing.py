@@ -344,7 +344,7 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
     if targets is None:
         sizes = sizes.withColumn("weight", F.col("tokens").cast("double"))
     else:
-        wish = spark.createDataFrame([(s, float(x)) for s, x in targets.items()], "wish string, weight double")
+        wish = spark.createDataFrame(pa.table({"wish": pa.array(targets.keys(), pa.string()), "weight": pa.array(map(float, targets.values()), pa.float64())}))
         sizes = sizes.join(wish, F.col("source").eqNullSafe(F.col("wish")), "left").select("source", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     kinds, left, weights = sizes.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     # queue 0 is that of all small sources; the others are at most 1 / LEAST_SHARE
@@ -354,7 +354,8 @@ def pack(docs: DataFrame, encoder: Callable[[], object], key: str = "doc_id", te
     shares = {0: max(0.0, 1.0 - sum(r["weight"] for r in own) / total) if own else 1.0} | {i: r["weight"] / total for i, r in enumerate(own, 1)}
     if shares[0] < 1e-9:
         shares[0] = 0.0
-    numbered = spark.createDataFrame([(r["source"], i) for i, r in enumerate(own, 1)], "named string, queue int")
+    # as Arrow tables: from a list of rows they would pass through Python workers of another kind, which stay beside the others
+    numbered = spark.createDataFrame(pa.table({"named": pa.array([r["source"] for r in own], pa.string()), "queue": pa.array(range(1, len(own) + 1), pa.int32())}))
     known = sizes.join(F.broadcast(numbered), F.col("source").eqNullSafe(F.col("named")), "left")
     known = written(known.select(F.col("source").alias("known"), F.xxhash64("source").alias("member"), F.coalesce("queue", F.lit(0)).alias("queue"), "weight"), "weights")
     rest = rows.join(small_side(known, kinds, 100), F.col("source").eqNullSafe(F.col("known")))

@@ -9,13 +9,13 @@ weights that rise with similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm.text import Chunk, chunks, codepoints, letters, word_hashes, words
@@ -144,16 +144,21 @@ def fit(rows: DataFrame, buckets: int = BUCKETS, dimensions: int = DIMENSIONS) -
     return Model(idf, directions, project(counts, idf, directions), y, float(y.mean()))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of every whole text; null and empty texts get the prior share of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text).alias("_text"))
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """Makes a column of texts one of scores (0 to 1); null and empty texts get the prior share of label 1.
+
+    Only the text goes to Python and only the score comes back, so that the other columns of a row stay in the JVM.
+    """
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for chunk in chunks(batches, "_text"):
-            latent = project(term_counts(chunk, len(m.idf) - REPEATS), m.idf, m.directions)
-            yield pa.RecordBatch.from_arrays([*(chunk.rows.column(c) for c in keep), pa.array(vote(latent, m))], [*keep, "score"])
+        for chunk in chunks(pa.RecordBatch.from_arrays([t], ["text"]) for t in texts):
+            yield pa.array(vote(project(term_counts(chunk, len(m.idf) - REPEATS), m.idf, m.directions), m))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema] + ["score double"])
-    return source.mapInArrow(run, schema)
+    return F.arrow_udf(run, "double")
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``score`` of :func:`scorer` of every whole text."""
+    return docs.select(*keep, scorer(docs.sparkSession, model)(F.col(text)).alias("score"))
