@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.session import small_side
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -24,9 +26,12 @@ def order_features(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
     part = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
+    sent = small_side(part, 48)
+    joined = lines.join(sent, lines.l_partkey == part.p_partkey)
+    if sent is part:  # lines dealt by part are of other orders each: as rows they take less room than as sums
+        joined = joined.repartition("l_orderkey")
     return (
-        lines.join(part, lines.l_partkey == part.p_partkey)
-        .groupBy(F.col("l_orderkey").alias("id"))
+        joined.groupBy(F.col("l_orderkey").alias("id"))
         .agg(
             F.count(F.lit(1)).cast("double").alias("n_lines"),
             F.round(F.sum("l_quantity"), 2).alias("qty"),

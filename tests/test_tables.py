@@ -68,6 +68,72 @@ def test_topk_affinity_ends_early(spark):
     assert A.nearest_by_leaves(v, t.where("false"), 10).count() == 0
 
 
+def test_topk_affinity_compares_few(spark):
+    """Each choice of blanks brings k classes at most, however many share a leaf, with as many classes as rows."""
+    g = np.random.default_rng(4)
+    train = [(i, [int(v) for v in leaves], float(i)) for i, leaves in enumerate(np.unique(g.integers(0, 5, (4000, 6)), axis=0))]
+    val = [(10_000 + i, [int(v) for v in g.integers(0, 5, 6)]) for i in range(30)]
+    v, t = spark.createDataFrame(val, "id long, leaves array<int>"), spark.createDataFrame(train, "id long, leaves array<int>, y double")
+    got = {}
+    for r in A.nearest_by_leaves(v, t, 8).collect():
+        got.setdefault(r["id"], []).append((-r["affinity"], r["tid"], r["y"]))
+        assert r["candidates"] <= 8 * (1 + 6 + 15)
+    for i, leaves in val:
+        assert sorted(got[i]) == sorted((-sum(a == b for a, b in zip(leaves, tl)), j, y) for j, tl, y in train)[:8]
+
+
+@pytest.mark.parametrize("n_trees", [4, 12])
+@pytest.mark.parametrize("k", [6, 400])
+def test_topk_affinity_with_gaps(spark, n_trees, k):
+    """More trees than are searched by level; rows without a leaf, without leaves, without a target; ids that come twice."""
+    g = np.random.default_rng(n_trees)
+    drawn = lambda n, some: [[None if g.random() < 0.02 else int(x) for x in g.integers(0, some, n_trees)] for _ in range(n)]
+    val = [(i // 2, leaves) for i, leaves in enumerate(drawn(40, 4) + [[9] * n_trees, [9] * n_trees])]
+    train = [(500 + i, leaves, None if i % 9 == 0 else float(g.normal())) for i, leaves in enumerate(drawn(250, 4) + 5 * drawn(1, 2))]
+    v = spark.createDataFrame(val + [(99, None)], "id long, leaves array<int>").repartition(3)
+    t = spark.createDataFrame(train + [(1, None, 0.0)], "id long, leaves array<int>, y double").repartition(3)
+    got, want = {}, {}
+    for r in A.nearest_by_leaves(v, t, k).collect():
+        got.setdefault(r["id"], []).append((r["affinity"] is None, -(r["affinity"] or 0), r["tid"], str(r["y"])))
+    for i, leaves in val:
+        lacks = lambda tl: None in leaves + tl
+        want.setdefault(i, []).extend(sorted((lacks(tl), 0 if lacks(tl) else -sum(a == b for a, b in zip(leaves, tl)), j, str(y)) for j, tl, y in train)[:k])
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_order_features_with_parts_sent_or_dealt(spark, tmp_path, monkeypatch, sent):
+    """A part table of few bytes goes to every task, lines stay where they are; both ways the same rows."""
+    from catalog.tables import order_features
+    from winnow import session
+
+    lines = [(i % 37, i % 11 if i % 13 else None, float(i % 50), float(i), 0.01 * (i % 10) if i % 7 else None, 0.02) for i in range(400)]
+    parts = [(i, i + 1, 900.0 + i) for i in range(9)] + [(3, 50, 1000.0), (None, 1, 1.0)]
+    columns = "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if not sent:
+            monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+        df = order_features(spark, str(tmp_path))
+        got = {r["id"]: r for r in df.collect()}
+        assert ("BroadcastHashJoin" in df._jdf.queryExecution().toString()) == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    size = {}
+    for key, s, _ in parts:
+        size.setdefault(key, []).append(s)
+    want = {}
+    for o, key, q, *_ in lines:
+        want.setdefault(o, []).extend((s, q) for s in size.get(key, []) if key is not None)
+    want = {o: x for o, x in want.items() if x}
+    assert set(got) == set(want)
+    for o, x in want.items():
+        assert got[o]["n_lines"] == len(x) and got[o]["qty"] == sum(q for _, q in x) and math.isclose(got[o]["avg_p_size"], np.mean([s for s, _ in x]), abs_tol=1e-6)
+
+
 def fit(x, y):
     slope = np.cov(x, y, bias=True)[0, 1] / np.var(x)
     return slope, y.mean() - slope * x.mean()

@@ -3,10 +3,13 @@ the target over a row's most similar training rows."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.session import materialise
@@ -85,16 +88,119 @@ def weighted_variance(
     )
 
 
+#: keys of a row at one level of blanks hold at most this many leaves in all; up to 8 trees are searched level by level to the end
+KEY_LEAVES = 600
+
+
+def _classes(train: DataFrame, k: int) -> DataFrame:
+    """``c``, ``leaves``, ``rows``: rows alike in all leaves, of which the ``k`` of smallest ``tid`` matter, in that order."""
+    rank = Window.partitionBy("leaves").orderBy("tid")
+    members = train.where(F.col("leaves").isNotNull()).withColumn("place", F.row_number().over(rank)).where(F.col("place") <= k)
+    rows = members.groupBy("leaves").agg(F.sort_array(F.collect_list(F.struct("place", "tid", "y"))).alias("rows"))
+    rows = rows.withColumn("c", F.monotonically_increasing_id())
+    # in the order of these structs rows of equal tid have one order everywhere
+    return materialise(rows.select("c", "leaves", F.transform("rows", lambda e: F.struct(e["tid"], F.col("c"), e["place"], e["y"])).alias("rows")))
+
+
+def _keyed(n_trees: int, blanks: int) -> Column:
+    """The row's leaves with every choice of ``blanks`` of them set to null."""
+    places = F.array(*[F.array(*[F.lit(t) for t in chosen]).cast("array<int>") for chosen in itertools.combinations(range(n_trees), blanks)])
+    return F.explode(F.transform(places, lambda chosen: F.transform("leaves", lambda leaf, t: F.when(~F.array_contains(chosen, t), leaf)))).alias("key")
+
+
+def _first_alike(todo: DataFrame, classes: DataFrame, k: int, n_trees: int, blanks: int) -> DataFrame:
+    """``v`` and ``e``: training rows with as many equal leaves as there are places without a blank, or more, each row at least once.
+
+    All rows with more equal leaves are there if they are fewer than ``k``, and of those with exactly as many the
+    first in order that can be among the k best: a row has one key in common with them, and under that key it
+    stands behind fewer than k others, so k rows of each key are enough.
+    """
+    if not blanks:
+        return todo.join(classes.select("leaves", "rows"), "leaves").select("v", F.explode("rows").alias("e"))
+    asked = materialise(todo.select("v", _keyed(n_trees, blanks)))
+    posted = classes.select("c", _keyed(n_trees, blanks), F.get("rows", F.lit(0)).alias("head"), F.element_at("rows", -1).alias("tail"), F.size("rows").alias("n"))
+    posted = posted.join(asked.select("key").distinct(), "key", "left_semi")
+    # behind k heads no class has a row among the first k; nor has one behind the first tails that make up k rows
+    posted = posted.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("head"))).where(F.col("_r") <= k)
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy("tail").rowsBetween(Window.unboundedPreceding, 0))
+    posted = posted.withColumn("_upto", upto)
+    last = F.min(F.when(F.col("_upto") >= k, F.col("tail"))).over(Window.partitionBy("key"))
+    posted = posted.select("key", "c", last.alias("last")).join(classes.select("c", "rows"), "c")
+    rows = F.filter("rows", lambda e: F.col("last").isNull() | (e <= F.col("last")))
+    lists = posted.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list(rows))), 1, k).alias("rows"))
+    lists = materialise(lists)
+    # a full list bounds what its row needs of the others
+    full = lists.where(F.size("rows") == k).select("key", F.element_at("rows", -1).alias("last"))
+    bound = asked.join(full, "key").groupBy("v").agg(F.min("last").alias("last"))
+    met = asked.join(bound, "v", "left").join(lists, "key")
+    return met.select("v", F.explode(rows).alias("e"))
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each ``v``, with ``n``, the rows it has met, and ``candidates``, the classes these are of."""
+    once = met.repartition("v").groupBy("v", "c", "place").agg(F.max("affinity").alias("affinity"), F.first("tid").alias("tid"), F.first("y").alias("y"))
+    own = Window.partitionBy("v")
+    ranked = once.withColumns({
+        "_r": F.row_number().over(own.orderBy(F.desc("affinity"), "tid", "c", "place")),
+        "n": F.count(F.lit(1)).over(own),
+        # a class is met from its first row on
+        "candidates": F.sum((F.col("place") == 1).cast("long")).over(own),
+    })
+    return ranked.where(F.col("_r") <= k).select("v", "affinity", "tid", "c", "place", "y", "n", "candidates")
+
+
+def _met(rows: DataFrame, affinity: Column) -> DataFrame:
+    return rows.select("v", affinity.cast("long").alias("affinity"), "e.tid", "e.c", "e.place", "e.y")
+
+
+def _first(classes: DataFrame, k: int) -> DataFrame:
+    """``e``: the ``k`` rows of smallest ``tid``."""
+    return F.broadcast(classes.select(F.explode("rows").alias("e")).orderBy("e").limit(k))
+
+
+def _by_postings(todo: DataFrame, classes: DataFrame, k: int, n_trees: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """The k best of the rows that share a leaf, the rows met by those that have met fewer, and the ``todo`` of these.
+
+    A class looks its leaves up in postings, those with the fewest classes first. After its m rarest leaves, a row not
+    met yet shares at most trees - m leaves, so the search ends where the k-th best is above that; only what is still
+    open goes on to more leaves. A leaf that holds a third of all rows is looked up last, mostly never.
+    """
+    postings = materialise(classes.select("c", F.posexplode("leaves").alias("tree", "leaf")))
+    sizes = postings.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
+    looked = todo.select("v", F.posexplode("leaves").alias("tree", "leaf")).join(sizes, ["tree", "leaf"], "left")
+    looked = looked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "tree", "leaf"))).alias("rarest"))
+    todo = materialise(looked.join(todo.select("v", "leaves"), "v"))
+    own, found, m = Window.partitionBy("v"), [], min(n_trees, max(1, -(-n_trees // 4)))
+    heads = classes.select("c", F.col("leaves").alias("_t"), F.get("rows", F.lit(0)).alias("head"))
+    while True:
+        lists = todo.select("v", F.explode(F.slice("rarest", 1, m)).alias("p")).select("v", "p.tree", "p.leaf")
+        met = lists.join(postings, ["tree", "leaf"]).select("v", "c").distinct()
+        same = F.aggregate(F.zip_with("leaves", "_t", lambda a, b: (a == b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        scored = met.join(heads, "c").join(todo.select("v", "leaves"), "v").select("v", "c", same.alias("affinity"), "head")
+        # behind k classes no class has a row among the k best
+        near = scored.withColumns({"_r": F.row_number().over(own.orderBy(F.desc("affinity"), "head")), "candidates": F.count(F.lit(1)).over(own)})
+        near = near.where(F.col("_r") <= k).join(classes.select("c", "rows"), "c").select("v", "affinity", "candidates", F.explode("rows").alias("e"))
+        top = near.withColumns({"_r": F.row_number().over(own.orderBy(F.desc("affinity"), "e")), "n": F.count(F.lit(1)).over(own)})
+        top = materialise(top.where(F.col("_r") <= k).select("v", "affinity", "e.tid", "e.c", "e.place", "e.y", "n", "candidates"))
+        settled = top.where(F.col("n") >= k).groupBy("v").agg(F.min("affinity").alias("least")).where(F.col("least") > n_trees - m).select("v")
+        found.append(top.join(settled, "v", "left_semi"))
+        todo = materialise(todo.join(settled, "v", "left_anti"))
+        if m == n_trees or todo.isEmpty():
+            return found, top.where(F.col("n") < k).select("v", "affinity", "tid", "c", "place", "y"), todo
+        m = min(n_trees, 2 * m)
+
+
 def nearest_by_leaves(
     val: DataFrame, train: DataFrame, k: int, trees: Sequence[int] | None = None, id_col: str = "id", y: str = "y"
 ) -> DataFrame:
     """The ``k`` training rows that share the most leaves with each validation row, ties to the smaller training id.
 
     Columns: id, affinity, tid, y, candidates (classes of training rows compared with the row). Rows alike in all
-    leaves are one class on either side, of which the k rows of smallest id matter. A class looks its leaves up in
-    postings, those with the fewest classes first. After its m rarest leaves, a row not met yet shares at most
-    trees - m leaves, so the search ends where the k-th best is above that; only what is still open goes on to
-    more leaves. A leaf that holds a third of all rows is looked up last, mostly never.
+    leaves are one class on either side, of which the k rows of smallest id matter. The search goes level by level:
+    rows alike in all leaves, then in all but one, and so on, until k are found (``_first_alike``), and no level forms
+    pairs of rows beyond k for each choice of blanks. Where many trees make too many choices (``KEY_LEAVES``), the
+    classes still open look their leaves up in postings (``_by_postings``). What shares no leaf comes by id after
+    these. Where either row lacks a leaf the affinity is null, which comes last.
     """
     spark = val.sparkSession
     def picked(df: DataFrame) -> DataFrame:
@@ -103,49 +209,33 @@ def nearest_by_leaves(
         return df.withColumn("leaves", F.array(*[F.get("leaves", F.lit(t)) for t in trees]))
 
     val, train = picked(val.select(F.col(id_col).alias("id"), "leaves")), picked(train.select(F.col(id_col).alias("tid"), F.col(y).cast("double").alias("y"), "leaves"))
-    (n_trees,) = train.agg(F.max(F.size("leaves"))).first()
+    classes = _classes(train, k)
+    (n_trees,) = classes.agg(F.max(F.size("leaves"))).first()
     out = "id {0}, affinity long, tid {1}, y double, candidates long".format(val.schema["id"].dataType.simpleString(), train.schema["tid"].dataType.simpleString())
     if not n_trees:
         return spark.createDataFrame([], out)
-    classes = materialise(train.select("leaves").distinct().withColumn("c", F.monotonically_increasing_id()))
-    rank = Window.partitionBy("leaves").orderBy("tid")
-    members = train.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
-    members = materialise(members.join(classes, "leaves").select("c", "tid", "y"))
-    postings = materialise(classes.select("c", F.posexplode("leaves").alias("tree", "leaf")))
-    sizes = postings.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
-    asked = val.select("leaves").distinct().withColumn("v", F.monotonically_increasing_id())
+    asked = val.where(F.col("leaves").isNotNull()).select("leaves").distinct().withColumn("v", F.monotonically_increasing_id())
     asked = materialise(asked)
-    looked = asked.select("v", F.posexplode("leaves").alias("tree", "leaf")).join(sizes, ["tree", "leaf"], "left")
-    looked = looked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "tree", "leaf"))).alias("rarest"))
-    looked = materialise(looked.join(asked, "v"))
-    # what shares no leaf can only be one of the k rows of smallest id
-    first = train.orderBy("tid").limit(k).join(classes, "leaves").select("c").distinct()
-
-    best = Window.partitionBy("v").orderBy(F.desc("affinity"), "tid")
-    todo, done, m = looked, None, min(n_trees, max(1, -(-n_trees // 4)))
-    while True:
-        lists = todo.select("v", F.explode(F.slice("rarest", 1, m)).alias("p")).select("v", "p.tree", "p.leaf")
-        met = lists.join(postings, ["tree", "leaf"]).select("v", "c")
-        if m == n_trees:
-            met = met.union(todo.select("v").join(F.broadcast(first)))
-        met = met.distinct().join(classes.withColumnRenamed("leaves", "_t"), "c").join(todo.select("v", "leaves"), "v")
-        same = F.aggregate(F.zip_with("leaves", "_t", lambda a, b: (a == b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-        scored = materialise(met.select("v", "c", same.alias("affinity")))
-        compared = scored.groupBy("v").agg(F.count(F.lit(1)).alias("candidates"))
-        top = scored.join(members, "c").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-        top = materialise(top.select("v", "affinity", "tid", "y").join(compared, "v"))
-        if m == n_trees:
-            found = top
-        else:
-            settled = top.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("affinity").alias("least"))
-            settled = settled.where((F.col("n") == k) & (F.col("least") > n_trees - m)).select("v")
-            found = top.join(settled, "v", "left_semi")
-            todo = materialise(todo.join(settled, "v", "left_anti"))
-        done = found if done is None else done.union(found)
-        if m == n_trees or todo.isEmpty():
-            break
-        m = min(n_trees, 2 * m)
-    return val.join(asked, "leaves").select("id", "v").join(done, "v").select("id", "affinity", "tid", "y", "candidates")
+    whole = (F.size("leaves") == n_trees) & ~F.exists("leaves", lambda leaf: leaf.isNull())
+    todo, alike = asked.where(whole), classes.where(whole)
+    none, nothing = F.lit(None), F.lit(0)
+    done = [_best(_met(asked.where(~whole).join(_first(classes, k)), none), k)]
+    known, blanks = None, 0
+    while blanks < n_trees and (not blanks or math.comb(n_trees, blanks) * n_trees <= KEY_LEAVES) and not todo.isEmpty():
+        met = _met(_first_alike(todo, alike, k, n_trees, blanks), F.lit(n_trees - blanks))
+        top = materialise(_best(met if known is None else known.union(met), k))
+        done.append(top.where(F.col("n") >= k))
+        known = top.where(F.col("n") < k).select(*met.columns)
+        todo = materialise(todo.join(done[-1].select("v").distinct(), "v", "left_anti").select(*todo.columns))
+        blanks += 1
+    if blanks < n_trees and not todo.isEmpty():
+        found, known, todo = _by_postings(todo, alike, k, n_trees)
+        done += found
+    if known is not None and not todo.isEmpty():
+        rest = _met(todo.join(_first(alike, k)), nothing).union(_met(todo.join(_first(classes.where(~whole), k)), none))
+        done.append(_best(known.union(rest), k))
+    hits = functools.reduce(DataFrame.union, (d.select("v", "affinity", "tid", "y", "candidates") for d in done))
+    return val.join(asked, "leaves").select("id", "v").join(hits, "v").select("id", "affinity", "tid", "y", "candidates")
 
 
 def topk_variance(
